@@ -21,10 +21,29 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(_table(spark, sf_dir, "documents"), with_text=False).drop("kept")
 
 
+def op3_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import assign
+
+    return assign(_table(spark, sf_dir, "documents"))
+
+
+def op4_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mixture
+
+    drawn = mixture(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return drawn.selectExpr("doc_id", "source", "_qg_tokens as tokens", "_qg_pass as pass", "_qg_order as block_order", "round(_qg_weight, 9) as weight")
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import rule_verdicts
+
+    return rule_verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contaminated_documents
 
     return contaminated_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_substring_dedup, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_substring_dedup, op3_vector_sharding, op4_temperature_mixing, op5_quality_rules, op10_benchmark_decontamination)}
