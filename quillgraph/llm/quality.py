@@ -23,8 +23,8 @@ from . import _text as T
 from ._store import Scratch
 
 FIT_ROWS = 8192
-TREES = 200
-SUBSAMPLE = 512
+TREES = 300
+SUBSAMPLE = 256
 GOOD_WEIGHT = 50
 BINS = 1000
 REPEAT = 8  # words of a window that may repeat within a text

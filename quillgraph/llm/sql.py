@@ -1,3 +1,12 @@
 """DuckDB SQL for the queries that SQL can express over whole tables."""
 
-ORACLES: dict[str, str] = {}
+_PAGES = """
+WITH p AS (SELECT page_id, COALESCE(html, '') AS html, sha1(COALESCE(html, '')) AS d, strlen(COALESCE(html, '')) AS n FROM pages),
+g AS (SELECT d, MAX(page_id) AS top FROM p WHERE n >= 1000 GROUP BY d)
+SELECT p.page_id AS page_id, CAST(p.n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+       CASE WHEN g.top IS NULL OR g.top = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN g.top <> p.page_id THEN g.top END AS refers_to
+FROM p LEFT JOIN g ON g.d = p.d AND p.n >= 1000
+"""
+
+ORACLES: dict[str, str] = {"op9_warc": _PAGES}
