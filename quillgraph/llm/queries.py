@@ -40,6 +40,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .context_mixing import score
+
+    return score(_table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -66,4 +72,4 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return contaminated_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_substring_dedup, op3_vector_sharding, op4_temperature_mixing, op5_quality_rules, op7_token_counts, op8_language_id, op9_warc, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_substring_dedup, op3_vector_sharding, op4_temperature_mixing, op5_quality_rules, op6_context_mixing, op7_token_counts, op8_language_id, op9_warc, op10_benchmark_decontamination)}
