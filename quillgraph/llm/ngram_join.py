@@ -6,6 +6,7 @@
    fingerprint, so copies never form pairs.
 2. Documents that share a prefix shingle form a group. A first round checks each against a few leaders of its groups,
    which joins large groups of near copies at linear cost.
+   Bitmaps bound the overlap first; what they leave is verified by exact intersection of the sorted arrays.
 3. Where a group still spans several components it is cut into tiles by set size. Tiles whose sizes can reach the
    threshold meet; within them ``(|A| + |B| - popcount(a ^ b)) / 2`` bounds the overlap from above.
 4. What passes is verified by exact intersection of the sorted arrays, and components follow from large-star and
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as T
+from ._bits import bit_filter, has
 from ._graph import components
 from ._store import Scratch
 
@@ -128,20 +130,29 @@ def linked(shared: int, na: int, nb: int, num: int, den: int) -> bool:
     return den * shared >= num * (na + nb - shared)
 
 
+def _within(num: int, den: int):
+    """Pairs whose bitmaps don't rule them out."""
+
+    def run(batches):
+        for part in batches:
+            na, nb, x, y = (part.column(i).to_pylist() for i in range(2, 6))
+            keep = [linked(_bound(p, q, m, n), m, n, num, den) for m, n, p, q in zip(na, nb, x, y)]
+            yield part.select(["u", "v", "ru", "rv"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _verify(num: int, den: int):
     def run(batches):
         for part in batches:
-            u, v, x, y, p, q = (part.column(i) for i in range(6))
+            x, y = part.column(2), part.column(3)
             keep = []
             for i in range(part.num_rows):
                 a, b = np.frombuffer(x[i].as_py(), np.uint64), np.frombuffer(y[i].as_py(), np.uint64)
-                ok = linked(_bound(p[i].as_py(), q[i].as_py(), len(a), len(b)), len(a), len(b), num, den)
-                if ok:
-                    both = np.concatenate((a, b))
-                    both.sort(kind="stable")
-                    ok = linked(int((both[1:] == both[:-1]).sum()), len(a), len(b), num, den)
-                keep.append(ok)
-            yield pa.RecordBatch.from_arrays([u, v], ["u", "v"]).filter(pa.array(keep))
+                both = np.concatenate((a, b))
+                both.sort(kind="stable")
+                keep.append(linked(int((both[1:] == both[:-1]).sum()), len(a), len(b), num, den))
+            yield part.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -199,14 +210,16 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
                        .filter("lo != hi").groupBy("t", "f").agg(*(F.first(c).alias(c) for c in ("n", "lo", "hi", "any"))))
 
     def verified(name: str, pairs: DataFrame) -> DataFrame:
-        pairs = store.put(name + "_pairs", pairs.distinct())
-        need = pairs.select(F.explode(F.array("u", "v")).alias("f")).distinct().join(nodes.select("f", "rep"), "f")
-        owners = rows.select("f", F.col("doc_id").alias("rep")).dropDuplicates(["f", "rep"]).join(need, ["f", "rep"], "left_semi")
-        # a doc_id with several texts gives several sets: the fingerprint computed anew tells which is meant
-        texts = docs.join(owners.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.lit(0).cast("long").alias("f"), "text")
-        sets = store.put(name + "_sets", texts.mapInArrow(_named(k), "f long, x binary").dropDuplicates(["f"]).join(nodes.select("f", "bits"), "f"))
-        a, b = (sets.select(F.col("f").alias(c), F.col("x").alias("x" + c), F.col("bits").alias("b" + c)) for c in ("u", "v"))
-        return store.put(name, pairs.join(a, "u").join(b, "v").select("u", "v", "xu", "xv", "bu", "bv").mapInArrow(_verify(num, den), "u long, v long"))
+        side = lambda c: nodes.select(F.col("f").alias(c), F.col("n").alias("n" + c), F.col("bits").alias("b" + c), F.col("rep").alias("r" + c))
+        bounded = pairs.distinct().join(side("u"), "u").join(side("v"), "v").filter(F.least("nu", "nv") * den >= F.greatest("nu", "nv") * num)
+        pairs = store.put(name + "_pairs", bounded.select("u", "v", "nu", "nv", "bu", "bv", "ru", "rv").mapInArrow(_within(num, den), "u long, v long, ru long, rv long"))
+        need = pairs.select(F.explode(F.array(F.struct(F.col("u").alias("f"), F.col("ru").alias("rep")), F.struct(F.col("v").alias("f"), F.col("rv").alias("rep")))).alias("s")).select("s.*").distinct()
+        few = spark.sparkContext.broadcast(bit_filter(need.select(F.col("rep").alias("h"))))
+        # a doc_id with several texts gives several sets: the fingerprint tells which is meant
+        sets = docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(_named(k, few), "f long, x binary").join(need.select("f").distinct(), "f", "left_semi").groupBy("f").agg(F.first("x").alias("x"))
+        sets = store.put(name + "_sets", sets)
+        a, b = (sets.select(F.col("f").alias(c), F.col("x").alias("x" + c)) for c in ("u", "v"))
+        return store.put(name, pairs.select("u", "v").join(a, "u").join(b, "v").select("u", "v", "xu", "xv").mapInArrow(_verify(num, den), "u long, v long"))
 
     # One leader of each kind a document: the one that most of its prefix shingles name.
     votes = shared.select("f", F.explode(F.array(*(F.struct(F.lit(i).alias("kind"), F.col(c).alias("lead")) for i, c in enumerate(("lo", "hi", "any"))))).alias("s")).select("f", "s.*").filter("f != lead")
@@ -232,11 +245,16 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     return rows.join(label, "f", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def _named(k: int):
+def _named(k: int, few):
+    """Sets by fingerprint, of the documents whose id may be asked for."""
+
     def run(batches):
-        for part in T.chunks(batches):
-            sets = [x for x in sets_of(part.column(1), k) if len(x)]
-            yield pa.RecordBatch.from_arrays([pa.array([fingerprint(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["f", "x"])
+        bits = np.frombuffer(few.value, np.uint8)
+        for batch in batches:
+            batch = batch.filter(pa.array(has(bits, batch.column(0).to_numpy().view(np.uint64))))
+            for part in T.chunks([batch]):
+                sets = [x for x in sets_of(part.column(1), k) if len(x)]
+                yield pa.RecordBatch.from_arrays([pa.array([fingerprint(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["f", "x"])
 
     return run
 
