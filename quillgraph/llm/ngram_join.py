@@ -7,8 +7,8 @@
 2. Documents that share a prefix shingle form a group. A first round checks each against a few leaders of its groups,
    which joins large groups of near copies at linear cost.
    Bitmaps bound the overlap first; what they leave is verified by exact intersection of the sorted arrays.
-3. Where a group still spans several components it is cut into tiles by set size. Tiles whose sizes can reach the
-   threshold meet; within them ``(|A| + |B| - popcount(a ^ b)) / 2`` bounds the overlap from above.
+3. A group that still spans several components is a tile, or is cut into tiles by size band and hash where it is large.
+   Tiles of one band or neighbouring bands meet; within them ``(|A| + |B| - popcount(a ^ b)) / 2`` bounds the overlap from above.
 4. What passes is verified by exact intersection of the sorted arrays, and components follow from large-star and
    small-star rounds over the links.
 
@@ -21,6 +21,7 @@ linked if any version is. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,7 @@ from ._store import Scratch
 FREQUENT = 1 << 16  # shingles ordered by frequency; a bound on what is broadcast, not on what is joined
 LOCAL = 4  # documents of one chunk that must share a shingle before it is reported as frequent
 TILE = 512  # rows of a tile
+SEEN = 1 << 20  # pairs remembered, to look at each once; a repeated look costs time alone
 
 
 def width(n: int) -> int:
@@ -158,36 +160,41 @@ def _verify(num: int, den: int):
 
 
 def _tiles(num: int, den: int):
-    """Rows sorted by (t, i, j): the two tiles of a meeting, side 0 and 1 (equal tiles: side 0 alone)."""
+    """Rows sorted by (lo, i, j, t): the groups in which two tiles meet, side 0 and 1 (equal tiles: side 0 alone). Groups
+    of one key have mostly the same members, so each pair is looked at once for a key."""
 
-    def meet(rows: list[tuple]) -> set[tuple[int, int]]:
-        left = [r for r in rows if r[3] == 0]
-        right = [r for r in rows if r[3] == 1]
-        out = set()
+    def meet(rows: list[tuple], seen: set, out: list) -> None:
+        left = [r for r in rows if r[4] == 0]
+        right = [r for r in rows if r[4] == 1]
         for a, (*_, fa, na, ca, ba) in enumerate(left):
             for *_, fb, nb, cb, bb in right or left[a + 1 :]:
-                if ca != cb and den * min(na, nb) >= num * max(na, nb) and linked(_bound(ba, bb, na, nb), na, nb, num, den):
-                    out.add((min(fa, fb), max(fa, fb)))
-        return out
+                if ca != cb and den * min(na, nb) >= num * max(na, nb):
+                    pair = (fa, fb) if fa < fb else (fb, fa)
+                    if pair not in seen:
+                        seen.add(pair)
+                        if linked(_bound(ba, bb, na, nb), na, nb, num, den):
+                            out.append(pair)
 
     def run(batches):
-        key, rows, out = None, [], set()
+        key, rows, seen, out = None, [], set(), []
         for part in batches:
             for r in zip(*(c.to_pylist() for c in part.columns)):
-                if r[:3] != key:
-                    out |= meet(rows) if len(rows) > 1 else set()
-                    key, rows = r[:3], []
+                if r[:4] != key:
+                    meet(rows, seen, out)
+                    if key is None or r[:3] != key[:3] or len(seen) > SEEN:
+                        seen = set()
+                    key, rows = r[:4], []
                 rows.append(r)
             if len(out) > 50_000:
                 yield _pairs(out)
-                out = set()
-        out |= meet(rows) if len(rows) > 1 else set()
+                out = []
+        meet(rows, seen, out)
         yield _pairs(out)
 
     return run
 
 
-def _pairs(out: set) -> pa.RecordBatch:
+def _pairs(out: list) -> pa.RecordBatch:
     u, v = zip(*out) if out else ((), ())
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
@@ -205,9 +212,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     nodes = store.put("nodes", rows.filter("f is not null").groupBy("f").agg(F.min("doc_id").alias("rep"), F.first("n").cast("int").alias("n"), F.first("bits").alias("bits")).filter("rep is not null"))
 
     group = Window.partitionBy("t")
-    shared = store.put("shared", docs.filter("doc_id is not null").select("text").mapInArrow(_prefixes(k, num, den, late), "t long, f long, n int")
-                       .withColumns({"lo": F.min("f").over(group), "hi": F.max("f").over(group), "any": F.min(F.struct(F.xxhash64("f", "t").alias("h"), "f")).over(group)["f"]})
-                       .filter("lo != hi").groupBy("t", "f").agg(*(F.first(c).alias(c) for c in ("n", "lo", "hi", "any"))))
+    over = {"lo": F.min("f").over(group), "hi": F.max("f").over(group), "any": F.min(F.struct(F.xxhash64("f", "t").alias("h"), "f")).over(group)["f"]}
+    found = docs.filter("doc_id is not null").select("text").mapInArrow(_prefixes(k, num, den, late), "t long, f long, n int").withColumns(over).filter("lo != hi")
+    found = found.groupBy("t", "f").agg(*(F.first(c).alias(c) for c in ("n", "lo", "hi", "any")))
+    every = store.put("every", found.withColumns({"s1": F.bit_xor(F.xxhash64("f")).over(group), "s2": F.bit_xor(F.xxhash64("f", F.lit(1))).over(group)}))
+    # groups with the same members say the same: one of them stays
+    once = every.groupBy("s1", "s2").agg(F.min("t").alias("t"))
+    shared = store.put("shared", every.drop("s1", "s2").join(once.select("t"), "t", "left_semi"))
 
     def verified(name: str, pairs: DataFrame) -> DataFrame:
         side = lambda c: nodes.select(F.col("f").alias(c), F.col("n").alias("n" + c), F.col("bits").alias("b" + c), F.col("rep").alias("r" + c))
@@ -227,21 +238,26 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     near = verified("near", best.select(F.least("f", "lead").alias("u"), F.greatest("f", "lead").alias("v")))
     first = components(near, store, "near")
 
-    left = store.put("left", shared.select("t", "f", "n").join(first, "f", "left").select("t", "f", "n", F.coalesce("root", "f").alias("c"))
-                     .withColumns({"lo": F.min("c").over(group), "hi": F.max("c").over(group), "i": F.floor((F.row_number().over(group.orderBy("n", "f")) - 1) / TILE).cast("int")}).filter("lo != hi").drop("lo", "hi"))
-    tiles = left.groupBy("t", "i").agg(F.min("n").alias("a"), F.max("n").alias("b"), F.min("c").alias("lo"), F.max("c").alias("hi"))
-    other = tiles.select("t", F.col("i").alias("j"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    meets = tiles.join(other, "t").filter((F.col("i") <= F.col("j")) & (F.col("b") * den >= F.col("a2") * num) & ~((F.col("lo") == F.col("hi")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo") == F.col("lo2")))).select("t", "i", "j")
-    sides = meets.select("t", "i", "j", F.explode(F.when(F.col("i") == F.col("j"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side")).withColumn("k", F.when(F.col("side") == 0, F.col("i")).otherwise(F.col("j")))
-    ready = sides.join(left.withColumnRenamed("i", "k"), ["t", "k"]).join(nodes.select("f", "bits"), "f").select("t", "i", "j", "side", "f", "n", "c", "bits")
-    found = ready.repartition("t", "i", "j").sortWithinPartitions("t", "i", "j").mapInArrow(_tiles(num, den), "u long, v long")
+    left = shared.select("t", "f", "n").join(first, "f", "left").select("t", "f", "n", F.coalesce("root", "f").alias("c"))
+    left = left.withColumns({"lo": F.min("c").over(group), "hi": F.max("c").over(group), "size": F.count("*").over(group)}).filter("lo != hi")
+    # a group above TILE is cut by size band and hash; a document is in the same tile of every group of that size
+    parts = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("size") / TILE))).cast("long")
+    tile = F.when(F.col("size") <= TILE, F.lit(-1)).otherwise(F.floor(F.log("n") / math.log(den / num)) * (1 << 32) + F.pmod(F.xxhash64("f"), parts)).cast("long")
+    left = store.put("left", left.select("t", "f", "n", "c", "lo", tile.alias("i")))
+    tiles = left.groupBy("t", "lo", "i").agg(F.min("c").alias("a"), F.max("c").alias("b"))
+    other = tiles.select("t", F.col("i").alias("j"), F.col("a").alias("a2"), F.col("b").alias("b2"))
+    near_band = F.shiftright("j", 32) - F.shiftright("i", 32) <= 1
+    meets = tiles.join(other, "t").filter((F.col("i") <= F.col("j")) & near_band & ((F.col("a") != F.col("b")) | (F.col("a2") != F.col("b2")) | (F.col("a") != F.col("a2")))).select("t", "lo", "i", "j")
+    sides = meets.select("t", "lo", "i", "j", F.explode(F.when(F.col("i") == F.col("j"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side")).withColumn("k", F.when(F.col("side") == 0, F.col("i")).otherwise(F.col("j")))
+    ready = sides.join(left.select("t", F.col("i").alias("k"), "f", "n", "c"), ["t", "k"]).join(nodes.select("f", "bits"), "f").select("lo", "i", "j", "t", "side", "f", "n", "c", "bits")
+    found = ready.repartition("lo", "i", "j").sortWithinPartitions("lo", "i", "j", "t").mapInArrow(_tiles(num, den), "u long, v long")
     far = verified("far", found)
     links = near.unionByName(far)
     roots = components(links, store, "all")
     named = nodes.select("f", "rep").join(roots, "f", "left").select("f", "rep", F.coalesce("root", "f").alias("root"))
     low = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     label = store.put("label", named.join(low, "root").select("f", "component_id"))
-    store.drop("shared", "left", "near_sets", "far_sets", "near_pairs", "far_pairs")
+    store.drop("every", "shared", "left", "near_sets", "far_sets", "near_pairs", "far_pairs")
     return rows.join(label, "f", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
