@@ -318,8 +318,8 @@ def _sync_log(s, d):
     return D.sync_log(log, since_ms=1704672000000, events=["click", "error"], limit=500)
 
 
-_BM = """SELECT id, round(score, 9) AS score FROM (WITH w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(translate(lower('doc-' || doc_id || ' ' || coalesce(text, '')), '""" + S.ACCENTS[0] + "', '" + S.ACCENTS[1] + """'), '[^\\p{L}\\p{N}]+'), x -> x <> '') AS w FROM documents),
- t AS (SELECT id, len(w) AS l, len(list_filter(w, x -> x = 'the')) AS a, len(list_filter(w, x -> x = 'stion')) AS b FROM w), z AS (SELECT count(*) AS n, avg(l) AS al, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM t)
+_BM = """SELECT id, round(score, 9) AS score FROM (WITH w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(translate(lower('doc-' || doc_id || ' ' || coalesce(text, '')), '""" + S.ACCENTS[0] + "', '" + S.ACCENTS[1] + """'), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+ t AS (SELECT id, len(w) AS l, len(list_filter(w, lambda x: x = 'the')) AS a, len(list_filter(w, lambda x: x = 'stion')) AS b FROM w), z AS (SELECT count(*) AS n, avg(l) AS al, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM t)
  SELECT id, greatest(ln((n - da + 0.5) / (da + 0.5)), 1e-6) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * l / al)) + greatest(ln((n - db + 0.5) / (db + 0.5)), 1e-6) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * l / al)) AS score FROM t, z WHERE a > 0 AND b > 0) q"""
 
 
