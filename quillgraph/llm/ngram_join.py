@@ -252,7 +252,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     ready = sides.join(left.select("t", F.col("i").alias("k"), "f", "n", "c"), ["t", "k"]).join(nodes.select("f", "bits"), "f").select("lo", "i", "j", "t", "side", "f", "n", "c", "bits")
     found = ready.repartition("lo", "i", "j").sortWithinPartitions("lo", "i", "j", "t").mapInArrow(_tiles(num, den), "u long, v long")
     far = verified("far", found)
-    links = near.unionByName(far)
+    own = rows.filter("f is not null and doc_id is not null")
+    several = own.groupBy("doc_id").agg(F.min("f").alias("u"), F.max("f").alias("v")).filter("u != v").select("doc_id", "u")
+    versions = own.join(several, "doc_id").filter("f != u").select("u", F.col("f").alias("v")).distinct()
+    links = near.unionByName(far).unionByName(versions)
     roots = components(links, store, "all")
     named = nodes.select("f", "rep").join(roots, "f", "left").select("f", "rep", F.coalesce("root", "f").alias("root"))
     low = named.groupBy("root").agg(F.min("rep").alias("component_id"))
