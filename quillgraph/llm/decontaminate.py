@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._bits import bit_filter, has
+from ._bits import bit_filter, has, without
 from ._store import Scratch
 
 SHINGLE = 3
@@ -135,5 +135,4 @@ def contaminated_documents(docs: DataFrame, items: DataFrame, **options) -> Data
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
     """Rows of ``docs`` whose text holds no window of an item, with all their columns."""
     _, hits, _ = contamination(docs, items, text=text, **options)
-    bad = hits.select(F.col("x").alias("_qg_bad")).distinct()
-    return docs.join(bad, F.xxhash64(docs[text].cast("string")) == bad["_qg_bad"], "left_anti")
+    return without(docs, F.xxhash64(docs[text].cast("string")), hits.select("x").distinct())

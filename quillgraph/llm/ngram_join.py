@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._bits import bit_filter, has
+from ._bits import bit_filter, has, without
 from ._graph import components
 from ._store import Scratch
 
@@ -280,5 +280,5 @@ def _named(k: int, few):
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents whose component has a smaller ``doc_id``; all columns, repeated rows once each."""
-    label = jaccard_components(docs, **options).filter("doc_id is not null and component_id < doc_id").select(F.col("doc_id").alias("_qg_gone")).distinct()
-    return docs.join(label, docs["doc_id"] == label["_qg_gone"], "left_anti")
+    gone = jaccard_components(docs, **options).filter("doc_id is not null and component_id < doc_id").select("doc_id").distinct()
+    return without(docs, F.col("doc_id").cast("long"), Scratch(docs.sparkSession).put("gone", gone))

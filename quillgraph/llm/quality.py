@@ -15,6 +15,7 @@ label. Repeated rows each come back. Other columns are ignored; an empty table g
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -169,8 +170,8 @@ def threshold(bad: np.ndarray, good: np.ndarray) -> float:
     return int(np.flatnonzero(gain == gain.max())[-1]) / BINS if gain.max() > 0 else 1.1
 
 
-def rule_verdicts(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """``doc_id``, the base statistics, ``base_failed``, ``kept`` and the anomaly ``score`` of every row of ``docs``."""
+def _fitted(docs: DataFrame, labels: DataFrame | None):
+    """Scored statistics of every row, the forest (broadcast) and the score to reject from."""
     spark = docs.sparkSession
     store = Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -186,11 +187,29 @@ def rule_verdicts(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame
         for r in hist:
             (good if r.good else bad)[r.bin] += r["count"]
         limit = threshold(bad, good)
+    return scored, forest, limit
+
+
+def rule_verdicts(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """``doc_id``, the base statistics, ``base_failed``, ``kept`` and the anomaly ``score`` of every row of ``docs``."""
+    scored, _, limit = _fitted(docs, labels)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return scored.select("doc_id", *BASE, failed.alias("base_failed"), (~failed & (F.col("score") < limit)).alias("kept"), "score")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """Rows of ``docs`` that the rules keep, with all their columns. Rows with a null ``doc_id`` have no verdict and go."""
-    kept = rule_verdicts(docs, labels).groupBy(F.col("doc_id").alias("_qg_id")).agg(F.bool_and("kept").alias("_qg_kept")).filter("_qg_kept")
-    return docs.join(kept, docs["doc_id"] == kept["_qg_id"], "left_semi")
+    """Rows of ``docs`` that the rules keep, with all their columns. The rules are applied on the scan, so no text is
+    shuffled to meet its verdict."""
+    _, forest, limit = _fitted(docs, labels)
+
+    @F.pandas_udf("boolean")
+    def kept(text: pd.Series) -> pd.Series:
+        out = []
+        whole = pa.RecordBatch.from_arrays([pa.array(text, pa.string())], ["text"])
+        for part in T.chunks(iter([whole])):
+            s = measure(part.column(0))
+            failed = (s["n_words"] < 20) | (100 * s["n_repeat_words"] > 30 * s["n_words"])
+            out.append(~failed & (forest.value.score(features(s)) < limit) if forest.value else ~failed)
+        return pd.Series(np.concatenate(out) if out else np.zeros(0, bool))
+
+    return docs.filter(kept(F.col("text").cast("string")))
