@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -34,7 +35,7 @@ def basename(path: Column | str) -> Column:
     return F.regexp_replace(F.element_at(F.split(_col(path), "/"), -1), r"\.md$", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """Unicode normal form C; Spark has no function for it."""
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))

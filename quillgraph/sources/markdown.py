@@ -121,7 +121,7 @@ def read_folder(spark: SparkSession, root: str, exclude: list[str] = ()) -> Data
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(root)
     base = re.sub(r"^file:/*", "/", root).rstrip("/") + "/"
     path = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + re.escape(base), "")
-    out = files.select(path.alias("file_path"), F.decode("content", F.lit("UTF-8")).alias("raw"), F.sha2("content", 256).alias("content_hash"), F.unix_millis("modificationTime").alias("file_mtime"))
+    out = files.select(path.alias("file_path"), F.decode("content", "UTF-8").alias("raw"), F.sha2("content", 256).alias("content_hash"), F.unix_millis("modificationTime").alias("file_mtime"))
     return out.filter(~ignored(F.col("file_path"), exclude))
 
 
