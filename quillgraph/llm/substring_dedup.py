@@ -27,7 +27,7 @@ from . import _text as T
 from ._bits import bit_filter, has
 from ._store import Scratch
 
-HOT = 8192
+HOT = 1 << 16  # places; their packed strings are some 8 MB
 HOT_KEYS = 1 << 16
 BITS = 27  # 16 MB
 
@@ -69,7 +69,9 @@ def _stats(k: int, m: int):
     return run
 
 
-def _send(k: int, m: int, bits, hot):
+def _send(k: int, m: int, bits, hot, alone: bool):
+    """Super-k-mers of shared minimisers: the hot ones window by window if ``alone``, else the others."""
+
     def run(batches):
         table, often = np.frombuffer(bits.value, np.uint8), hot.value
         for part in T.chunks(batches):
@@ -79,18 +81,21 @@ def _send(k: int, m: int, bits, hot):
             v, first, stop = v[keep], first[keep], stop[keep]
             if not len(v):
                 continue
-            ishot = np.isin(v, often)
-            n = np.where(ishot, stop - first, 1)  # hot ones leave window by window
+            mine = np.isin(v, often) == alone
+            v, first, stop = v[mine], first[mine], stop[mine]
+            if not len(v):
+                continue
+            n = stop - first if alone else np.ones(len(v), np.int64)
             each = np.repeat(np.arange(len(v)), n)
             a = first[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
-            b = np.where(ishot[each], a + 1, stop[each])
+            b = a + 1 if alone else stop[each]
             row = np.searchsorted(w.rows, a, "right") - 1
             data, s, e = w.buf.tobytes(), w.starts.tolist(), w.ends.tolist()
             packed = [b" ".join([data[x:y] for x, y in zip(s[i:j], e[i:j])]) for i, j in zip(a.tolist(), (b + k - 1).tolist())]
             ids = part.column(0).to_numpy()[row]
             yield pa.RecordBatch.from_arrays(
-                [T.long(v[each]), pa.array(ishot[each]), pa.array(ids), part.column(1).take(pa.array(row)), pa.array((a - w.rows[row]).astype(np.int32)), pa.array(packed, pa.binary()).cast(pa.string())],
-                ["v", "hot", "doc", "row", "start", "words"],
+                [T.long(v[each]), pa.array(ids), part.column(1).take(pa.array(row)), pa.array((a - w.rows[row]).astype(np.int32)), pa.array(packed, pa.binary()).cast(pa.string())],
+                ["v", "doc", "row", "start", "words"],
             )
 
     return run
@@ -162,14 +167,14 @@ def repeated_runs(docs: DataFrame, k: int = 13, m: int = 3) -> tuple[DataFrame,
     hot = np.array([r.v for r in shared.filter(F.col("n") > HOT).orderBy(F.desc("n"), "v").limit(HOT_KEYS).collect()], np.int64).view(np.uint64)
     bits = bit_filter(shared.select(F.col("v").alias("h")), BITS)
     share = spark.sparkContext.broadcast
-    sent = known.mapInArrow(_send(k, m, share(bits), share(hot)), "v long, hot boolean, doc long, row long, start int, words string")
-    cold = sent
-    if len(hot):
-        sent = store.put("sent", sent)
-        cold = sent.filter("not hot")
-    runs = cold.select("v", "doc", "row", "start", "words").repartition("v").sortWithinPartitions("v").mapInArrow(_buckets(k), "row long, a int, b int")
+    share_bits, share_hot = share(bits), share(hot)
+
+    def sent(alone: bool) -> DataFrame:
+        return known.mapInArrow(_send(k, m, share_bits, share_hot, alone), "v long, doc long, row long, start int, words string")
+
+    runs = sent(False).repartition("v").sortWithinPartitions("v").mapInArrow(_buckets(k), "row long, a int, b int")
     if len(hot):
-        alone = sent.filter("hot").select("doc", "row", "start", "words")
+        alone = store.put("alone", sent(True).select("doc", "row", "start", "words"))
         low = alone.groupBy("words").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("words", "low")
         runs = runs.unionByName(alone.join(low, "words").filter("low < doc").select("row", F.col("start").alias("a"), (F.col("start") + 1).alias("b")))
     return docs, store.put("runs", runs)
