@@ -319,7 +319,7 @@ def _sync_log(s, d):
 
 
 _BM = """SELECT id, round(score, 9) AS score FROM (WITH w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(translate(lower('doc-' || doc_id || ' ' || coalesce(text, '')), '""" + S.ACCENTS[0] + "', '" + S.ACCENTS[1] + """'), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents),
- t AS (SELECT id, len(w) AS l, len(list_filter(w, lambda x: x = 'the')) AS a, len(list_filter(w, lambda x: x = 'stion')) AS b FROM w), z AS (SELECT count(*) AS n, avg(l) AS al, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM t)
+ t AS (SELECT id, len(w) AS l, len(list_filter(w, lambda x: x = 'the')) AS a, len(list_filter(w, lambda x: x = 'thin')) AS b FROM w), z AS (SELECT count(*) AS n, avg(l) AS al, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM t)
  SELECT id, greatest(ln((n - da + 0.5) / (da + 0.5)), 1e-6) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * l / al)) + greatest(ln((n - db + 0.5) / (db + 0.5)), 1e-6) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * l / al)) AS score FROM t, z WHERE a > 0 AND b > 0) q"""
 
 
@@ -329,12 +329,12 @@ def _docs(s, d):
 
 @query("r01_bm25", _BM)
 def _bm25(s, d):
-    return S.bm25(_docs(s, d), ["the", "stion"]).select("id", F.round("score", 9).alias("score"))
+    return S.bm25(_docs(s, d), ["the", "thin"]).select("id", F.round("score", 9).alias("score"))
 
 
 @query("r02_match_or", _BM.replace("WHERE a > 0 AND b > 0", "WHERE a > 0 OR b > 0"))
 def _match(s, d):
-    return S.match(_docs(s, d), "the OR stion").select("id", F.round("score", 9).alias("score"))
+    return S.match(_docs(s, d), "the OR thin").select("id", F.round("score", 9).alias("score"))
 
 
 _Q = [round(0.1 * ((i * 7) % 11 - 5) / 5, 3) for i in range(64)]
@@ -353,7 +353,7 @@ def _knn(s, d):
 @query("r04_rrf", f"""SELECT node_id, round(sum(1.0 / (60 + r)), 9) AS score, string_agg(DISTINCT s, ',' ORDER BY s) AS sources FROM (SELECT id AS node_id, 'fts' AS s, row_number() OVER (ORDER BY score DESC, id) AS r FROM ({_BM.replace('round(score, 9)', 'score')}) f
  UNION ALL SELECT id, 'semantic', row_number() OVER (ORDER BY dist, id) FROM (SELECT * FROM ({_KNN}) k ORDER BY dist, id LIMIT 400) z) u GROUP BY 1""")
 def _rrf(s, d):
-    return S.fuse(S.bm25(_docs(s, d), ["the", "stion"]), S.nearest(_chunks(s, d), _Q)).select("node_id", F.round("score", 9).alias("score"), "sources")
+    return S.fuse(S.bm25(_docs(s, d), ["the", "thin"]), S.nearest(_chunks(s, d), _Q)).select("node_id", F.round("score", 9).alias("score"), "sources")
 
 
 @query("m06_bulk_preview", _PRE + f"SELECT n.id AS id, 'orderstatus' AS field, f.value_text AS old, 'X' AS new, TRUE AS changed FROM nodes n JOIN node_fields f ON f.node_id = n.id AND f.field_name = 'orderstatus' WHERE {_type('urgent')}")
