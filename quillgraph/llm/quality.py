@@ -15,7 +15,6 @@ label. Repeated rows each come back. Other columns are ignored; an empty table g
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +28,7 @@ SUBSAMPLE = 256
 GOOD_WEIGHT = 50
 BINS = 1000
 REPEAT = 8  # words of a window that may repeat within a text
+CHUNK = 1 << 19  # bytes of text measured at a time
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MORE = ["n_twins", "n_upper", "n_marks"]
@@ -146,7 +146,7 @@ class Forest:
 
 
 def _measured(batches):
-    for part in T.chunks(batches):
+    for part in T.chunks(batches, most=CHUNK):
         s = measure(part.column(1))
         yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(s[c].astype(np.int64)) for c in BASE + MORE)], ["doc_id", *BASE, *MORE])
 
@@ -202,14 +202,13 @@ def keep_good(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     shuffled to meet its verdict."""
     _, forest, limit = _fitted(docs, labels)
 
-    @F.pandas_udf("boolean")
-    def kept(text: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def kept(text: pa.Array) -> pa.Array:
         out = []
-        whole = pa.RecordBatch.from_arrays([pa.array(text, pa.string())], ["text"])
-        for part in T.chunks(iter([whole])):
+        for part in T.chunks(iter([pa.RecordBatch.from_arrays([text], ["text"])]), most=CHUNK):
             s = measure(part.column(0))
             failed = (s["n_words"] < 20) | (100 * s["n_repeat_words"] > 30 * s["n_words"])
             out.append(~failed & (forest.value.score(features(s)) < limit) if forest.value else ~failed)
-        return pd.Series(np.concatenate(out) if out else np.zeros(0, bool))
+        return pa.array(np.concatenate(out) if out else np.zeros(0, bool))
 
     return docs.filter(kept(F.col("text").cast("string")))
