@@ -13,21 +13,24 @@ def merge_claims(type_lists: DataFrame, claims: DataFrame, fields: DataFrame) ->
     """Effective fields of each distinct ordered type list (``key string, types array<string>``).
 
     Label, description: the first that is given in type order; order: the first that isn't 1000. Required and default:
-    the override if all overriding types agree, else the global value. Claims of unknown fields are skipped.
+    the override if all overriding types agree, else the global value. ``enum_lists``: for each claiming type its override
+    or the global values, null where no type overrides. Claims of unknown fields are skipped.
     """
     t = type_lists.select("key", F.posexplode("types").alias("o", "schema_name"))
     rows = t.join(F.broadcast(claims), "schema_name").join(F.broadcast(fields), F.col("field") == F.col("name"))
     first = lambda c, when=None: F.min_by(c, F.when(F.col(c).isNotNull() if when is None else when, F.col("o")))
     d = F.when(F.col("default_overridden"), F.coalesce("default_override", F.lit("null")))
+    by_type = F.array_sort(F.collect_list(F.struct("o", F.coalesce("enum_override", "enum_values", F.array()).alias("values"))))
     out = rows.groupBy("key", "field").agg(
         first("label").alias("label"), first("description").alias("description"),
         F.coalesce(first("sort_order", F.col("sort_order") != 1000), F.lit(1000)).alias("sort_order"),
         F.count_distinct("required_override").alias("nr"), F.max("required_override").alias("r"), F.first("required").alias("required"),
         F.count_distinct(d).alias("nd"), F.max(d).alias("d"), F.first("default_value").alias("default_value"),
+        F.when(F.bool_or(F.col("enum_override").isNotNull()), F.transform(by_type, lambda x: x["values"])).alias("enum_lists"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "schema_name"))), lambda x: x["schema_name"]), ",").alias("claiming_types"))
     return out.select("key", "field", "label", "description", "sort_order", F.when(F.col("nr") == 1, F.col("r")).otherwise(F.col("required")).alias("required"),
                       F.when(F.col("nd") == 1, F.when(F.col("d") != "null", F.col("d"))).otherwise(F.col("default_value")).alias("default_value"),
-                      F.when(F.col("nd") == 1, "claim").otherwise("global").alias("default_source"), "claiming_types")
+                      F.when(F.col("nd") == 1, "claim").otherwise("global").alias("default_source"), "claiming_types", "enum_lists")
 
 
 def type_lists(g: Graph) -> DataFrame:
@@ -47,15 +50,18 @@ def conformance(g: Graph, claims: DataFrame, fields: DataFrame) -> DataFrame:
 
 
 def issues(g: Graph, claims: DataFrame, fields: DataFrame) -> DataFrame:
-    """``node_id, field, code``: TYPE_MISMATCH, ENUM_INVALID or REQUIRED_MISSING (no value and no default)."""
+    """``node_id, field, code``: TYPE_MISMATCH, ENUM_INVALID or REQUIRED_MISSING (no value and no default). A value
+    that the list of any claiming type holds is valid."""
     lists = type_lists(g)
     effective = merge_claims(lists.select("key", "types").distinct(), claims, fields).join(F.broadcast(fields.select(F.col("name").alias("field"), "field_type", "enum_values")), "field")
     want = lists.select("node_id", "key").join(F.broadcast(effective), "key")
     have = g.node_fields.select("node_id", F.col("field_name").alias("field"), "value_text", declared_kind().alias("kind"), F.lit(1).alias("h"))
     both = want.join(have, ["node_id", "field"], "left")
     fits = F.when(F.col("field_type").isin("string", "enum", "reference"), F.col("kind") == "string").when(F.col("field_type") == "date", F.col("kind").isin("date", "string")).otherwise(F.col("kind") == F.col("field_type"))
+    lists = F.coalesce("enum_lists", F.array("enum_values"))
+    valid = F.exists(lists, lambda v: F.array_contains(v, F.col("value_text")))
     code = (F.when(F.col("h").isNull() & F.col("required") & F.col("default_value").isNull(), "REQUIRED_MISSING").when(F.col("h").isNotNull() & ~fits, "TYPE_MISMATCH")
-            .when((F.col("field_type") == "enum") & F.col("h").isNotNull() & ~F.array_contains("enum_values", F.col("value_text")), "ENUM_INVALID"))
+            .when((F.col("field_type") == "enum") & F.col("h").isNotNull() & ~valid, "ENUM_INVALID"))
     return both.select("node_id", "field", code.alias("code")).filter("code is not null")
 
 
@@ -68,7 +74,7 @@ def issue_groups(found: DataFrame, samples: int = 5) -> DataFrame:
 
 def claim_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """``schema_name, field, change`` between two claim tables: added, removed, changed."""
-    cols = ["label", "description", "sort_order", "required_override", "default_overridden", "default_override"]
+    cols = ["label", "description", "sort_order", "required_override", "default_overridden", "default_override", "enum_override"]
     a = before.select("schema_name", "field", F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("a"))
     b = after.select("schema_name", "field", F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("b"))
     change = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a") != F.col("b"), "changed")

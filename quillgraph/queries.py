@@ -273,7 +273,7 @@ _MERGE = """, tl AS (SELECT DISTINCT types FROM (SELECT node_id, string_agg(sche
  CASE WHEN count(DISTINCT d) = 1 THEN 'claim' ELSE 'global' END AS default_source, string_agg(schema_name, ',' ORDER BY o) AS claiming_types FROM m GROUP BY 1, 2""")
 def _merge(s, d):
     lists = C.type_lists(graph(s, d)).select("key", "types").distinct()
-    return C.merge_claims(lists, table(s, "claims", CLAIMS), table(s, "global_fields", FIELDS))
+    return C.merge_claims(lists, table(s, "claims", CLAIMS), table(s, "global_fields", FIELDS)).drop("enum_lists")
 
 
 @query("v05_conformance", _DIMS + """, w AS (SELECT t.node_id, c.field, count(DISTINCT c.required_override) AS k, bool_or(c.required_override) AS r, bool_or(g.required) AS gr FROM node_types t JOIN claims c ON c.schema_name = t.schema_type JOIN global_fields g ON g.name = c.field GROUP BY 1, 2),

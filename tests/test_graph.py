@@ -100,6 +100,21 @@ def test_merge_claims(spark):
     assert got["ab", "h"].default_value is None and got["ab", "h"].default_source == "claim"
 
 
+def test_enum_values_per_type(spark, g):
+    fields = table(spark, "global_fields", [("status", "enum", ["open", "done"], None, False, True, True, True, None)])
+    found = lambda *c: {(r.node_id, r.code) for r in C.issues(g, claims(*c), fields).collect()}
+    claims = lambda *c: table(spark, "claims", [(t, "status", None, None, 1, None, False, None, v) for t, v in c])
+    assert found(("meeting", None), ("note", None), ("task", None)) == set()
+    assert found(("meeting", ["done"]), ("task", ["done"])) == {("n1", "ENUM_INVALID"), ("n3", "ENUM_INVALID")}
+    assert found(("meeting", ["done"]), ("note", None)) == set()  # the other type's list is the global one
+    assert found(("meeting", ["done"]), ("note", ["new", "open"])) == {("n2", "ENUM_INVALID")}
+    assert found(("task", [])) == {("n3", "ENUM_INVALID")}
+    lists = spark.createDataFrame([("mn", ["meeting", "note"]), ("n", ["note"])], "key string, types array<string>")
+    got = {r.key: r.enum_lists for r in C.merge_claims(lists, claims(("meeting", ["done"]), ("note", None)), fields).collect()}
+    assert got == {"mn": [["done"], ["open", "done"]], "n": None}
+    assert [tuple(r) for r in C.claim_diff(claims(("task", ["a"]), ("note", None)), claims(("task", ["b"]), ("note", None))).collect()] == [("task", "status", "changed")]
+
+
 @pytest.mark.parametrize("kind,value,want", [
     ("number", " 1e3 ", (True, "1000.0", "STRING_TO_NUMBER")), ("number", "0x10", (True, "16.0", "STRING_TO_NUMBER")), ("number", "Infinity", (False, None, None)), ("number", "", (False, None, None)),
     ("date", "2024-02-30", (False, None, None)), ("date", " 2024-02-29 ", (True, "2024-02-29", "STRING_TO_DATE")), ("date", "2024-02-29T10:00Z", (True, "2024-02-29T10:00Z", "STRING_TO_DATE")),
