@@ -195,6 +195,27 @@ def test_context_mixing(docs, rows, empty, monkeypatch):
     assert context_mixing.score(empty).count() == 0
 
 
+def test_contexts_are_kept_apart():
+    import numpy as np
+
+    n, none = 200_000, np.zeros(200_000, np.int64)
+    a = np.arange(n, dtype=np.uint64)
+    s = context_mixing._stream(none, none + 16, none + 16, [None, context_mixing.T.mix(a), context_mixing.T.mix(a + np.uint64(n))], None)
+    assert len(np.unique(s.slots[0])) == 16
+    # more than 2**21; hashes of KEY bits let about 5 pairs of them collide
+    assert all(16 * n - 40 <= len(np.unique(x)) <= 16 * n for x in s.slots[1:])
+
+
+def test_context_counts_are_summed_over_chunks(docs, rows, monkeypatch):
+    got = []
+    for chunk, least, deal in ((1 << 21, 256, 1 << 19), (1 << 12, 256, 1 << 5)):
+        monkeypatch.setattr(context_mixing, "CHUNK", chunk)
+        monkeypatch.setattr(context_mixing, "LEAST", least)
+        monkeypatch.setattr(context_mixing, "DEAL", deal)
+        got.append(sorted(((r.doc_id, r.n_tokens, round(r.score, 4)) for r in context_mixing.score(docs).collect()), key=repr))
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+
+
 def test_huffman_is_a_prefix_code():
     code, size = context_mixing.huffman([5, 1, 1, 9, 30, 2])
     words = [format(c, f"0{s}b") for c, s in zip(code.tolist(), size.tolist())]
