@@ -216,6 +216,15 @@ def test_context_counts_are_summed_over_chunks(docs, rows, monkeypatch):
     assert got[0] == got[1] and len(got[0]) == len(rows)
 
 
+def test_words_beyond_the_lookup_cost_what_their_counts_tell(spark, monkeypatch):
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=12)) for _ in range(200)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(vocabulary, k=60))) for i in range(120)], "doc_id long, text string")
+    monkeypatch.setattr(context_mixing, "LOOKUP", 8)
+    held = [r for r in context_mixing.score(docs).collect() if r.held_out]
+    assert -sum(r.score for r in held) / sum(r.n_tokens for r in held) < math.log10(200) + 0.1
+
+
 def test_huffman_is_a_prefix_code():
     code, size = context_mixing.huffman([5, 1, 1, 9, 30, 2])
     words = [format(c, f"0{s}b") for c, s in zip(code.tolist(), size.tolist())]
