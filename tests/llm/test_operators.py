@@ -195,15 +195,66 @@ def test_context_mixing(docs, rows, empty, monkeypatch):
     assert context_mixing.score(empty).count() == 0
 
 
-def test_contexts_are_kept_apart():
+def test_predictions_are_counts_by_context():
     import numpy as np
 
-    n, none = 200_000, np.zeros(200_000, np.int64)
-    a = np.arange(n, dtype=np.uint64)
-    s = context_mixing._stream(none, none + 16, none + 16, [None, context_mixing.T.mix(a), context_mixing.T.mix(a + np.uint64(n))], None)
-    assert len(np.unique(s.slots[0])) == 16
-    # more than 2**21; hashes of KEY bits let about 5 pairs of them collide
-    assert all(16 * n - 40 <= len(np.unique(x)) <= 16 * n for x in s.slots[1:])
+    rng = np.random.default_rng(3)
+    code, size = context_mixing.huffman(rng.integers(1, 1000, 40).tolist())
+    v, n = context_mixing.aligned(code, size)
+    assert (context_mixing.lengths(v, context_mixing.limits(code, size)) == n).all()
+    rows = sorted({(int(k), int(v[w]), int(n[w])) for k, w in zip(rng.integers(0, 9, 200), rng.integers(0, 40, 200))})
+    key, word, long = (np.array(x) for x in zip(*rows))
+    times = rng.integers(0, 4, len(rows))
+    got = context_mixing.towards(key, word, times, long)
+    for i in range(len(rows)):
+        for j in range(context_mixing.DEPTH):
+            same = [k for k in range(len(rows)) if key[k] == key[i] and word[k] >> (16 - j) == word[i] >> (16 - j)]
+            bit = lambda k: word[k] >> (15 - j) & 1
+            mine, other = (sum(times[k] for k in same if (bit(k) == bit(i)) == yes) for yes in (True, False))
+            want = math.log((mine + context_mixing.SEEN) / (other + context_mixing.SEEN)) * context_mixing.SCALE if j < long[i] else 0
+            assert abs(got[i, j] - max(-127, min(127, want))) <= 0.6 or mine == other
+
+
+def test_probabilities_of_all_continuations_sum_to_one(spark):
+    rng = random.Random(2)
+    learnt = [f"w{i}" for i in range(30)]
+    ids = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    rows = [(i, " ".join(rng.choices(learnt, k=rng.choice([1, 5, 200])))) for i in range(4000, 4080)]
+    rows = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 7 != 2]
+    for history in ("", "w1 ", "w1 w2 "):
+        # only the last word differs; the unknown ones all begin with the escape
+        asked = [(i, history + w) for i, w in zip(ids, [*learnt, "zzz"])] + [(ids[40], history.strip())]
+        seen = {r.doc_id: r for r in context_mixing.score(spark.createDataFrame(rows + asked, "doc_id long, text string").coalesce(1)).collect()}
+        assert all(seen[i].held_out for i, _ in asked)
+        # a held-out text changes nothing that another one is scored by
+        again = context_mixing.score(spark.createDataFrame(rows + asked[:1], "doc_id long, text string").coalesce(1)).collect()
+        assert abs(next(r.score for r in again if r.doc_id == ids[0]) - seen[ids[0]].score) < 1e-9
+    import numpy as np
+    import pyarrow as pa
+
+    code = context_mixing.make_code(np.arange(1, 31, dtype=np.uint64), np.arange(40, 10, -1).astype(np.int64), 2000, 100, np.ones(256, np.int64))
+    v, size = code.v, code.size
+    b = context_mixing.bits_of(pa.array(["a b"] * len(v)), code)
+    s = b.streams[0]
+    last = np.arange(len(v)) * 3 + 1  # the second token takes every code word in turn, after one history
+    s.v[last], s.size[last], b.sym[last] = v, size, np.arange(len(v))
+    given = [np.zeros((len(s.v), 16), np.int8) for _ in range(3)]
+    tree = rng.choices(range(-100, 100), k=1 << 17)
+    for k, p in enumerate(given):
+        for t in range(len(s.v)):
+            for j in range(s.size[t]):
+                place = (1 << j) + (int(s.v[t]) >> (16 - j))
+                one = tree[(place * 3 + k) % len(tree)]
+                p[t, j] = one if int(s.v[t]) >> (15 - j) & 1 else -one
+    b.streams = b.streams[:1]
+    cost = context_mixing.log_loss(b, [given], np.zeros(len(v)))[0]
+    assert abs((2.0 ** -cost[last]).sum() - 1) < 1e-3
+
+
+def test_one_rare_word_as_last_row(spark):
+    rows = [(1, "a b a b"), (2, "b a"), (3, "zzz")]
+    got = {r.doc_id: r for r in context_mixing.score(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert got[3].n_tokens == 2 and got[3].score < 0
 
 
 def test_context_counts_are_summed_over_chunks(docs, rows, monkeypatch):
