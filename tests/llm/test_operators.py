@@ -244,8 +244,7 @@ def test_probabilities_of_all_continuations_sum_to_one(spark):
         for t in range(len(s.v)):
             for j in range(s.size[t]):
                 place = (1 << j) + (int(s.v[t]) >> (16 - j))
-                one = tree[(place * 3 + k) % len(tree)]
-                p[t, j] = one if int(s.v[t]) >> (15 - j) & 1 else -one
+                p[t, j] = tree[(place * 3 + k) % len(tree)]
     b.streams = b.streams[:1]
     cost = context_mixing.log_loss(b, [given], np.zeros(len(v)))[0]
     assert abs((2.0 ** -cost[last]).sum() - 1) < 1e-3
