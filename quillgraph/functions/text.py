@@ -56,6 +56,44 @@ def wiki_links(body: Column | str) -> Column:
     return F.regexp_extract_all(plain, F.lit(r"(?<!!)\[\[([^\]|\[]+)(?:\|[^\]]+)?\]\]"), F.lit(1))
 
 
+def closest_of(value: Column | str, candidates: Column, most: int = 3) -> Column:
+    """``closest`` over an array column of candidates."""
+    low = F.lower(_col(value))
+    near = F.greatest(F.lit(2), F.ceil(F.length(low) * 0.4))
+    found = F.transform(candidates, lambda c, i: F.struct(F.levenshtein(low, F.lower(c)).alias("d"), i.alias("i"), c.alias("c")))
+    good = F.filter(found, lambda x: (x["d"] <= near) & (x["d"] <= F.ceil(F.length(x["c"]) * 0.5)))
+    return F.transform(F.slice(F.array_sort(good), 1, most), lambda x: x["c"])
+
+
+def rewrite_links(body: Column | str, targets: list[str], title: str) -> Column:
+    """``[[target|alias]]`` of the given targets names ``title`` instead, the alias stays; code is left as it is."""
+    import re
+
+    if not targets:
+        return _col(body)
+    # Java reads \\Q...\\E as plain text
+    names = "|".join("\\Q" + t.replace("\\E", "\\E\\\\E\\Q") + "\\E" for t in sorted(targets, key=len, reverse=True))
+    parts = F.regexp_extract_all(_col(body), F.lit(r"(?s)```.*?(?:```|\z)|`[^`\n]*`|[^`]+|`"), F.lit(0))
+    new = re.sub(r"([\\$])", r"\\\1", title)
+    link = r"\[\[(?:" + names + r")(\|[^\]]+)?\]\]"
+    return F.array_join(F.transform(parts, lambda p: F.when(p.startswith("`"), p).otherwise(F.regexp_replace(p, F.lit(link), F.lit(f"[[{new}$1]]")))), "")
+
+
+def snippet(text: Column | str, terms: list[str], before: int = 40) -> Column:
+    """``<mark>`` around every term in turn, cut to ``before`` characters ahead of the first mark and three times as many
+    after it; null where no term stands."""
+    marked = _col(text)
+    for t in terms:
+        if t:
+            quoted = "\\Q" + t.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+            marked = F.regexp_replace(marked, F.lit("(?iu)" + quoted), F.lit("<mark>$0</mark>"))
+    first = F.instr(marked, "<mark>") - 1
+    a = F.greatest(F.lit(0), first - before)
+    b = F.least(F.length(marked), first + 3 * before)
+    cut = F.concat(F.when(a > 0, "...").otherwise(""), F.substring(marked, a + 1, b - a), F.when(b < F.length(marked), "...").otherwise(""))
+    return F.when(first >= 0, cut)
+
+
 def closest(value: Column | str, candidates: list[str], most: int = 3) -> Column:
     """Candidates within edit distance max(2, ceil(0.4 n)) of the value and half their own length, nearest first."""
     low = F.lower(_col(value))

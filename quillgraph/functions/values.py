@@ -2,18 +2,53 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+KINDS = {"value_text": "string", "value_number": "double", "value_date": "string", "value_json": "string"}
+
+
+def classify(v: object) -> tuple[str | None, float | None, str | None, str | None]:
+    """Text, number, date and JSON columns of a value: strings and numbers have their own, dates too, all else is JSON."""
+    if isinstance(v, str):
+        return v, None, None, None
+    if isinstance(v, (int, float)) and not isinstance(v, bool):
+        return None, float(v), None, None
+    if isinstance(v, dt.datetime):
+        utc = v.astimezone(dt.timezone.utc) if v.tzinfo else v.replace(tzinfo=dt.timezone.utc)
+        return None, None, utc.isoformat(timespec="milliseconds").replace("+00:00", "Z"), None
+    if isinstance(v, dt.date):
+        return None, None, f"{v.isoformat()}T00:00:00.000Z", None
+    return None, None, None, json.dumps(v, ensure_ascii=False, separators=(",", ":"))
+
+
+def classified(c: Column) -> list[Column]:
+    """The same for a column of JSON texts: a quoted string, a number, or JSON that stays as it is."""
+    text = F.when(c.startswith('"'), F.get(F.from_json(F.concat(F.lit("["), c, F.lit("]")), "array<string>"), 0))
+    number = F.when(c.rlike(r"^-?\d"), c.try_cast("double"))
+    rest = F.when(text.isNull() & number.isNull(), c)
+    return [text.alias("value_text"), number.alias("value_number"), F.lit(None).cast("string").alias("value_date"), rest.alias("value_json")]
+
+
 def as_text() -> Column:
     """Text, else number, date, JSON: the key of value histograms."""
     return F.coalesce("value_text", F.col("value_number").cast("string"), "value_date", "value_json")
 
 
-def rebuilt() -> Column:
-    """JSON, else number, date, text: the value a reader sees."""
-    return F.coalesce("value_json", F.col("value_number").cast("string"), "value_date", "value_text")
+def rebuilt(row: str | None = None) -> Column:
+    """JSON, else number, date, text: the value a reader sees; of the columns of the struct ``row`` if one is given."""
+    at = lambda name: F.col(f"{row}.{name}" if row else name)
+    return F.coalesce(at("value_json"), at("value_number").cast("string"), at("value_date"), at("value_text"))
+
+
+def literal(v: object) -> Column:
+    """A struct of the four columns that hold ``v``; all null for None."""
+    values = (None,) * 4 if v is None else classify(v)
+    return F.struct(*(F.lit(x).cast(KINDS[k]).alias(k) for k, x in zip(KINDS, values)))
 
 
 def kind() -> Column:

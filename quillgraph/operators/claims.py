@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.values import declared_kind
+from ..functions.text import closest_of
+from ..functions.values import declared_kind, rebuilt
 from ..tables import Graph
 
 
@@ -17,7 +18,7 @@ def merge_claims(type_lists: DataFrame, claims: DataFrame, fields: DataFrame) ->
     or the global values, null where no type overrides. Claims of unknown fields are skipped.
     """
     t = type_lists.select("key", F.posexplode("types").alias("o", "schema_name"))
-    rows = t.join(F.broadcast(claims), "schema_name").join(F.broadcast(fields), F.col("field") == F.col("name"))
+    rows = t.join(claims, "schema_name").join(fields, F.col("field") == F.col("name"))
     first = lambda c, when=None: F.min_by(c, F.when(F.col(c).isNotNull() if when is None else when, F.col("o")))
     d = F.when(F.col("default_overridden"), F.coalesce("default_override", F.lit("null")))
     by_type = F.array_sort(F.collect_list(F.struct("o", F.coalesce("enum_override", "enum_values", F.array()).alias("values"))))
@@ -43,35 +44,68 @@ def conformance(g: Graph, claims: DataFrame, fields: DataFrame) -> DataFrame:
     """``node_id, field, state``: claimed, orphan, unfilled or unfilled-required; merged once per distinct type list."""
     lists = type_lists(g)
     effective = merge_claims(lists.select("key", "types").distinct(), claims, fields).select("key", "field", "required")
-    want = lists.select("node_id", "key").join(F.broadcast(effective), "key").select("node_id", "field", "required")
+    want = lists.select("node_id", "key").join(effective, "key").select("node_id", "field", "required")
     have = g.node_fields.select("node_id", F.col("field_name").alias("field"), F.lit(1).alias("h"))
     state = F.when(F.col("h").isNotNull() & F.col("required").isNotNull(), "claimed").when(F.col("h").isNotNull(), "orphan").when(F.col("required"), "unfilled-required").otherwise("unfilled")
     return want.join(have, ["node_id", "field"], "full").select("node_id", "field", state.alias("state"))
 
 
 def issues(g: Graph, claims: DataFrame, fields: DataFrame) -> DataFrame:
-    """``node_id, field, code``: TYPE_MISMATCH, ENUM_INVALID or REQUIRED_MISSING (no value and no default). A value
+    """``node_id, field, code, value``: TYPE_MISMATCH, ENUM_MISMATCH or REQUIRED_MISSING (no value and no default). A value
     that the list of any claiming type holds is valid."""
     lists = type_lists(g)
-    effective = merge_claims(lists.select("key", "types").distinct(), claims, fields).join(F.broadcast(fields.select(F.col("name").alias("field"), "field_type", "enum_values")), "field")
-    want = lists.select("node_id", "key").join(F.broadcast(effective), "key")
-    have = g.node_fields.select("node_id", F.col("field_name").alias("field"), "value_text", declared_kind().alias("kind"), F.lit(1).alias("h"))
+    effective = merge_claims(lists.select("key", "types").distinct(), claims, fields).join(fields.select(F.col("name").alias("field"), "field_type", "enum_values"), "field")
+    want = lists.select("node_id", "key").join(effective, "key")
+    have = g.node_fields.select("node_id", F.col("field_name").alias("field"), "value_text", rebuilt().alias("value"), declared_kind().alias("kind"), F.lit(1).alias("h"))
     both = want.join(have, ["node_id", "field"], "left")
     fits = F.when(F.col("field_type").isin("string", "enum", "reference"), F.col("kind") == "string").when(F.col("field_type") == "date", F.col("kind").isin("date", "string")).otherwise(F.col("kind") == F.col("field_type"))
     lists = F.coalesce("enum_lists", F.array("enum_values"))
     valid = F.exists(lists, lambda v: F.array_contains(v, F.col("value_text")))
     code = (F.when(F.col("h").isNull() & F.col("required") & F.col("default_value").isNull(), "REQUIRED_MISSING").when(F.col("h").isNotNull() & ~fits, "TYPE_MISMATCH")
-            .when((F.col("field_type") == "enum") & F.col("h").isNotNull() & ~valid, "ENUM_INVALID"))
-    return both.select("node_id", "field", code.alias("code")).filter("code is not null")
+            .when((F.col("field_type") == "enum") & F.col("h").isNotNull() & ~valid, "ENUM_MISMATCH"))
+    return both.select("node_id", "field", code.alias("code"), "value").filter("code is not null")
 
 
 def issue_groups(found: DataFrame, samples: int = 5) -> DataFrame:
-    """Issues counted by (code, field), with the smallest node ids as samples."""
+    """Issues counted by (reason, field), with the smallest node ids as samples. The reason of an enum mismatch is
+    ENUM_INVALID, that of any failed conversion TYPE_MISMATCH; other codes have none and are left out."""
+    found = found.withColumn("code", reason("code")).filter("code is not null")
     w = Window.partitionBy("code", "field").orderBy("node_id")
     few = found.withColumn("i", F.row_number().over(w)).filter(F.col("i") <= samples).groupBy("code", "field").agg(F.array_join(F.sort_array(F.collect_list("node_id")), ",").alias("samples"))
     return found.groupBy("code", "field").agg(F.count("*").alias("n")).join(few, ["code", "field"])
 
 
+def reason(code: str) -> Column:
+    """The reason under which an issue is grouped."""
+    c = F.col(code)
+    return F.when(c == "ENUM_MISMATCH", "ENUM_INVALID").when(c.isin("TYPE_MISMATCH", "COERCION_FAILED", "LIST_ITEM_COERCION_FAILED"), "TYPE_MISMATCH").when(c == "REQUIRED_MISSING", c)
+
+
+def invalid_values(found: DataFrame) -> DataFrame:
+    """``field, value, n``: how often each value outside its enum stands, to be read by falling ``n``."""
+    return found.filter("code = 'ENUM_MISMATCH'").groupBy("field", "value").agg(F.count("*").alias("n"))
+
+
+def fixable(found: DataFrame, effective: DataFrame, fields: DataFrame) -> DataFrame:
+    """``node_id, field, suggestion, allowed, field_type, sort_order`` of the issues a caller can mend without asking: a
+    near enum value or the list, a default, or the kind of a missing boolean, reference or enum.
+
+    ``found`` as of ``issues`` with the ``key`` of the node's type list, ``effective`` as of ``merge_claims``."""
+    kinds = fields.select(F.col("name").alias("field"), "field_type", "enum_values")
+    e = effective.select("key", "field", "sort_order", "default_value", "enum_lists").join(kinds, "field")
+    rows = found.join(e, ["key", "field"])
+    lists = F.array_distinct(F.coalesce(F.flatten("enum_lists"), F.col("enum_values")))
+    enum = F.col("code") == "ENUM_MISMATCH"
+    missing = F.col("code") == "REQUIRED_MISSING"
+    near = F.get(closest_of(F.trim("value"), lists), 0)
+    default = F.when(missing, F.col("default_value"))
+    suggestion = F.when(enum, near).otherwise(default)
+    allowed = F.when(suggestion.isNull() & (enum | (missing & (F.col("field_type") == "enum"))), lists)
+    kind = F.when(missing & suggestion.isNull() & F.col("field_type").isin("boolean", "reference"), F.col("field_type"))
+    out = rows.select("node_id", "field", suggestion.alias("suggestion"), allowed.alias("allowed"), kind.alias("field_type"), "sort_order")
+    return out.filter("suggestion is not null or allowed is not null or field_type is not null")
+
+
 def claim_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """``schema_name, field, change`` between two claim tables: added, removed, changed."""
     cols = ["label", "description", "sort_order", "required_override", "default_overridden", "default_override", "enum_override"]

@@ -29,7 +29,7 @@ def stats(g: Graph) -> DataFrame:
 
 def claimed_rows(g: Graph, claims: DataFrame) -> DataFrame:
     """(node_id, field_name) pairs that some type of the node claims."""
-    return g.node_types.join(F.broadcast(claims.select(F.col("schema_name").alias("schema_type"), F.col("field").alias("field_name"))), "schema_type").select("node_id", "field_name")
+    return g.node_types.join(claims.select(F.col("schema_name").alias("schema_type"), F.col("field").alias("field_name")), "schema_type").select("node_id", "field_name")
 
 
 def orphans(g: Graph, claims: DataFrame) -> DataFrame:
@@ -54,7 +54,7 @@ def coverage(g: Graph, claims: DataFrame) -> DataFrame:
 
 
 def claimed_rows_with_value(g: Graph, claims: DataFrame) -> DataFrame:
-    wanted = F.broadcast(claims.select(F.col("schema_name").alias("schema_type"), F.col("field").alias("field_name")))
+    wanted = claims.select(F.col("schema_name").alias("schema_type"), F.col("field").alias("field_name"))
     return g.node_types.join(wanted, "schema_type").join(g.node_fields.select("node_id", "field_name"), ["node_id", "field_name"])
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.values import classify, literal, rebuilt
 from ..plans.compiler import compile_filter
 from ..plans.filters import InvalidParams
 from ..tables import Graph
@@ -17,11 +18,7 @@ def set_fields(g: Graph, ids: DataFrame, values: dict[str, object]) -> Graph:
     """Field values of the given nodes; None removes the field. Children are replaced, versions grow by one."""
     spark = g.nodes.sparkSession
     ids = ids.select(F.col("id").alias("node_id"))
-    rows = []
-    for k, v in values.items():
-        if v is not None:
-            number = isinstance(v, (int, float)) and not isinstance(v, bool)
-            rows.append((k, None if number or not isinstance(v, str) else v, float(v) if number else None, None, str(v).lower() if isinstance(v, bool) else None))
+    rows = [(k, *classify(v)) for k, v in values.items() if v is not None]
     new = spark.createDataFrame(rows, "field_name string, value_text string, value_number double, value_date string, value_json string")
     gone = ids.crossJoin(F.broadcast(spark.createDataFrame([(k,) for k in values], "field_name string")))  # a row for each key the caller names
     kept = g.node_fields.join(gone, ["node_id", "field_name"], "left_anti")
@@ -61,9 +58,8 @@ def bulk_preview(g: Graph, where: dict, set_to: dict[str, object]) -> DataFrame:
     rows = None
     matched = compile_filter(g, where).select("id")
     for k, v in set_to.items():
-        old = g.node_fields.filter(F.col("field_name") == k).select(F.col("node_id").alias("id"), F.coalesce("value_json", F.col("value_number").cast("string"), "value_date", "value_text").alias("old"))
-        new = F.lit(None if v is None else str(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v))
-        part = matched.join(old, "id", "left").select("id", F.lit(k).alias("field"), "old", new.alias("new"))
+        old = g.node_fields.filter(F.col("field_name") == k).select(F.col("node_id").alias("id"), rebuilt().alias("old"))
+        part = matched.join(old, "id", "left").select("id", F.lit(k).alias("field"), "old", literal(v).alias("v")).select("id", "field", "old", rebuilt("v").alias("new"))
         rows = part if rows is None else rows.unionByName(part)
     return rows.withColumn("changed", ~F.col("old").eqNullSafe(F.col("new")))
 

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-import html
 import re
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import snippet
+
 K1, B = 1.2, 0.75
 RRF = 60
 NEAREST = 400
+CELLS = 64  # folders of an index; a term's rows lie in one
 # Latin-1 letters with marks and the letters they fold to; fixed values.
 ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
 
@@ -20,37 +24,67 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.translate(F.lower(c), *ACCENTS), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """``id, term, tf, len`` over title and body together."""
-    words = docs.select("id", tokens(F.concat_ws(" ", "title", "body")).alias("w"))
-    return words.select("id", F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
+@dataclass(frozen=True)
+class Index:
+    """``postings(id, len, term, places, cell)`` and ``size(n, avg)``, one row."""
+
+    postings: DataFrame
+    size: DataFrame
 
 
-def bm25(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """``id, score`` of documents that hold all terms. Only the terms' postings are counted; lengths come from the scan."""
+def build_index(docs: DataFrame) -> Index:
+    """Postings over title and body together; one pass over the texts, whatever is asked later."""
     words = docs.select("id", tokens(F.concat_ws(" ", "title", "body")).alias("w")).withColumn("len", F.size("w"))
-    size = words.agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
-    tf = words.select("id", "len", *(_count((t,)).alias(f"tf{i}") for i, t in enumerate(terms)))
-    df = tf.agg(*(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
-    hits = tf.filter(" AND ".join(f"tf{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(size.crossJoin(df)))  # one row
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        t, d, n = F.col(f"tf{i}"), F.col(f"df{i}"), F.col("n")
-        idf = F.greatest(F.log((n - d + 0.5) / (d + 0.5)), F.lit(1e-6))
-        score += idf * t * (K1 + 1) / (t + K1 * (1 - B + B * F.col("len") / F.col("avg")))
-    return hits.select("id", score.alias("score"))
+    rows = words.select("id", "len", F.posexplode("w").alias("place", "term"))
+    postings = rows.groupBy("id", "len", "term").agg(F.sort_array(F.collect_list("place")).alias("places"))  # of one document
+    return Index(postings.withColumn("cell", F.pmod(F.xxhash64("term"), F.lit(CELLS)).cast("int")), words.agg(F.count("*").alias("n"), F.avg("len").alias("avg")))
+
+
+def save_index(index: Index, path: str) -> None:
+    """Postings lie by term, so that a query reads the files and row groups of its terms."""
+    rows = index.postings.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(4)))  # a common term is no task of its own
+    rows.repartition("cell", "salt").drop("salt").sortWithinPartitions("cell", "term").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/postings")
+    index.size.write.mode("overwrite").parquet(f"{path}/size")
 
 
-def match(docs: DataFrame, query: str) -> DataFrame:
-    """The query language: words (all), ``OR``, ``NOT``, quoted phrases, ``prefix*``. A query that can't be read gives no rows."""
+def load_index(spark: SparkSession, path: str) -> Index:
+    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/size"))
+
+
+def match(index: Index, query: str) -> DataFrame:
+    """``id, score`` by BM25 of what the query language asks for: words (all), ``OR``, ``NOT``, quoted phrases, ``prefix*``.
+    A query that can't be read gives no rows. Only the terms' postings are read."""
     parsed = parse(query)
     if parsed is None:
-        return docs.select("id", F.lit(0.0).alias("score")).limit(0)
-    words = docs.select("id", tokens(F.concat_ws(" ", "title", "body")).alias("w")).withColumn("len", F.size("w"))
-    size = words.agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
+        return index.postings.select("id", F.lit(0.0).alias("score")).limit(0)
     atoms = list(dict.fromkeys(a for alt in parsed for a, _ in alt))
-    tf = words.select("id", "len", *(_count(a).alias(f"tf{i}") for i, a in enumerate(atoms)))
-    df = tf.agg(*(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(atoms))))
+    terms = list(dict.fromkeys(t for a in atoms for t in a))
+    whole = [t for t in terms if not t.endswith("*")]
+    heads = [t[:-1] for t in terms if t.endswith("*")]
+    wanted = F.lit(False)
+    if whole:
+        cells = index.postings.sparkSession.range(1).select(*(F.pmod(F.xxhash64(F.lit(t)), F.lit(CELLS)).cast("int") for t in whole)).first()
+        wanted = F.col("term").isin(whole) & (F.col("cell").isin(sorted(set(cells))))
+    for p in heads:
+        wanted |= F.col("term").startswith(p)
+    is_term = lambda t: F.col("term").startswith(t[:-1]) if t.endswith("*") else F.col("term") == t
+    rows = index.postings.filter(wanted).groupBy("id").agg(F.first("len").alias("len"), *(F.flatten(F.collect_list(F.when(is_term(t), F.col("places")))).alias(f"p{i}") for i, t in enumerate(terms)))
+    place = {t: F.col(f"p{i}") for i, t in enumerate(terms)}
+
+    def tf(atom: tuple[str, ...]) -> Column:
+        if len(atom) == 1:
+            return F.size(place[atom[0]])
+
+        def follows(p: Column) -> Column:
+            out = F.lit(True)
+            for j, t in enumerate(atom[1:], 1):
+                out &= F.array_contains(place[t], p + j)
+            return out
+
+        return F.size(F.filter(place[atom[0]], follows))
+
+    counted = rows.select("id", "len", *(tf(a).alias(f"tf{i}") for i, a in enumerate(atoms)))
+    df = counted.agg(*(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(atoms))))
     ok = F.lit(False)
     for alt in parsed:
         here = F.lit(True)
@@ -64,25 +98,7 @@ def match(docs: DataFrame, query: str) -> DataFrame:
         if a in scored:
             t, d, n = F.col(f"tf{i}"), F.col(f"df{i}"), F.col("n")
             score += F.greatest(F.log((n - d + 0.5) / (d + 0.5)), F.lit(1e-6)) * t * (K1 + 1) / (t + K1 * (1 - B + B * F.col("len") / F.col("avg")))
-    return tf.filter(ok).crossJoin(F.broadcast(size.crossJoin(df))).select("id", score.alias("score"))
-
-
-def _count(atom: tuple[str, ...]) -> Column:
-    *head, last = atom
-    prefix = last.endswith("*")
-    seq = [*head, last.rstrip("*")]
-    k = len(seq)
-    if k == 1 and not prefix:
-        return F.size(F.filter("w", lambda x: x == last))
-
-    def hit(x: Column, i: Column) -> Column:
-        out = F.lit(True)
-        for j, t in enumerate(seq):
-            w = F.get(F.col("w"), i + j)
-            out &= F.coalesce(w.startswith(t) if prefix and j == k - 1 else w == t, F.lit(False))
-        return out
-
-    return F.size(F.filter("w", hit))
+    return counted.filter(ok).crossJoin(F.broadcast(index.size.crossJoin(df))).select("id", score.alias("score"))  # one row each
 
 
 def parse(query: str) -> list[list[tuple[tuple[str, ...], bool]]] | None:
@@ -122,30 +138,114 @@ def distance(query: list[float], col: str = "vector") -> Column:
 def nearest(chunks: DataFrame, query: list[float], k: int = NEAREST) -> DataFrame:
     """``id, node_id, source_type, distance, rank`` of the nearest chunks over all: a filter applies afterwards."""
     top = chunks.withColumn("distance", distance(query)).orderBy("distance", "id").limit(k)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy("distance", "id"))).select("id", "node_id", "source_type", "chunk_index", "distance", "rank")
+    return top.withColumn("rank", F.row_number().over(Window.orderBy("distance", "id"))).select(*(c for c in ("id", "node_id", "source_type", "extraction_ref", "chunk_index") if c in chunks.columns), "distance", "rank")
+
+
+def ranked(rows: DataFrame, *order: Column) -> DataFrame:
+    """``rank`` from 1 in one order over all rows, without a task that holds all: rows are sorted by range, each range is
+    counted, and a row's rank is its place in its range behind the ranges before."""
+    rows = rows.orderBy(*order).withColumns({"_part": F.spark_partition_id(), "_seq": F.monotonically_increasing_id()})
+    # the id's low 33 bits count a partition's rows
+    rows = rows.withColumn("_at", F.col("_seq") - F.shiftleft(F.col("_part").cast("long"), 33))
+    sizes = rows.groupBy("_part").agg(F.max("_at").alias("last"))  # one row a range
+    before = sizes.withColumn("_base", F.sum(F.col("last") + 1).over(Window.orderBy("_part")) - F.col("last") - 1).select("_part", "_base")
+    return rows.join(F.broadcast(before), "_part").withColumn("rank", (F.col("_base") + F.col("_at") + 1).cast("int")).drop("_part", "_seq", "_at", "_base")
 
 
 def fuse(text: DataFrame, vectors: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
-    """``node_id, score, sources``: 1 / (60 + rank) over the text list and over *all* of a node's chunks."""
-    order = Window.orderBy(F.desc("score"), "id")
+    """``node_id, score, sources, matched_chunk_index, matched_embed``: 1 / (60 + rank) over the text list and over *all*
+    of a node's chunks; the best chunk, and the first extraction among them. Candidates filter after the nearest are known."""
     if candidates is not None:
         ids = candidates.select("id")
         text = text.join(ids, "id", "left_semi")
-        vectors = vectors.join(ids.withColumnRenamed("id", "node_id"), "node_id", "left_semi")
-    a = text.select(F.col("id").alias("node_id"), F.lit("fts").alias("s"), F.row_number().over(order).alias("rank"))
-    v = vectors.withColumn("rank", F.row_number().over(Window.orderBy("rank"))) if candidates is not None else vectors
-    b = v.select("node_id", F.lit("semantic").alias("s"), "rank")
-    return a.unionByName(b).groupBy("node_id").agg(F.sum(1 / (F.lit(RRF) + F.col("rank"))).alias("score"), F.array_join(F.sort_array(F.collect_set("s")), ",").alias("sources"))
-
-
-def snippet(text: str, terms: list[str], before: int = 40, after: int = 120) -> str:
-    """Text around the first mark, with every term marked; for the rows of a page."""
-    rx = re.compile("|".join(re.escape(t) for t in sorted(terms, key=len, reverse=True)), re.I) if terms else None
-    m = rx.search(text) if rx else None
-    a, b = (max(0, m.start() - before), m.end() + after) if m else (0, before + after)
-    cut = text[a:b]
-    marked = rx.sub(lambda x: f"<mark>{x[0]}</mark>", cut) if rx else html.unescape(cut)
-    return ("…" if a else "") + marked + ("…" if b < len(text) else "")
+        near = vectors.join(ids.withColumnRenamed("id", "node_id"), "node_id", "left_semi")
+        vectors = near.withColumn("rank", F.row_number().over(Window.orderBy("rank")))  # NEAREST rows at most
+    none = F.lit(None)
+    a = ranked(text, F.desc("score"), F.col("id")).select(F.col("id").alias("node_id"), F.lit("fts").alias("s"), "rank", none.cast("int").alias("chunk_index"), none.cast("string").alias("embed"))
+    embed = F.when(F.col("source_type") == "extraction", F.col("extraction_ref")) if "extraction_ref" in vectors.columns else none
+    b = vectors.select("node_id", F.lit("semantic").alias("s"), "rank", F.col("chunk_index").cast("int").alias("chunk_index"), embed.cast("string").alias("embed"))
+    seen = F.col("s") == "semantic"
+    return a.unionByName(b).groupBy("node_id").agg(
+        F.sum(1 / (F.lit(RRF) + F.col("rank"))).alias("score"), F.array_join(F.sort_array(F.collect_set("s")), ",").alias("sources"),
+        F.min_by("chunk_index", F.when(seen, F.col("rank"))).alias("matched_chunk_index"), F.min_by("embed", F.when(F.col("embed").isNotNull(), F.col("rank"))).alias("matched_embed"))
+
+
+def hybrid(index: Index, chunks: DataFrame, query: str, vector: list[float], nodes: DataFrame, candidates: DataFrame | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+    """One page of the fused list with title, path and snippet, which are made for the page alone. A text query that can't
+    be read leaves the vectors. Equal scores are in order of the id."""
+    hits = fuse(match(index, query), nearest(chunks, vector), candidates)
+    page = hits.orderBy(F.desc("score"), "node_id").offset(offset).limit(limit)
+    terms = query.split()
+    rows = page.join(nodes.select(F.col("id").alias("node_id"), "title", "body"), "node_id")
+    marks = F.when(F.array_contains(F.split("sources", ","), "fts"), snippet(F.concat_ws(" ", F.nullif("title", F.lit("")), F.nullif("body", F.lit(""))), terms))
+    return rows.withColumn("snippet", marks).drop("body")
+
+
+def documents(nodes: DataFrame, node_fields: DataFrame) -> DataFrame:
+    """``node_id, content``: title, body and each text field by name, with an empty line between; empty ones are left out."""
+    texts = node_fields.filter("value_text is not null").groupBy("node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("field_name", "value_text"))), lambda x: x["value_text"]).alias("texts"))
+    full = nodes.select(F.col("id").alias("node_id"), "title", "body").join(texts, "node_id", "left")
+    parts = F.concat(F.filter(F.array("title", "body"), lambda x: x.isNotNull() & (x != "")), F.coalesce("texts", F.array().cast("array<string>")))
+    return full.select("node_id", F.array_join(parts, "\n\n").alias("content"))
+
+
+def chunks_of(docs: DataFrame, size: int = 200, overlap: int = 20) -> DataFrame:
+    """``node_id, chunk_index, content`` of every document's pieces."""
+
+    def run(batches):
+        for df in batches:
+            rows = [(n, i, c) for n, text in df.itertuples(index=False) for i, c in enumerate(chunk(text or "", size, overlap))]
+            yield pd.DataFrame(rows, columns=["node_id", "chunk_index", "content"])
+
+    return docs.select("node_id", "content").mapInPandas(run, "node_id string, chunk_index int, content string")
+
+
+def hashed_vectors(texts: DataFrame, dims: int = 64, prefix: str = "") -> DataFrame:
+    """A ``vector`` for each ``content``: counts of its words by hash, signed and normalised; a stand-in that needs no model."""
+    words = tokens(F.concat(F.lit(prefix), F.col("content")))
+    at = lambda w: F.pmod(F.xxhash64(w), F.lit(dims))
+    sign = lambda w: F.when(F.xxhash64(w, F.lit(1)) % 2 == 0, 1.0).otherwise(-1.0)
+    sums = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.aggregate(F.filter("_w", lambda w: at(w) == i), F.lit(0.0), lambda s, w: s + sign(w)))
+    length = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda s, x: s + x * x))
+    return texts.withColumn("_w", words).withColumn("_v", sums).withColumn("vector", F.transform("_v", lambda x: x / F.greatest(length, F.lit(1e-9)))).drop("_w", "_v")
+
+
+def embedding_queue(wanted: DataFrame, meta: DataFrame, attempts: int = 3) -> DataFrame:
+    """``node_id, source_type, extraction_ref`` whose vectors are to be made: each once, unless the content's hash is the
+    stored one or all ``attempts`` failed. ``wanted(node_id, source_type, extraction_ref, content_hash, tries)``."""
+    keys = ["node_id", "source_type", "extraction_ref"]
+    have = meta.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("content_hash").alias("_hash"))
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    last = wanted.groupBy(*keys).agg(F.max_by("content_hash", "tries").alias("content_hash"), F.max("tries").alias("tries")).filter(F.col("tries") < attempts)
+    return last.join(have, same & (F.col("content_hash") == F.col("_hash")), "left_anti").select(*keys)
+
+
+def replace_group(vectors: DataFrame, fresh: DataFrame) -> DataFrame:
+    """All chunks of a (node, source, reference) give way to the new ones at once."""
+    keys = ["node_id", "source_type", "extraction_ref"]
+    gone = fresh.select(*(F.col(k).alias(f"_{k}") for k in keys)).distinct()
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return vectors.join(gone, same, "left_anti").unionByName(fresh)
+
+
+def prune_extractions(vectors: DataFrame, refs: DataFrame) -> DataFrame:
+    """Vectors of extractions that their node doesn't embed any more go; ``refs(node_id, extraction_ref)`` are the present ones."""
+    stale = vectors.filter("source_type = 'extraction'").join(refs, ["node_id", "extraction_ref"], "left_anti")
+    return vectors.filter("source_type is null or source_type <> 'extraction'").unionByName(vectors.filter("source_type = 'extraction'").join(stale.select("node_id", "extraction_ref").distinct(), ["node_id", "extraction_ref"], "left_anti").select(*vectors.columns))
+
+
+def index_status(nodes: DataFrame, meta: DataFrame) -> DataFrame:
+    """``total, embedded``: nodes, and those that have a vector."""
+    return nodes.agg(F.count("*").alias("total")).crossJoin(meta.agg(F.count_distinct("node_id").alias("embedded")))  # one row each
+
+
+def needs_rebuild(meta: DataFrame, version: str) -> bool:
+    """Whether ``meta(key, value)`` lacks the wanted search version; a rebuild writes a new index folder."""
+    return meta.filter((F.col("key") == "search_version") & (F.col("value") == version)).isEmpty()
 
 
 def chunk(text: str, size: int = 200, overlap: int = 20) -> list[str]:

@@ -18,9 +18,10 @@ from .operators import page as P
 from .operators import search as S
 from .plans.compiler import compile_filter
 from .plans.filters import Page
-from .sources.adapter import graph, prelude
+from .sources.adapter import prelude
+from .sources.adapter import stored_graph as graph
 from .streaming import debounce as E
-from .tables import table
+from .tables import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -327,14 +328,19 @@ def _docs(s, d):
     return s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), F.concat(F.lit("doc-"), "doc_id").alias("title"), F.col("text").alias("body"))
 
 
+def _index(s, d):
+    path = stored(s, "fts", [f"{d}/documents.parquet"], lambda p: S.save_index(S.build_index(_docs(s, d)), p))
+    return S.load_index(s, path)
+
+
 @query("r01_bm25", _BM)
 def _bm25(s, d):
-    return S.bm25(_docs(s, d), ["the", "thin"]).select("id", F.round("score", 9).alias("score"))
+    return S.match(_index(s, d), "the thin").select("id", F.round("score", 9).alias("score"))
 
 
 @query("r02_match_or", _BM.replace("WHERE a > 0 AND b > 0", "WHERE a > 0 OR b > 0"))
 def _match(s, d):
-    return S.match(_docs(s, d), "the OR thin").select("id", F.round("score", 9).alias("score"))
+    return S.match(_index(s, d), "the OR thin").select("id", F.round("score", 9).alias("score"))
 
 
 _Q = [round(0.1 * ((i * 7) % 11 - 5) / 5, 3) for i in range(64)]
@@ -353,7 +359,7 @@ def _knn(s, d):
 @query("r04_rrf", f"""SELECT node_id, round(sum(1.0 / (60 + r)), 9) AS score, string_agg(DISTINCT s, ',' ORDER BY s) AS sources FROM (SELECT id AS node_id, 'fts' AS s, row_number() OVER (ORDER BY score DESC, id) AS r FROM ({_BM.replace('round(score, 9)', 'score')}) f
  UNION ALL SELECT id, 'semantic', row_number() OVER (ORDER BY dist, id) FROM (SELECT * FROM ({_KNN}) k ORDER BY dist, id LIMIT 400) z) u GROUP BY 1""")
 def _rrf(s, d):
-    return S.fuse(S.bm25(_docs(s, d), ["the", "thin"]), S.nearest(_chunks(s, d), _Q)).select("node_id", F.round("score", 9).alias("score"), "sources")
+    return S.fuse(S.match(_index(s, d), "the thin"), S.nearest(_chunks(s, d), _Q)).select("node_id", F.round("score", 9).alias("score"), "sources")
 
 
 @query("m06_bulk_preview", _PRE + f"SELECT n.id AS id, 'orderstatus' AS field, f.value_text AS old, 'X' AS new, TRUE AS changed FROM nodes n JOIN node_fields f ON f.node_id = n.id AND f.field_name = 'orderstatus' WHERE {_type('urgent')}")

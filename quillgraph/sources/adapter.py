@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..tables import Graph
+from ..tables import Graph, load, save, stored
 
 
 @dataclass
@@ -110,6 +110,13 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(**parts)
 
 
+def stored_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The same, written once a session. A plan over the unions repeats each predicate's right side in every branch; over
+    the tables a predicate is one scan."""
+    sources = sorted({t for x in _selects().values() for t, _ in x})
+    return load(spark, stored(spark, "graph", [f"{sf_dir}/{t}.parquet" for t in sources], lambda path: save(graph(spark, sf_dir), path)))
+
+
 def _split(head: str) -> list[str]:
     """Top-level commas of a SELECT list."""
     out, depth, quoted, start = [], 0, False, 0

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .schema import TABLES
 
@@ -25,11 +29,49 @@ def table(spark: SparkSession, name: str, rows: list[tuple] = ()) -> DataFrame:
     return spark.createDataFrame(list(rows), TABLES[name])
 
 
+NAMES = ("nodes", "node_types", "node_fields", "relationships")
+#: What filters name literally; a filter then opens the files of its types, fields and relations alone.
+PARTS = {"node_types": "schema_type", "node_fields": "field_name", "relationships": "rel_type"}
+
+
 def save(graph: Graph, path: str) -> None:
     """A new version under its own folder; a reader takes the path of the version it was told."""
-    for name in ("nodes", "node_types", "node_fields", "relationships"):
-        getattr(graph, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    for name in NAMES:
+        put(getattr(graph, name), f"{path}/{name}", PARTS.get(name))
 
 
 def load(spark: SparkSession, path: str) -> Graph:
-    return Graph(*(spark.read.parquet(f"{path}/{n}") for n in ("nodes", "node_types", "node_fields", "relationships")))
+    return Graph(*(get(spark, f"{path}/{n}", PARTS.get(n)) for n in NAMES))
+
+
+def put(df: DataFrame, path: str, by: str | None = None) -> None:
+    out = df.write.mode("overwrite")
+    (out.partitionBy(by) if by else out).parquet(path)
+
+
+def get(spark: SparkSession, path: str, by: str | None = None) -> DataFrame:
+    df = spark.read.option("mergeSchema", "false").parquet(path)
+    return df.withColumn(by, F.col(by).cast("string")) if by else df
+
+
+_STORED: dict[tuple, str] = {}
+
+
+def stored(spark: SparkSession, name: str, sources: list[str], make: Callable[[str], None]) -> str:
+    """Folder of what ``make(folder)`` writes, made once a session for each state of the source files (their paths, sizes
+    and times). It lies below ``spark.checkpoint.dir``; where that is unset, as in tests, in a temporary folder."""
+    marks = []
+    for s in sources:
+        where = spark._jvm.org.apache.hadoop.fs.Path(s)
+        files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        marks += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files.listStatus(where)]
+    key = (spark.sparkContext.applicationId, name, tuple(sorted(marks)))
+    if key not in _STORED:
+        root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not root:
+            root = "file://" + tempfile.mkdtemp(prefix="quillgraph-")
+            spark.conf.set("spark.checkpoint.dir", root)
+        folder = f"{root.rstrip('/')}/quillgraph-{name}-{uuid.uuid4().hex}"
+        make(folder)
+        _STORED[key] = folder
+    return _STORED[key]

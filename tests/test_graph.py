@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.functions.coerce import coerce, coerce_list
-from quillgraph.functions.text import closest, embeds, like_ci, nfc, wiki_links
+from quillgraph.functions.text import closest, embeds, like_ci, nfc, rewrite_links, snippet, wiki_links
 from quillgraph.operators import claims as C
 from quillgraph.operators import discovery as D
 from quillgraph.operators import graph as G
@@ -105,10 +105,10 @@ def test_enum_values_per_type(spark, g):
     found = lambda *c: {(r.node_id, r.code) for r in C.issues(g, claims(*c), fields).collect()}
     claims = lambda *c: table(spark, "claims", [(t, "status", None, None, 1, None, False, None, v) for t, v in c])
     assert found(("meeting", None), ("note", None), ("task", None)) == set()
-    assert found(("meeting", ["done"]), ("task", ["done"])) == {("n1", "ENUM_INVALID"), ("n3", "ENUM_INVALID")}
+    assert found(("meeting", ["done"]), ("task", ["done"])) == {("n1", "ENUM_MISMATCH"), ("n3", "ENUM_MISMATCH")}
     assert found(("meeting", ["done"]), ("note", None)) == set()  # the other type's list is the global one
-    assert found(("meeting", ["done"]), ("note", ["new", "open"])) == {("n2", "ENUM_INVALID")}
-    assert found(("task", [])) == {("n3", "ENUM_INVALID")}
+    assert found(("meeting", ["done"]), ("note", ["new", "open"])) == {("n2", "ENUM_MISMATCH")}
+    assert found(("task", [])) == {("n3", "ENUM_MISMATCH")}
     lists = spark.createDataFrame([("mn", ["meeting", "note"]), ("n", ["note"])], "key string, types array<string>")
     got = {r.key: r.enum_lists for r in C.merge_claims(lists, claims(("meeting", ["done"]), ("note", None)), fields).collect()}
     assert got == {"mn": [["done"], ["open", "done"]], "n": None}
@@ -142,7 +142,7 @@ BM = [(1, "Café plan", "alpha beta"), (2, "x", "alpha alpha"), (3, "y", "gamma"
     ('"gamma epsilon"', {5: 1.3445936989955776}), ("kap*", {8: 1.9313254949209206}), ("foo", {4: 1.118135812848954}), ("alpha NOT beta", {2: 1.356209792942168}), ("e-mail", {}), ("cafe", {1: 1.118135812848954}),
 ])
 def test_full_text(spark, q, want):
-    got = {r.id: r.score for r in S.match(spark.createDataFrame(BM, "id long, title string, body string"), q).collect()}
+    got = {r.id: r.score for r in S.match(S.build_index(spark.createDataFrame(BM, "id long, title string, body string")), q).collect()}
     assert got.keys() == want.keys()
     if q != "cafe":
         assert all(abs(got[k] - v) < 1e-9 for k, v in want.items())
@@ -153,7 +153,8 @@ def test_fusion_sums_over_chunks(spark):
     text = spark.createDataFrame([("b", 2.0)], "id string, score double")
     got = {r.node_id: (round(r.score, 9), r.sources) for r in S.fuse(text, S.nearest(chunks, [0.0, 0.0])).collect()}
     assert got == {"a": (round(1 / 61 + 1 / 62, 9), "semantic"), "b": (round(1 / 61 + 1 / 63, 9), "fts,semantic")}
-    assert S.snippet("the alpha day", ["alpha"]) == "the <mark>alpha</mark> day"
+    marks = spark.createDataFrame([("the Alpha day",), ("x" * 60 + "alpha" + "y" * 200,), ("none",)], "t string").select(snippet("t", ["alpha"]).alias("s")).collect()
+    assert [r.s for r in marks] == ["the <mark>Alpha</mark> day", "..." + "x" * 40 + "<mark>alpha</mark>" + "y" * 102 + "...", None]
     assert max(len(c.split()) for c in S.chunk("# A\n" + "w " * 500 + "\n\n# B\nshort", 100, 10)) <= 100
 
 
