@@ -81,3 +81,42 @@ def coerce_list(c: Column, item: str, enum_values: list[str] | None = None) -> C
     each = F.transform(c, lambda x: coerce(x, item, enum_values))
     return F.struct((~F.exists(each, lambda r: ~r["ok"])).alias("ok"), F.transform(each, lambda r: r["value"]).alias("values"),
                     F.exists(each, lambda r: r["changed"]).alias("changed"), F.size(F.filter(each, lambda r: ~r["ok"])).alias("bad"))
+
+
+# Formats of written dates beside ISO, tried in this order; a documented subset of natural language.
+WRITTEN = ["MMMM d, yyyy", "MMM d, yyyy", "MMMM d yyyy", "MMM d yyyy", "d MMMM yyyy", "d MMM yyyy", "yyyy/M/d", "M/d/yyyy", "d.M.yyyy"]
+
+
+def to_date_fuzzy(c: Column) -> Column:
+    """ISO dates as they are; written ones as ``YYYY-MM-DD``, with ``THH:mm`` where a time follows."""
+    t = F.trim(F.regexp_replace(c, r"[|\[\]]+", " "))
+    clock = F.regexp_extract(t, r"(?:\s+|\s+at\s+)(\d{1,2}:\d{2})$", 1)
+    day = F.trim(F.regexp_replace(t, r"(?:\s+at)?\s+\d{1,2}:\d{2}$", ""))
+    found = F.coalesce(*(F.try_to_timestamp(day, F.lit(f)) for f in WRITTEN))
+    hour = F.lpad(clock, 5, "0")
+    value = F.concat(F.date_format(found, "yyyy-MM-dd"), F.when(clock != "", F.concat(F.lit("T"), hour)).otherwise(""))
+    iso = to_date(c)
+    return F.when(iso["ok"], iso).when(found.isNotNull(), _good(value, "STRING_TO_DATE_FUZZY")).otherwise(_fail(c, "date"))
+
+
+def to_string(c: Column, source: str) -> Column:
+    """Numbers, dates and booleans as text."""
+    value = c
+    if source == "number":  # whole numbers have no point
+        value = F.when(c == F.floor(c), F.format_string("%.0f", c.cast("double"))).otherwise(c.cast("string"))
+    return F.when(c.isNull(), _out(True, None, False, None, None)).otherwise(_good(value, {"number": "NUMBER_TO_STRING", "date": "DATE_TO_STRING", "boolean": "BOOLEAN_TO_STRING"}[source]))
+
+
+def wrap_list(c: Column, item: str, enum_values: list[str] | None = None) -> Column:
+    """A single value as a list of one: struct(ok, values, code, reason)."""
+    one = coerce(c, item, enum_values)
+    return F.struct(one["ok"].alias("ok"), F.when(one["ok"], F.array(one["value"])).alias("values"), F.when(one["ok"], "SINGLE_TO_LIST").alias("code"), F.when(~one["ok"], F.concat(F.lit("Not an element: "), one["reason"])).alias("reason"))
+
+
+def list_errors(c: Column, item: str, enum_values: list[str] | None = None) -> Column:
+    """An array column: struct(ok, values, changed, code, errors), ``errors`` being (index, value, reason) of each element that fails."""
+    each = F.transform(c, lambda x, i: F.struct(i.cast("int").alias("index"), x.alias("value"), coerce(x, item, enum_values).alias("r")))
+    errors = F.transform(F.filter(each, lambda e: ~e["r"]["ok"]), lambda e: F.struct(e["index"].alias("index"), e["value"].alias("value"), e["r"]["reason"].alias("reason")))
+    ok = F.size(errors) == 0
+    changed = ok & F.exists(each, lambda e: e["r"]["changed"])
+    return F.struct(ok.alias("ok"), F.when(ok, F.transform(each, lambda e: e["r"]["value"])).alias("values"), changed.alias("changed"), F.when(changed, "LIST_ELEMENT_COERCION").alias("code"), errors.alias("errors"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.coerce import coerce
 from ..functions.text import closest_of
 from ..functions.values import declared_kind, rebuilt
 from ..tables import Graph
@@ -54,13 +55,17 @@ def issues(g: Graph, claims: DataFrame, fields: DataFrame) -> DataFrame:
     """``node_id, field, code, value``: TYPE_MISMATCH, ENUM_MISMATCH or REQUIRED_MISSING (no value and no default). A value
     that the list of any claiming type holds is valid."""
     lists = type_lists(g)
-    effective = merge_claims(lists.select("key", "types").distinct(), claims, fields).join(fields.select(F.col("name").alias("field"), "field_type", "enum_values"), "field")
-    want = lists.select("node_id", "key").join(effective, "key")
+    effective = merge_claims(lists.select("key", "types").distinct(), claims, fields).join(fields.select(F.col("name").alias("field"), "field_type", "enum_values", "list_item_type"), "field")
+    claimed = lists.select("node_id", "key").join(effective, "key")
     have = g.node_fields.select("node_id", F.col("field_name").alias("field"), "value_text", rebuilt().alias("value"), declared_kind().alias("kind"), F.lit(1).alias("h"))
-    both = want.join(have, ["node_id", "field"], "left")
-    fits = F.when(F.col("field_type").isin("string", "enum", "reference"), F.col("kind") == "string").when(F.col("field_type") == "date", F.col("kind").isin("date", "string")).otherwise(F.col("kind") == F.col("field_type"))
+    both = claimed.join(have, ["node_id", "field"], "left")
+    text, kind, want = F.coalesce("value_text", "value"), F.col("kind"), F.col("field_type")
+    written = kind.isin("string", "date")  # a date is read as its text
+    fits = (F.when(want == "string", kind != "list").when(want == "reference", written).when(want == "enum", kind != "list")
+            .when(want == "date", written & coerce(text, "date")["ok"]).when(want == "number", (kind == "number") | (written & coerce(text, "number")["ok"]))
+            .when(want == "boolean", (kind == "boolean") | (written & coerce(text, "boolean")["ok"])).when(want == "list", (kind == "list") | F.col("list_item_type").isNotNull()).otherwise(kind == want))
     lists = F.coalesce("enum_lists", F.array("enum_values"))
-    valid = F.exists(lists, lambda v: F.array_contains(v, F.col("value_text")))
+    valid = F.exists(lists, lambda v: F.exists(v, lambda x: F.lower(x) == F.lower(F.trim(text))))
     code = (F.when(F.col("h").isNull() & F.col("required") & F.col("default_value").isNull(), "REQUIRED_MISSING").when(F.col("h").isNotNull() & ~fits, "TYPE_MISMATCH")
             .when((F.col("field_type") == "enum") & F.col("h").isNotNull() & ~valid, "ENUM_MISMATCH"))
     return both.select("node_id", "field", code.alias("code"), "value").filter("code is not null")

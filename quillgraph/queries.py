@@ -284,9 +284,19 @@ def _conformance(s, d):
     return C.conformance(graph(s, d), table(s, "claims", CLAIMS), table(s, "global_fields", FIELDS)).groupBy("field", "state").agg(F.count("*").alias("n"))
 
 
-@query("v02_issue_groups", _DIMS + """, i AS (SELECT DISTINCT t.node_id, 'mktsegment' AS field, 'ENUM_INVALID' AS code FROM node_types t JOIN node_fields f ON f.node_id = t.node_id AND f.field_name = 'mktsegment' WHERE t.schema_type = 'customer' AND f.value_text NOT IN ('BUILDING', 'MACHINERY')
- UNION ALL SELECT DISTINCT node_id, 'phone', 'REQUIRED_MISSING' FROM node_types WHERE schema_type = 'customer' UNION ALL SELECT d.node_id, 'lang', 'REQUIRED_MISSING' FROM node_types d WHERE schema_type = 'document' AND NOT EXISTS (SELECT 1 FROM node_fields f WHERE f.node_id = d.node_id AND f.field_name = 'lang')),
- r AS (SELECT *, row_number() OVER (PARTITION BY code, field ORDER BY node_id) AS k FROM i) SELECT code, field, CAST(count(*) AS BIGINT) AS n, string_agg(node_id, ',' ORDER BY node_id) FILTER (k <= 5) AS samples FROM r GROUP BY 1, 2""")
+# Each claimed field of a node: override if the overriding types agree, else the global value; an enum value is good if the
+# list of any claiming type (its override, else the global one) holds it, letter case aside.
+_ISSUES = _DIMS + """, e AS (SELECT t.node_id, c.field, any_value(f.field_type) AS kind, CASE WHEN count(DISTINCT c.required_override) = 1 THEN bool_or(c.required_override) ELSE bool_or(f.required) END AS required,
+  CASE WHEN count(DISTINCT CASE WHEN c.default_overridden THEN coalesce(c.default_override, 'null') END) = 1 THEN nullif(max(CASE WHEN c.default_overridden THEN coalesce(c.default_override, 'null') END), 'null') ELSE max(f.default_value) END AS dflt,
+  flatten(list(coalesce(c.enum_override, f.enum_values, []))) AS valid
+  FROM node_types t JOIN claims c ON c.schema_name = t.schema_type JOIN global_fields f ON f.name = c.field GROUP BY 1, 2),
+ b AS (SELECT e.*, v.node_id IS NOT NULL AS has, coalesce(v.value_json, CAST(v.value_number AS VARCHAR), v.value_date, v.value_text) AS value, v.value_number IS NOT NULL AS num FROM e LEFT JOIN node_fields v ON v.node_id = e.node_id AND v.field_name = e.field),
+ i AS (SELECT node_id, field, value, CASE WHEN NOT has AND required AND dflt IS NULL THEN 'REQUIRED_MISSING' WHEN has AND kind = 'number' AND NOT num AND try_cast(value AS DOUBLE) IS NULL THEN 'TYPE_MISMATCH'
+  WHEN has AND kind = 'enum' AND NOT list_contains(list_transform(valid, lambda x: lower(x)), lower(trim(value))) THEN 'ENUM_INVALID' END AS code FROM b)"""
+
+
+@query("v02_issue_groups", _ISSUES + """, r AS (SELECT *, row_number() OVER (PARTITION BY code, field ORDER BY node_id) AS k FROM i WHERE code IS NOT NULL)
+ SELECT code, field, CAST(count(*) AS BIGINT) AS n, string_agg(node_id, ',' ORDER BY node_id) FILTER (k <= 5) AS samples FROM r GROUP BY 1, 2""")
 def _issues(s, d):
     return C.issue_groups(C.issues(graph(s, d), table(s, "claims", CLAIMS), table(s, "global_fields", FIELDS)))
 
@@ -387,7 +397,10 @@ def _file_events(s, d):
     return s.read.parquet(f"{d}/events.parquet").select(F.col("user_id").cast("string").alias("path"), F.col("event_type").alias("event"), millis("ts").alias("ms"))
 
 
-@query("t02_debounce")
+@query("t02_debounce", f"""WITH RECURSIVE e AS (SELECT path, event, ms, row_number() OVER (PARTITION BY path ORDER BY ms, event) AS i FROM ({_BURSTS}) x),
+ w AS (SELECT path, i, event, ms, ms AS first_ms, 1 AS b FROM e WHERE i = 1 UNION ALL
+  SELECT e.path, e.i, e.event, e.ms, CASE WHEN e.ms - w.ms >= 2500 OR e.ms - w.first_ms >= 5000 THEN e.ms ELSE w.first_ms END, w.b + CASE WHEN e.ms - w.ms >= 2500 OR e.ms - w.first_ms >= 5000 THEN 1 ELSE 0 END
+  FROM w JOIN e ON e.path = w.path AND e.i = w.i + 1) SELECT path, arg_max(event, i) AS event, min(ms) AS first_ms, max(ms) AS last_ms, CAST(count(*) AS BIGINT) AS n FROM w GROUP BY path, b""")
 def _debounce(s, d):
     return E.debounce(_file_events(s, d))
 
@@ -420,3 +433,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open orders of customers in one market segment: a filter across an edge, sorted, paged and enriched."""
     g = graph(spark, sf_dir)
     return P.enrich(g, P.page(g, _FLAGSHIP)).select("id", "file_path", "title", "version", F.array_join("types", ",").alias("types"), "field_count")
+
+
+from . import queries_more  # noqa: E402, F401

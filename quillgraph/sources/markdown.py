@@ -11,8 +11,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PARSED = "file_path string, title string, types array<string>, fields map<string,string>, body string, links array<struct<target:string,context:string,field:string>>, parse_error string, content_hash string, file_mtime long"
-SKIPPED = {"node_modules", "__pycache__"}
+from ..functions.values import classified
+
+PARSED = "file_path string, title string, types array<string>, fields map<string,string>, body string, links array<struct<target:string,context:string,field:string>>, raw_fields map<string,string>, parse_error string, content_hash string, file_mtime long"
+SKIPPED = {"node_modules"}
 _LINK = re.compile(r"(?<!!)\[\[([^\[\]|]+)(?:\|[^\[\]]*)?\]\]")
 
 
@@ -98,19 +100,21 @@ def parse(path: str, raw: str) -> tuple:
     types = [str(bare(x)) for x in (types if isinstance(types, list) else [types])]
     links = [(t, None, k) for k, v in data.items() for t in links_of(v)] + [(t, c, None) for t, c in body_links(body)]
     fields = {k: json.dumps(bare(v), ensure_ascii=False, default=str) for k, v in data.items()}
-    return title, types, fields, body, links, error
+    # the text of a value that holds links as it was written; JSON for lists
+    raw_fields = {k: v if isinstance(v, str) else json.dumps(v, ensure_ascii=False, default=str) for k, v in data.items() if links_of(v)}
+    return title, types, fields, body, links, raw_fields, error
 
 
 def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for df in batches:
         rows = [(p, *parse(p, raw or ""), h, m) for p, raw, h, m in df.itertuples(index=False)]
-        yield pd.DataFrame(rows, columns=["file_path", "title", "types", "fields", "body", "links", "parse_error", "content_hash", "file_mtime"])
+        yield pd.DataFrame(rows, columns=["file_path", "title", "types", "fields", "body", "links", "raw_fields", "parse_error", "content_hash", "file_mtime"])
 
 
 def ignored(path: F.Column, extra: list[str] = ()) -> F.Column:
     """Not markdown, a sync conflict, or below a dot folder, a fixed or an excluded folder (whole segments)."""
     parts = F.split(path, "/")
-    out = ~path.endswith(".md") | F.exists(parts, lambda s: s.startswith(".") | s.isin(sorted(SKIPPED)) | s.contains(".sync-conflict-"))
+    out = ~path.endswith(".md") | F.element_at(parts, -1).startswith(".sync-conflict-") | F.exists(parts, lambda s: s.startswith(".") | s.isin(sorted(SKIPPED)))
     for e in extra:
         out = out | path.startswith(e.strip("/") + "/")
     return out
@@ -142,10 +146,8 @@ def tables(parsed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFram
     p = parsed.withColumn("id", F.sha2("file_path", 256))
     nodes = p.select("id", "file_path", "title", "body", "content_hash", "file_mtime", F.lit(1).alias("version"))
     types = p.select(F.col("id").alias("node_id"), F.posexplode("types").alias("sort_order", "schema_type")).dropDuplicates(["node_id", "schema_type"])
-    f = p.select(F.col("id").alias("node_id"), F.explode("fields").alias("field_name", "v"))
-    text = F.when(F.col("v").startswith('"'), F.from_json(F.concat(F.lit("["), "v", F.lit("]")), "array<string>")[0])
-    number = F.when(F.col("v").rlike(r"^-?[\d.]"), F.col("v").try_cast("double"))
-    fields = f.select("node_id", "field_name", text.alias("value_text"), number.alias("value_number"), F.lit(None).cast("string").alias("value_date"), F.when(text.isNull() & number.isNull(), F.col("v")).alias("value_json"))
+    f = p.select(F.col("id").alias("node_id"), "raw_fields", F.explode("fields").alias("field_name", "v"))
+    fields = f.select("node_id", "field_name", *classified(F.col("v")), F.try_element_at("raw_fields", F.col("field_name")).alias("value_raw_text"))
     e = p.select(F.col("id").alias("source_id"), F.explode("links").alias("l"))
     edges = e.select("source_id", F.col("l.target").alias("target"), F.coalesce("l.field", F.lit("wiki-link")).alias("rel_type"), F.col("l.context").alias("context"), F.lit(None).cast("string").alias("resolved_target_id")).dropDuplicates(["source_id", "target", "rel_type"])
     return nodes, types, fields, edges

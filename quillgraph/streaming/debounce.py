@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -31,13 +31,24 @@ def cut(times: list[int], events: list[str], quiet: int = QUIET_MS, cap: int = C
 
 
 def debounce(events: DataFrame) -> DataFrame:
-    """Bursts of ``events(path, event, ms)``, all at once: for batches of events that are complete."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ms", "event"])
-        return pd.DataFrame([(pdf["path"].iloc[0], *b) for b in cut(pdf["ms"].tolist(), pdf["event"].tolist())], columns=["path", "event", "first_ms", "last_ms", "n"])
-
-    return events.select("path", "event", "ms").groupBy("path").applyInPandas(run, OUT)
+    """Bursts of ``events(path, event, ms)``, all at once: for batches of events that are complete.
+
+    Pauses split a path's events into stretches first, by the event before alone. A stretch no longer than the cap is a
+    burst; only longer ones are walked through, event by event, in an array of that stretch.
+    """
+    order = Window.partitionBy("path").orderBy("ms", "event")
+    rows = events.select("path", "event", "ms").withColumn("_new", (F.col("ms") - F.lag("ms").over(order) >= QUIET_MS).cast("int"))
+    rows = rows.withColumn("_s", F.sum(F.coalesce("_new", F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = rows.groupBy("path", "_s").agg(F.max_by("event", F.struct("ms", "event")).alias("event"), F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms"), F.count("*").alias("n"))
+    short = runs.filter(F.col("last_ms") - F.col("first_ms") < CAP_MS).select("path", "event", "first_ms", "last_ms", "n")
+    long = runs.filter(F.col("last_ms") - F.col("first_ms") >= CAP_MS).select("path", "_s")
+    e = rows.join(long, ["path", "_s"]).groupBy("path", "_s").agg(F.array_sort(F.collect_list(F.struct("ms", "event"))).alias("e"))
+    # each event with the first time of its burst
+    kind = "array<struct<ms:bigint,event:string,first:bigint>>"
+    first = lambda acc, x: F.when((F.size(acc) == 0) | (x["ms"] - F.element_at(acc, -1)["first"] >= CAP_MS), x["ms"]).otherwise(F.element_at(acc, -1)["first"])
+    walk = F.aggregate("e", F.array().cast(kind), lambda acc, x: F.concat(acc, F.array(F.struct(x["ms"].alias("ms"), x["event"].alias("event"), F.when(F.size(acc) > 0, first(acc, x)).otherwise(x["ms"]).alias("first")))))
+    cuts = e.select("path", F.explode(walk).alias("x")).groupBy("path", F.col("x.first").alias("first_ms")).agg(F.max_by("x.event", F.struct("x.ms", "x.event")).alias("event"), F.max("x.ms").alias("last_ms"), F.count("*").alias("n"))
+    return short.unionByName(cuts)
 
 
 def debounce_stream(events: DataFrame, delay: str = "10 seconds") -> DataFrame:

@@ -67,11 +67,24 @@ def stored(spark: SparkSession, name: str, sources: list[str], make: Callable[[s
         marks += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files.listStatus(where)]
     key = (spark.sparkContext.applicationId, name, tuple(sorted(marks)))
     if key not in _STORED:
-        root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not root:
-            root = "file://" + tempfile.mkdtemp(prefix="quillgraph-")
-            spark.conf.set("spark.checkpoint.dir", root)
-        folder = f"{root.rstrip('/')}/quillgraph-{name}-{uuid.uuid4().hex}"
+        folder = f"{shared_dir(spark)}/quillgraph-{name}-{uuid.uuid4().hex}"
         make(folder)
         _STORED[key] = folder
     return _STORED[key]
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where that is unset, as in tests, a temporary folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="quillgraph-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` from a table of their own, so that what follows neither plans nor computes it again."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/quillgraph-cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
