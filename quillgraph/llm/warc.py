@@ -267,21 +267,24 @@ def _convert(root: str):
     """Rows (file, offset, refers_file, refers_offset, refers_url) sorted by file and offset."""
 
     def run(batches):
-        file, out, source, target = None, None, None, ""
+        file, out, source, held, target = None, None, None, None, ""
         for batch in batches:
             for name, offset, rfile, roffset, rurl in zip(*(c.to_pylist() for c in batch.columns)):
                 if name != file:
                     if out is not None:
                         out.close()
+                        held.close()
                         yield pa.RecordBatch.from_pydict({"file": [target]})
                     file, target = name, root + "/" + re.sub(r"\.arc(\.gz)?$", "", name.rsplit("/", 1)[1]) + ".warc.gz"
-                    out, source = Output(target), arc_records(open_in(name))
+                    held = open_in(name)
+                    out, source = Output(target), arc_records(held)
                 arc = next(source)
                 while arc.offset < offset:
                     arc = next(source)
                 out.member(warc_from_arc(arc, name, record_id(rfile, roffset) if rfile else None, rurl))
         if out is not None:
             out.close()
+            held.close()
             yield pa.RecordBatch.from_pydict({"file": [target]})
 
     return run
@@ -295,7 +298,10 @@ def convert(arcs: DataFrame, root: str, store: Scratch) -> DataFrame:
              .agg(F.max(F.struct("key", "file", "offset", "url")).alias("r"), F.count("*").alias("n")))
     first = first.select("digest", F.col("r.file").alias("rfile"), F.col("r.offset").alias("roffset"), F.col("r.url").alias("rurl"))
     many = index.filter(F.col("size") >= LEAST).groupBy("digest").count().filter("count > 1").join(first, "digest").drop("count")
-    plan = index.select("file", "offset", F.when(F.col("size") >= LEAST, F.col("digest")).alias("digest")).join(many, "digest", "left")
+    # only records of at least LEAST bytes have a digest to join on
+    big = index.filter(F.col("size") >= LEAST).select("file", "offset", "digest").join(many, "digest", "left")
+    small = index.filter(F.col("size") < LEAST).select("file", "offset", *(F.lit(None).cast(k).alias(c) for c, k in (("rfile", "string"), ("roffset", "long"), ("rurl", "string"))))
+    plan = big.select(*small.columns).unionByName(small)
     own = (F.col("rfile") == F.col("file")) & (F.col("roffset") == F.col("offset"))
     plan = plan.select("file", "offset", *(F.when(~own, F.col(c)).alias(c) for c in ("rfile", "roffset", "rurl")))
     return store.put("warcs", plan.repartition(n, "file").sortWithinPartitions("file", "offset").mapInArrow(_convert(root), "file string"))
@@ -329,4 +335,6 @@ def archive_pages(pages: DataFrame, date: str = "20240101000000") -> DataFrame:
     store.drop("archives/arc")
     back = store.put("back", warcs.repartition(max(1, warcs.count()), "file").mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, id string, ref string"))
     named = back.filter("ref is not null").select("ref").distinct().join(back.select(F.col("id").alias("ref"), F.col("page_id").alias("refers_to")), "ref")
-    return back.join(named, "ref", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    out = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    revisits = back.filter("ref is not null").join(named, "ref", "left").select(*out)
+    return revisits.unionByName(back.filter("ref is null").withColumn("refers_to", F.lit(None).cast("long")).select(*out))
