@@ -1,14 +1,17 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced jointly under the law ``bytes``.
 
-Groups of equal texts stay in one shard unless a group is heavier than ``1/PARTS`` of a shard: such a group is dealt by
-``doc_id`` into pieces below that weight. Heavy groups number less than ``shards * PARTS``, so the driver can hold them;
-all other groups share ``shards * CELLS`` hash cells. Pieces and cells are the items to pack, in order of falling weight:
-each goes to the shard where the dot product of its vector with the residual capacity is highest. A last round moves and
-swaps items between the fullest and the emptiest shard while that brings their bytes closer. The number of items depends on the number of shards only,
-so the plan on the driver stays small at any size, and so does the map of items to shards that is broadcast.
+Groups of equal texts stay in one shard, unless a group alone is heavier than a shard in bytes, tokens or rows: such a
+group, of which there are fewer than ``3 * shards``, is dealt by ``doc_id`` into pieces of at most ``1/PARTS`` of a shard.
+Groups above ``1/PARTS`` of a shard, fewer than ``3 * shards * PARTS``, are packed one by one; all others share ``shards *
+CELLS`` hash cells, which are packed as wholes. Items are taken in order of falling weight, equal ones by name: each goes
+to the shard where the dot product of its vector with the residual capacity is highest. A last round moves and swaps items
+between the fullest and the emptiest shard while that brings their bytes closer. The number of items depends on the number
+of shards only, so the plan on the driver stays small at any size, and so does the map of items to shards that is broadcast.
+Tokens are words as ``mixing.n_tokens`` estimates them: spaces plus one.
 
 Slots count each shard's rows from 0 without a gap: sub-buckets of a shard are counted, the counts give each its first
-slot, and rows are numbered within a sub-bucket; no task orders a whole shard.
+slot, and rows are numbered within a sub-bucket, in order of ``doc_id``; no task orders a whole shard. The number of
+sub-buckets follows the rows (``SUB_ROWS`` each). A very long text is its digest, length and tokens from the first scan on.
 
 Null text has no bytes; null ``doc_id`` rows are placed too, by their text. Repeated rows each get a slot. Other columns
 are ignored; an empty table gives an empty result.
@@ -27,6 +30,7 @@ SHARDS = 40
 PARTS = 64
 CELLS = 256
 SUB = 16
+SUB_ROWS = 1 << 20
 DIMS = ["bytes", "tokens", "rows"]
 WEIGHT = np.array([4.0, 1.0, 1.0])  # the law is on bytes
 
@@ -83,10 +87,12 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     total = rows.agg(*sums).first()
     if not total.rows:
         return rows.select("doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
-    most = [max(1.0, total[c] / shards / PARTS) for c in DIMS]
+    full = [max(1.0, total[c] / shards) for c in DIMS]
+    most = [max(1.0, x / PARTS) for x in full]
+    sub = max(SUB, -(-total.rows // (shards * SUB_ROWS)))
     groups = rows.groupBy("digest").agg(*sums)
     heavy = groups.filter((F.col("bytes") > most[0]) | (F.col("tokens") > most[1]) | (F.col("rows") > most[2])).filter("rows > 1").collect()  # fewer than 3 * shards * PARTS
-    parts = {r.digest: int(min(r.rows, max(-(-r[c] // m) for c, m in zip(DIMS, most)))) for r in heavy}
+    parts = {r.digest: int(min(r.rows, max(-(-r[c] // m) for c, m in zip(DIMS, most)))) if any(r[c] > x for c, x in zip(DIMS, full)) else 1 for r in heavy}
     split = spark.createDataFrame(list(parts.items()), T.StructType([T.StructField("digest", T.StringType()), T.StructField("parts", T.IntegerType())]))
     placed = rows.join(F.broadcast(split), "digest", "left")
     cell = F.format_string("cell-%d", F.pmod(F.xxhash64("digest"), F.lit(shards * CELLS)))
@@ -95,10 +101,10 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     vectors = placed.groupBy("item").agg(*sums).orderBy("item").toPandas()
     plan = list(zip(vectors["item"], pack(vectors[DIMS].to_numpy(float), shards).tolist()))
     plan = spark.createDataFrame(plan, T.StructType([T.StructField("item", T.StringType()), T.StructField("shard", T.IntegerType())]))
-    dealt = placed.join(F.broadcast(plan), "item").withColumn("sub", F.pmod(F.xxhash64("doc_id", "crc", "size"), F.lit(SUB)).cast("int"))
+    dealt = placed.join(F.broadcast(plan), "item").withColumn("sub", F.pmod(F.xxhash64("doc_id", "crc", "size"), F.lit(sub)).cast("int"))
     dealt = store.put("dealt", dealt.select("doc_id", "size", "crc", "shard", "sub"))
     counts = dealt.groupBy("shard", "sub").count()
     base = counts.withColumn("base", F.sum("count").over(Window.partitionBy("shard").orderBy("sub")) - F.col("count")).drop("count")
     slot = F.row_number().over(Window.partitionBy("shard", "sub").orderBy("doc_id", "crc", "size")) - 1
-    out = dealt.withColumn("at", slot).join(F.broadcast(base), ["shard", "sub"])  # shards * SUB rows
+    out = dealt.withColumn("at", slot).join(base, ["shard", "sub"])
     return out.select("doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("at")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

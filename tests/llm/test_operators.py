@@ -115,6 +115,30 @@ def test_sharding(docs, rows, empty):
     assert sharding.assign(empty).count() == 0
 
 
+def test_groups_that_fit_a_shard_stay_whole(spark):
+    rng = random.Random(4)
+    text = lambda n: " ".join(rng.choice(["one", "two", "six", "seven"]) + str(rng.randrange(999)) for _ in range(n))
+    copies = [text(60) for _ in range(12)]
+    rows = [(i, text(rng.randrange(5, 80))) for i in range(1500)] + [(2000 + i, copies[i % 12]) for i in range(12 * 30)] + [(9000 + i, "hot " * 40) for i in range(400)]
+    got = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string"), 40).collect()
+    load = Counter()
+    for r in got:
+        load[r.shard] += r.size
+    full = sum(load.values()) / 40
+    where = {}
+    of = dict(rows)
+    for r in got:
+        where.setdefault(of[r.doc_id], []).append((r.shard, r.size))
+    n = len(rows) / 40
+    for t, places in where.items():
+        fits = sum(z for _, z in places) <= full and len(places) <= n and len(places) * (t.count(" ") + 1) <= sum(x.count(" ") + 1 for x in of.values()) / 40
+        assert len({s for s, _ in places}) == 1 or not fits
+    assert len({s for s, _ in where["hot " * 40]}) > 5 and len(load) == 40
+    assert max(load.values()) - min(load.values()) <= 0.02 * full
+    for s in load:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
 def test_sharding_packs_by_dot_product():
     import numpy as np
 
