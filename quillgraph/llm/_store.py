@@ -16,9 +16,12 @@ _KEPT: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where the setting is absent (tests)."""
+    """``spark.checkpoint.dir`` of the session; a temporary folder where the setting is absent and all tasks run on this
+    machine (tests). On a cluster its absence is an error: executors can't read the driver's folders."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillgraph-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
