@@ -203,6 +203,34 @@ def test_forest_finds_outliers():
     bad, good = np.zeros(quality.BINS), np.zeros(quality.BINS)
     good[300:400], bad[600:700] = 1, 1
     assert quality.threshold(bad, good) == 0.6
+    good[650] = 1  # about 1 % of the good rows may go
+    assert quality.threshold(bad, good) == 0.6
+    good[651:660] = 1
+    assert 0.65 < quality.threshold(bad, good) <= 0.66
+
+
+def test_path_lengths_by_brute_force():
+    import numpy as np
+
+    x = np.random.default_rng(1).normal(0, 1, (300, 2))
+    forest = quality.Forest(x, trees=5, sub=32)
+    for row, got in zip(x[:40], forest.score(x[:40])):
+        total = 0.0
+        for f, limit, child, path in forest.trees:
+            at = 0
+            while f[at] >= 0:
+                at = child[at] + int(row[f[at]] >= limit[at])
+            total += path[at]
+        assert abs(got - 2 ** (-total / 5 / forest.norm)) < 1e-12
+
+
+def test_quality_on_labels_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    got = quality.rule_verdicts(spark.read.parquet(f"{sf}/documents.parquet"), labels.filter("doc_id % 2 = 0"))
+    rows = got.join(labels.filter("doc_id % 2 = 1 and quality is not null"), "doc_id").filter("not base_failed").select("quality", "kept").collect()
+    bad, good = ([r.kept for r in rows if r.quality == q] for q in (0, 1))
+    assert sum(bad) <= 0.25 * len(bad) and sum(good) >= 0.95 * len(good) and len(bad) > 10
 
 
 def test_context_mixing(docs, rows, empty, monkeypatch):
