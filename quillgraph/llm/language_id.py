@@ -3,11 +3,12 @@
 The network reads runs of non-space bytes in both directions and labels every byte; a document's probabilities are the
 mean over all its bytes. State is reset between runs, so a run's result depends on its bytes alone: within a chunk each
 distinct run is read once, and a table of bounded size keeps the results of earlier ones. It is trained by backpropagation
-through time on the driver, on at most ``PER_LANGUAGE`` documents of each language (those with the smallest hashes among
-texts of up to ``FIT_BYTES``) and ``FIT_WORDS`` random runs of each; documents whose ``crc32(doc_id) mod 5`` is 0 are held
-out. Prediction covers every byte of every text.
+through time on the driver, on at most ``PER_LANGUAGE`` documents of each language (those with the smallest hashes; fewer
+of each where there are more than ``LANGUAGES`` languages, so that their number is bounded), of each a piece of
+``FIT_CHARS`` characters at a place that its hash tells, and of that ``FIT_WORDS`` random pieces of runs; documents whose
+``crc32(doc_id) mod 5`` is 0 are held out. Prediction covers every byte of every text, however long.
 
-Null text, or text without a letter: ``und`` with score 1. With nothing to learn from every text is ``und``. A null
+An empty table gives an empty result; equal probabilities go to the first name in order. Null text, or text without a letter: ``und`` with score 1. With nothing to learn from every text is ``und``. A null
 ``doc_id`` is never held out and never learnt from. Repeated rows each come back; other columns are ignored.
 """
 
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from . import _text as T
 
 PER_LANGUAGE = 512
-LANGUAGES = 256  # more labels than this is an error, not a language column
-FIT_BYTES = 20_000
+LANGUAGES = 256  # with more labels than this, each has fewer documents
+FIT_CHARS = 2_000
 FIT_WORDS = 200
 RUN = 24  # bytes read without a reset
 KNOWN = 1 << 18
@@ -124,12 +125,17 @@ def train(texts: list[str], labels: list[int], classes: int, seed: int = 5) -> G
     rng = np.random.default_rng(seed)
     w = T.words(pa.array(texts, pa.string()))
     pick, y = [], []
-    for i, (a, b) in enumerate(zip(w.rows[:-1].tolist(), w.rows[1:].tolist())):
+    first, last = runs(w)
+    row = np.searchsorted(w.offs, np.r_[first, len(w.buf)], "right") - 1
+    edge = np.searchsorted(row[:-1], np.arange(len(w.offs)))
+    for i, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())):
         got = np.arange(a, b) if b - a <= FIT_WORDS else rng.choice(np.arange(a, b), FIT_WORDS, False)
         pick.append(got)
         y.append(np.full(len(got), labels[i]))
     pick, y = np.concatenate(pick), np.concatenate(y)
-    a, b = w.starts[pick], np.minimum(w.ends[pick], w.starts[pick] + RUN)
+    if not len(pick):
+        return Gru(classes)
+    a, b = first[pick], last[pick]
     by = [np.flatnonzero(y == c) for c in range(classes)]  # languages take turns, however common
     by = [x for x in by if len(x)]
     net = Gru(classes)
@@ -211,14 +217,15 @@ def identify(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` of every row of ``docs``."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 5, 0) & (F.octet_length("text") <= FIT_BYTES))
+    known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 5, 0) & (F.length("text") > 0))
+    many = known.select(F.count_distinct("lang")).first()[0]
+    per = max(64, PER_LANGUAGE * LANGUAGES // max(LANGUAGES, many) // 64 * 64)
     salted = Window.partitionBy("lang", F.pmod(F.col("h"), F.lit(64))).orderBy("h", "doc_id")
-    ids = known.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(17)).alias("h")).withColumn("i", F.row_number().over(salted)).filter(F.col("i") <= PER_LANGUAGE // 64).select("doc_id", "lang")
-    ids = ids.limit(PER_LANGUAGE * LANGUAGES)
-    rows = known.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("lang", "text").collect()  # at most PER_LANGUAGE of each language
+    ids = known.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(17)).alias("h")).withColumn("i", F.row_number().over(salted)).filter(F.col("i") <= per // 64).select("doc_id", "lang")
+    place = F.pmod(F.xxhash64("doc_id", F.lit(18)), F.greatest(F.length("text") - FIT_CHARS, F.lit(1))) + 1
+    piece = F.substr("text", place, F.lit(FIT_CHARS)).alias("text")
+    rows = known.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("lang", piece).collect()  # ``per`` of each language, of 2000 characters
     names = sorted({r.lang for r in rows})
-    if len(names) > LANGUAGES:
-        raise ValueError(f"{len(names)} languages; at most {LANGUAGES} can be learnt")
     rows = sorted((names.index(r.lang), r.text) for r in rows)
     net = train([t for _, t in rows], [y for y, _ in rows], len(names)) if rows else None
     return docs.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "text").mapInArrow(_predict(spark.sparkContext.broadcast(net), names), "doc_id long, held_out boolean, lang_pred string, score double")

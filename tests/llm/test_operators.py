@@ -363,6 +363,42 @@ def test_language_id(docs, rows, empty, monkeypatch):
     assert language_id.identify(empty).count() == 0
 
 
+def test_languages_of_long_texts_and_many_labels(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "STEPS", 60)
+    rng = random.Random(3)
+    word = {"aa": "kappa lamo tiri".split(), "bb": "zug schwer krott".split()}
+    rows = [(i, " ".join(rng.choices(word[x], k=6000)), x) for i, x in enumerate(["aa", "bb"] * 6)]
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got == {i: x for i, _, x in rows}
+    many = [(i, f"text number {i}", f"l{i % 300}") for i in range(900)]
+    assert language_id.identify(spark.createDataFrame(many, "doc_id long, text string, lang string")).count() == 900
+    blank = spark.createDataFrame([(1, "   ", "aa"), (2, " ", "aa")], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in language_id.identify(blank).collect()} == {"und"}
+
+
+def test_network_by_brute_force():
+    import numpy as np
+
+    net = language_id.Gru(2, hidden=3)
+    buf = np.frombuffer(b"abcde", np.uint8)
+    x, live = language_id.padded(buf, np.array([0, 3]), np.array([3, 5]))
+    got = net.forward(x, live)
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    for row, text in enumerate((b"abc", b"de")):
+        states = {}
+        for d, order in (("f", range(len(text))), ("b", reversed(range(len(text))))):
+            s = np.zeros(3)
+            for t in order:
+                e, u = net.w["e" + d][text[t]].astype(float), net.w["u" + d].astype(float)
+                z, r = sig(e[:3] + s @ u[:, :3]), sig(e[3:6] + s @ u[:, 3:6])
+                n = np.tanh(e[6:] + (r * s) @ u[:, 6:])
+                s = s + z * (n - s)
+                states[d, t] = s
+        for t in range(len(text)):
+            p = np.exp(np.r_[states["f", t], states["b", t]] @ net.w["o"] + net.w["c"])
+            assert np.allclose(got[t, row], p / p.sum(), atol=1e-5)
+
+
 def test_gru_gradients():
     import numpy as np
 
