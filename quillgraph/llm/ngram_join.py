@@ -15,7 +15,8 @@
 Every linked pair of different sets shares a prefix shingle, so none is lost; there is no cap on groups or candidates.
 
 Null or empty text: an empty set, linked with nothing. Rows with a null ``doc_id`` keep their ``n_shingles`` and get a
-null component. Repeated rows are all returned; rows of one ``doc_id`` with different texts are versions of one document,
+null component. An empty table gives an empty result; a very long text is a chunk of its own, and its set one array.
+Repeated rows are all returned; rows of one ``doc_id`` with different texts are versions of one document,
 linked if any version is. Other columns are ignored.
 """
 
@@ -37,6 +38,7 @@ from ._store import Scratch
 FREQUENT = 1 << 16  # shingles ordered by frequency; a bound on what is broadcast, not on what is joined
 LOCAL = 4  # documents of one chunk that must share a shingle before it is reported as frequent
 TILE = 512  # rows of a tile
+SPREAD = 64  # tasks over which the small groups of one component are dealt
 SEEN = 1 << 20  # pairs remembered, to look at each once; a repeated look costs time alone
 
 
@@ -250,7 +252,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     meets = tiles.join(other, "t").filter((F.col("i") <= F.col("j")) & near_band & ((F.col("a") != F.col("b")) | (F.col("a2") != F.col("b2")) | (F.col("a") != F.col("a2")))).select("t", "lo", "i", "j")
     sides = meets.select("t", "lo", "i", "j", F.explode(F.when(F.col("i") == F.col("j"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side")).withColumn("k", F.when(F.col("side") == 0, F.col("i")).otherwise(F.col("j")))
     ready = sides.join(left.select("t", F.col("i").alias("k"), "f", "n", "c"), ["t", "k"]).join(nodes.select("f", "bits"), "f").select("lo", "i", "j", "t", "side", "f", "n", "c", "bits")
-    found = ready.repartition("lo", "i", "j").sortWithinPartitions("lo", "i", "j", "t").mapInArrow(_tiles(num, den), "u long, v long")
+    # small groups of one component are spread by shingle: a pair may be looked at in several tasks, but none holds them all
+    spread = F.when(F.col("i") < 0, F.pmod(F.xxhash64("t"), F.lit(SPREAD))).otherwise(0)
+    found = ready.repartition(F.col("lo"), F.col("i"), F.col("j"), spread).sortWithinPartitions("lo", "i", "j", "t").mapInArrow(_tiles(num, den), "u long, v long")
     far = verified("far", found)
     own = rows.filter("f is not null and doc_id is not null")
     several = own.groupBy("doc_id").agg(F.min("f").alias("u"), F.max("f").alias("v")).filter("u != v").select("doc_id", "u")
