@@ -9,4 +9,41 @@ SELECT p.page_id AS page_id, CAST(p.n AS BIGINT) AS payload_bytes, p.d AS payloa
 FROM p LEFT JOIN g ON g.d = p.d AND p.n >= 1000
 """
 
-ORACLES: dict[str, str] = {"op9_warc": _PAGES}
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACE = r"[^\x20\x09-\x0D]+"
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+# All pairs that share a shingle, and all documents that links reach.
+_JACCARD = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER.format("COALESCE(text, '')")}, '{_SPACE}') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM s),
+l AS (SELECT a.doc_id AS u, b.doc_id AS v FROM x a JOIN x b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+r AS (SELECT doc_id, doc_id AS at FROM s UNION SELECT r.doc_id, e.v FROM r JOIN e ON e.u = r.at)
+SELECT s.doc_id AS doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, (SELECT min(r.at) FROM r WHERE r.doc_id = s.doc_id) AS component_id FROM s
+"""
+
+_SUBSTRING = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(COALESCE(text, ''), '{_SPACE}') AS w FROM documents),
+k AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w)),
+f AS (SELECT k, min(doc_id) AS low FROM k GROUP BY k),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM k JOIN f USING (k) WHERE f.low < k.doc_id),
+g AS (SELECT doc_id, list(p) AS gone FROM c GROUP BY doc_id)
+SELECT w.doc_id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(COALESCE(gone, [])) AS BIGINT) AS n_removed,
+       sha256(array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(COALESCE(gone, []), i)), lambda i: w[i]), ' ')) AS kept_sha256 FROM w LEFT JOIN g ON g.doc_id = w.doc_id
+"""
+
+_LEAKS = f"""
+WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER.format("COALESCE(text, '')")}, '{_ALNUM}') AS w FROM benchmark WHERE item_id IS NOT NULL),
+k AS (SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS k FROM (SELECT item, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("COALESCE(text, '')")}, '{_ALNUM}') AS w FROM documents),
+h AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d CROSS JOIN (SELECT DISTINCT n FROM k) z WHERE len(w) >= n)),
+m AS (SELECT h.doc_id, h.i, h.n, k.item FROM h JOIN k ON k.k = h.k AND k.n = h.n),
+c AS (SELECT doc_id, count(DISTINCT p) AS hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM m) q GROUP BY 1),
+t AS (SELECT doc_id, count(DISTINCT item) AS items, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM m GROUP BY 1)
+SELECT d.doc_id AS doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(COALESCE(hit, 0) AS BIGINT) AS n_hit, CAST(COALESCE(items, 0) AS BIGINT) AS n_items, sha256(COALESCE(names, '')) AS items_sha256, hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": _JACCARD, "op2_substring_dedup": _SUBSTRING, "op9_warc": _PAGES, "op10_benchmark_decontamination": _LEAKS}
