@@ -5,9 +5,10 @@ equal. The exponent is bisected: the smallest one at which no source repeats mor
 largest at which the mix has at least ``target_entropy`` (as a share of the entropy of the equal mix). Six halvings are
 taken per job, by trying 63 exponents at once; shares stay in a table, whatever the number of sources.
 
-The weights are realised as budgeted block permutations. Each source is hashed into ``BLOCKS`` blocks, and every pass over
-a source takes them in another order until the pass's token budget is spent; of the block where the budget ends, documents
-are taken in hash order. Order and running sums are per block, so a source with most rows is no task of its own. Without
+The weights are realised as budgeted block permutations. Each source is hashed into blocks, ``BLOCKS`` or as many as give
+the largest source some ``BLOCK_TOKENS`` tokens in each, and every pass over a source takes them in another order until the pass's token budget is spent; of the block where the budget ends, documents
+are taken in hash order, equal hashes together. Order and running sums are per block, so a source with most rows is no task
+of its own. Without
 a ``budget`` the tokens are such that the least repeated source is passed exactly once: nothing is left out.
 
 A null ``source`` is a source of its own; null text has one token, as every text has at least one. Repeated rows are drawn
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 
 from ._store import Scratch
 
-BLOCKS = 256
+BLOCKS = 256  # at least
+BLOCK_TOKENS = 1 << 24
 STEPS = 63
 JOBS = 5
 PREFIX = "_qg_"
@@ -74,7 +76,10 @@ def mixture(docs: DataFrame, max_repeat: float | None = 2.0, target_entropy: flo
     store = Scratch(docs.sparkSession)
     c = {n: PREFIX + n for n in ("source", "tokens", "block", "key", "pass", "order", "weight", "start", "need", "at", "sum", "passes", "goal", "total")}
     rows = docs.withColumns({c["source"]: F.to_json(F.struct(F.col("source").cast("string").alias("s"))), c["tokens"]: n_tokens(F.col("text"))})
-    rows = rows.withColumn(c["key"], F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(seed))).withColumn(c["block"], F.pmod(c["key"], F.lit(BLOCKS)).cast("int"))
+    rows = rows.withColumn(c["key"], F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(seed)))
+    whole = rows.groupBy(c["source"]).agg(F.sum(c["tokens"]).alias("t")).agg(F.max("t")).first()[0] or 0
+    n_blocks = max(BLOCKS, 1 << (-(-whole // BLOCK_TOKENS) - 1).bit_length()) if whole else BLOCKS
+    rows = rows.withColumn(c["block"], F.pmod(c["key"], F.lit(n_blocks)).cast("int"))
     blocks = store.put("blocks", rows.groupBy(c["source"], c["block"]).agg(F.sum(c["tokens"]).alias("t")))
     shares = store.put("shares", blocks.groupBy(c["source"]).agg(F.sum("t").alias("tokens")))
     a = exponent(shares, max_repeat, target_entropy)
