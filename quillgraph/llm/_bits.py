@@ -46,6 +46,14 @@ def without(docs: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
     on the scan; the others, few unless most rows go, are joined exactly.
     """
     gone = gone.toDF("_qg_gone")
+    stay, some = split(docs, key, gone)
+    return stay.unionByName(some.join(gone, key == F.col("_qg_gone"), "left_anti"))
+
+
+def split(docs: DataFrame, key: Column, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs`` whose bigint ``key`` is surely not in the one column of ``wanted`` (null keys among them), and the rest,
+    told apart on the scan by a bit array of at most 16 MB."""
+    gone = wanted.toDF("_qg_gone")
     n = gone.count()
     bits = docs.sparkSession.sparkContext.broadcast(bit_filter(gone.select(gone["_qg_gone"].alias("h")), min(27, max(16, (64 * n).bit_length()))))
 
@@ -57,5 +65,4 @@ def without(docs: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
         return pd.Series(out)
 
     flag = key.isNotNull() & maybe(F.coalesce(key, F.lit(0)))
-    some = docs.filter(flag)
-    return docs.filter(~flag).unionByName(some.join(gone, key == F.col("_qg_gone"), "left_anti"))
+    return docs.filter(~flag), docs.filter(flag)

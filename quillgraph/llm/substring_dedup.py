@@ -11,7 +11,7 @@ aggregation and a join that Spark can split, so no bucket holds more than the gr
 ``HOT_KEYS``-th of all. Windows are compared by two independent 64-bit hashes in a bucket, by their words on the hot way.
 
 Null text or fewer than ``k`` words: nothing to remove. Rows with a null ``doc_id`` neither lose words nor cost others
-theirs. Rows with one ``doc_id`` are one document: none makes the other lose words. Other columns are ignored.
+theirs. An empty table gives an empty result; a very long text is a chunk of its own. Rows with one ``doc_id`` are one document: none makes the other lose words. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._bits import bit_filter, has
+from ._bits import bit_filter, has, split
 from ._store import Scratch
 
 HOT = 1 << 16  # places; their packed strings are some 8 MB
@@ -184,4 +184,8 @@ def dedup_substrings(docs: DataFrame, k: int = 13, m: int = 3, with_text: bool =
     """``doc_id, n_words, n_removed, kept_sha256, kept`` of every row: ``kept`` has the words outside repeated windows."""
     docs, runs = repeated_runs(docs, k, m)
     lists = runs.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
-    return docs.join(lists, "row", "left").select("doc_id", "text", "runs").mapInArrow(_strip(k, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    # texts without a run stay where they are
+    plain, some = split(docs, F.col("row"), runs.select("row").distinct())
+    kind = lists.schema["runs"].dataType
+    every = plain.select("doc_id", "text", F.lit(None).cast(kind).alias("runs")).unionByName(some.join(lists, "row", "left").select("doc_id", "text", "runs"))
+    return every.mapInArrow(_strip(k, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
