@@ -30,6 +30,7 @@ from ._store import Scratch
 HOT = 1 << 16  # places; their packed strings are some 8 MB
 HOT_KEYS = 1 << 16
 BITS = 27  # 16 MB
+CHUNK = 1 << 20  # bytes of text whose windows are in memory at a time
 
 
 def super_kmers(w: T.Words, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,7 +56,7 @@ def super_kmers(w: T.Words, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.
 
 def _stats(k: int, m: int):
     def run(batches):
-        for part in T.chunks(batches):
+        for part in T.chunks(batches, most=CHUNK):
             w = T.words(part.column(1))
             v, first, _ = super_kmers(w, k, m)
             if len(v):
@@ -74,7 +75,7 @@ def _send(k: int, m: int, bits, hot, alone: bool):
 
     def run(batches):
         table, often = np.frombuffer(bits.value, np.uint8), hot.value
-        for part in T.chunks(batches):
+        for part in T.chunks(batches, most=CHUNK):
             w = T.words(part.column(2))
             v, first, stop = super_kmers(w, k, m)
             keep = has(table, v)
@@ -105,7 +106,7 @@ def _buckets(k: int):
     """Runs of windows, as first window and one past the last, that a smaller document of the bucket also has."""
 
     def run(batches):
-        for part in T.whole_groups(batches, "v"):
+        for part in T.whole_groups(batches, "v", CHUNK):
             w = T.words(part.column(4))
             h = w.hashes()
             x, y = T.shingles(h, k), T.shingles(h, k, 1)
@@ -134,7 +135,7 @@ def _buckets(k: int):
 
 def _strip(k: int, with_text: bool):
     def run(batches):
-        for part in T.chunks(batches, "text"):
+        for part in T.chunks(batches, "text", CHUNK):
             n, gone, sha, kept = [], [], [], []
             for text, runs in zip(part.column(1), part.column(2).to_pylist()):
                 ws = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
