@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 21  # bytes of text handled at a time; a longer text is a chunk of its own
+CHUNK = 1 << 20  # bytes of text handled at a time; a longer text is a chunk of its own
 SPACE = np.ones(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = False  # words are [^\x20\x09-\x0D]+
 ALNUM = np.zeros(256, bool)

@@ -76,7 +76,7 @@ def bitmap(x: np.ndarray) -> bytes:
 
 def _profile(k: int):
     def run(batches):
-        for part in T.chunks(batches):
+        for part in T.chunks(batches, most=2 * T.CHUNK):
             ids = part.column(0).to_pylist()
             sets = list(sets_of(part.column(1), k))
             live = [i for i, x in enumerate(sets) if len(x)]

@@ -203,9 +203,10 @@ def test_forest_finds_outliers():
     bad, good = np.zeros(quality.BINS), np.zeros(quality.BINS)
     good[300:400], bad[600:700] = 1, 1
     assert quality.threshold(bad, good) == 0.6
-    good[650] = 1  # about 1 % of the good rows may go
+    good[300:400] = 4
+    good[650:652] = 1  # half a per cent of the good rows may go
     assert quality.threshold(bad, good) == 0.6
-    good[651:660] = 1
+    good[652:660] = 1
     assert 0.65 < quality.threshold(bad, good) <= 0.66
 
 
