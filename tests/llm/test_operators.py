@@ -489,3 +489,63 @@ def test_pipeline_stages(spark, rows, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         at = stage(spark, at, sf)
         assert at.columns == docs.columns
+
+
+def test_pipeline_rows_by_brute_force(spark, rows, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([r[:5] for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    sf = f"file://{tmp_path}"
+    item = " ".join(rows[10][1].split()[:12])
+    docs.write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    spark.createDataFrame([(r[0], 1, 0) for r in rows[:30]], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    kept, at = [sorted((tuple(r[:5]) for r in rows), key=repr)], docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, at, sf).write.parquet(f"{sf}/{name}")
+        at = spark.read.parquet(f"{sf}/{name}")
+        kept.append(sorted((tuple(r) for r in at.collect()), key=repr))
+    whole, good, single, clean, mixed = kept
+
+    def base_failed(text):
+        w = SPACE.findall(text or "")
+        seen = Counter(tuple(w[j : j + 8]) for j in range(len(w) - 7))
+        again = {j + k for j in range(len(w) - 7) if seen[tuple(w[j : j + 8])] > 1 for k in range(8)}
+        return len(w) < 20 or 100 * len(again) > 30 * len(w)
+
+    # the scan keeps what the verdicts say (labels of one class: the set threshold), none of it against the base rules
+    verdict = quality.rule_verdicts(docs, spark.read.parquet(f"{sf}/labels.parquet")).collect()
+    assert sorted((r[0] for r in good), key=repr) == sorted((r.doc_id for r in verdict if r.kept), key=repr)
+    assert not any(base_failed(r[1]) for r in good) and set(good) <= set(whole)
+
+    # one document of each component stays: the one with the smallest id
+    sets = {}
+    for r in good:
+        w = SPACE.findall(r[1].translate(LOW))
+        sets.setdefault(r[0], []).append({tuple(w[j : j + 5]) for j in range(len(w) - 4)})
+    low = {i: i for i in sets if i is not None}
+    linked = [(a, b) for a in low for b in low if a < b and any(100 * len(x & y) >= 80 * len(x | y) for x in sets[a] for y in sets[b])]
+    for _ in low:
+        for a, b in linked:
+            low[a] = low[b] = min(low[a], low[b])
+    assert single == [r for r in good if r[0] is None or low[r[0]] == r[0]] and len(single) < len(good)
+
+    # no window of ten words of the item is left, and nothing else goes
+    words = ALNUM.findall(item.translate(LOW))
+    windows = {tuple(words[j : j + 10]) for j in range(len(words) - 9)}
+
+    def hit(text):
+        w = ALNUM.findall(text.translate(LOW))
+        return any(tuple(w[j : j + 10]) in windows for j in range(len(w) - 9))
+
+    assert clean == [r for r in single if not hit(r[1])] and len(clean) < len(single)
+
+    # every document once at least, twice at most at a repetition limit of 1.5; each row of the mix gets a slot
+    times, once = Counter(mixed), Counter(clean)
+    assert times.keys() == once.keys() and all(n <= times[r] <= 2 * n for r, n in once.items())
+    out = corpus_pipeline.run(spark, sf).collect()
+    assert Counter(r.doc_id for r in out) == Counter(r[0] for r in mixed)
+    slots = {}
+    for r in out:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
