@@ -72,4 +72,22 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return contaminated_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_substring_dedup, op3_vector_sharding, op4_temperature_mixing, op5_quality_rules, op6_context_mixing, op7_token_counts, op8_language_id, op9_warc, op10_benchmark_decontamination)}
+def op11_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .private_data import private_spans
+
+    return private_spans(_table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import hard_negatives
+
+    return hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_codes import vector_codes
+
+    return vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_substring_dedup, op3_vector_sharding, op4_temperature_mixing, op5_quality_rules, op6_context_mixing, op7_token_counts, op8_language_id, op9_warc, op10_benchmark_decontamination, op11_private_data, op12_hard_negatives, op13_vector_codes)}
