@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import closest
+from .text import closest, closest_of
 
 SCHEMA = "struct<ok:boolean,value:string,changed:boolean,code:string,reason:string>"
 
@@ -16,7 +16,7 @@ def _out(ok: Column | bool, value: Column | None, changed: Column | bool, code:
 
 
 def _fail(c: Column, target: str) -> Column:
-    return _out(False, None, False, None, F.concat(F.lit("Cannot convert "), c, F.lit(f" to {target}")))
+    return _out(False, None, False, None, F.concat(F.lit(f"no {target}: "), c))
 
 
 def _good(value: Column, code: str) -> Column:
@@ -28,6 +28,8 @@ def to_number(c: Column) -> Column:
     hexa = t.rlike("^0[xX][0-9a-fA-F]+$")
     plain = t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
     n = F.when(hexa, F.conv(F.substring(t, 3, 64), 16, 10).try_cast("double")).when(plain, t.try_cast("double"))
+    for letter, base in (("b", 2), ("o", 8)):
+        n = F.when(t.rlike(f"^0[{letter}{letter.upper()}][0-{base - 1}]+$"), F.conv(F.substring(t, 3, 64), base, 10).try_cast("double")).otherwise(n)
     ok = n.isNotNull() & (F.abs(n) < float("inf"))
     return F.when(ok, _good(n, "STRING_TO_NUMBER")).otherwise(_fail(c, "number"))
 
@@ -60,18 +62,18 @@ def to_enum(c: Column, values: list[str]) -> Column:
         exact, loose = t == v, F.lower(t) == v.lower()
         hit = _out(True, F.lit(v), F.when(exact, c != t).otherwise(True), F.when(exact & (c == t), None).otherwise("STRING_TO_ENUM"), None)
         out = F.when(exact | loose, hit) if out is None else out.when(exact | loose, hit)
-    fail = _out(False, None, False, None, F.concat(F.lit('"'), t, F.lit('" is not a valid enum value'), F.when(F.size(closest(t, values)) > 0, F.concat(F.lit("; closest: "), F.array_join(closest(t, values), ", "))).otherwise(F.lit(""))))
+    fail = _out(False, None, False, None, F.concat(F.lit("not in the list: "), t, F.when(F.size(closest(t, values)) > 0, F.concat(F.lit("; closest: "), F.array_join(closest(t, values), ", "))).otherwise(F.lit(""))))
     return fail if out is None else out.otherwise(fail)
 
 
 def coerce(c: Column, kind: str, enum_values: list[str] | None = None) -> Column:
     """Coerces a string column to a field type; null passes through."""
     if kind == "enum" and enum_values is None:
-        out = _out(False, None, False, None, "No enum_values provided")
+        out = _out(False, None, False, None, "no list of values")
     elif kind == "enum":
         out = to_enum(c, enum_values)
     else:
-        make = {"number": to_number, "date": to_date, "boolean": to_boolean, "reference": to_reference, "string": lambda x: _out(True, x, False, None, None)}
+        make = {"number": to_number, "date": to_date_fuzzy, "boolean": to_boolean, "reference": to_reference, "string": lambda x: _out(True, x, False, None, None), "list": lambda x: _fail(x, "list")}
         out = make[kind](c)
     return F.when(c.isNull(), _out(True, None, False, None, None)).otherwise(out)
 
@@ -120,3 +122,100 @@ def list_errors(c: Column, item: str, enum_values: list[str] | None = None) -> C
     ok = F.size(errors) == 0
     changed = ok & F.exists(each, lambda e: e["r"]["changed"])
     return F.struct(ok.alias("ok"), F.when(ok, F.transform(each, lambda e: e["r"]["value"])).alias("values"), changed.alias("changed"), F.when(changed, "LIST_ELEMENT_COERCION").alias("code"), errors.alias("errors"))
+
+
+def quoted(text: Column) -> Column:
+    """The JSON of a string column."""
+    listed = F.to_json(F.array(text))
+    return F.substr(listed, F.lit(2), F.length(listed) - 2)
+
+
+def plain(json: Column) -> Column:
+    """The text of a JSON string; other JSON stays as it is written."""
+    return F.when(json.startswith('"'), F.get(F.from_json(F.concat(F.lit("["), json, F.lit("]")), "array<string>"), 0)).otherwise(json)
+
+
+def json_kind(json: Column) -> Column:
+    """null, string, boolean, list, object or number."""
+    return (F.when(json.isNull() | (json == "null"), "null").when(json.startswith('"'), "string").when(json.isin("true", "false"), "boolean")
+            .when(json.startswith("["), "list").when(json.startswith("{"), "object").otherwise("number"))
+
+
+def json_items(json: Column) -> Column:
+    """The elements of a JSON list, each as JSON; null for anything else."""
+    return F.transform(F.from_json(F.when(json.startswith("["), json), "array<variant>"), lambda x: F.coalesce(F.to_json(x), F.lit("null")))
+
+
+def json_number(n: Column) -> Column:
+    """A double as JSON; whole numbers have no point."""
+    return F.when((n == F.floor(n)) & (F.abs(n) < 1e15), n.cast("bigint").cast("string")).otherwise(n.cast("string"))
+
+
+def let(x: Column, f) -> Column:
+    """``f(x)`` with ``x`` computed once."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
+RESULT = {"ok": "boolean", "value": "string", "changed": "boolean", "code": "string", "reason": "string", "closest": "array<string>", "errors": "array<struct<index:int,value:string,reason:string>>"}
+
+
+def _result(**given) -> Column:
+    """A struct of ``RESULT``; what isn't given is null, ``changed`` false."""
+    given = {"changed": False, **given}
+    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.struct(*(lit(given.get(n)).cast(t).alias(n) for n, t in RESULT.items()))
+
+
+def _scalar(v: Column, kind: Column, values: Column) -> Column:
+    """``RESULT`` of a JSON value for a field type that is no list."""
+
+    def bound(b: Column) -> Column:
+        src, text = b["src"], b["text"]
+        string, t = src == "string", F.trim(text)
+        lift = lambda r, to_json: let(r, lambda x: _result(ok=x["ok"], value=F.when(x["ok"], to_json(x["value"])), changed=x["changed"], code=x["code"], reason=x["reason"]))
+        same = _result(ok=True, value=v)
+        wrong = _result(ok=False, reason=F.concat(F.lit("a "), src, F.lit(" is no "), kind, F.lit(": "), v))
+
+        def listed(x: Column) -> Column:
+            new = (x["hit"] != t) | ~string | (text != t)
+            good = _result(ok=True, value=quoted(x["hit"]), changed=new, code=F.when(new, "STRING_TO_ENUM"))
+            return F.when(x["hit"].isNotNull(), good).otherwise(_result(ok=False, reason=F.concat(F.lit("not in the list: "), t), closest=closest_of(t, values)))
+
+        first = F.struct(F.get(F.filter(values, lambda x: F.lower(x) == F.lower(t)), 0).alias("hit"))
+        enum = F.when(values.isNull(), _result(ok=False, reason="no list of values")).otherwise(let(first, listed))
+        as_text = F.when(src == "number", json_number(v.try_cast("double"))).otherwise(v)
+        written = _result(ok=True, value=quoted(as_text), changed=True, code=F.when(src == "number", "NUMBER_TO_STRING").otherwise("BOOLEAN_TO_STRING"))
+        return (F.when(src == "null", _result(ok=True)).when(kind == "enum", enum)
+                .when(kind == "string", F.when(string, same).when(src.isin("number", "boolean"), written).otherwise(wrong))
+                .when(kind == "number", F.when(src == "number", same).when(string, lift(to_number(text), lambda x: json_number(x.try_cast("double")))).otherwise(wrong))
+                .when(kind == "boolean", F.when(src == "boolean", same).when(string, lift(to_boolean(text), lambda x: x)).otherwise(wrong))
+                .when(kind == "reference", F.when(string, lift(to_reference(text), quoted)).otherwise(wrong))
+                .when(kind == "date", F.when(string, lift(to_date_fuzzy(text), quoted)).otherwise(wrong)).otherwise(wrong))
+
+    return let(F.struct(json_kind(v).alias("src"), plain(v).alias("text")), bound)
+
+
+def dispatch(v: Column, kind: Column, item: Column, values: Column) -> Column:
+    """A JSON value for the field type in column ``kind``: struct(ok, value, changed, code, reason, closest, errors).
+
+    All arguments are columns, so one plan serves every field: ``item`` is a list's element type (null: any), ``values`` an
+    enum's list. ``value`` is JSON; null stays null. ``errors`` holds (index, value, reason) of a list's elements that fail.
+    """
+    src, is_list = json_kind(v), kind == "list"
+    # one value is looked at as a list of one, so that the rules of scalars stand in the plan once
+    items = F.when(is_list & item.isNotNull() & (src == "list"), json_items(v)).otherwise(F.array(v))
+    each = F.transform(items, lambda x, i: F.struct(i.cast("int").alias("index"), x.alias("value"), _scalar(x, F.when(is_list, item).otherwise(kind), values).alias("r")))
+
+    def judged(each: Column) -> Column:
+        first = F.get(each, 0)["r"]
+        bad = F.transform(F.filter(each, lambda e: ~e["r"]["ok"]), lambda e: F.struct(e["index"].alias("index"), e["value"].alias("value"), e["r"]["reason"].alias("reason")))
+        moved = F.exists(each, lambda e: e["r"]["changed"])
+        joined = F.concat(F.lit("["), F.array_join(F.transform(each, lambda e: F.coalesce(e["r"]["value"], F.lit("null"))), ","), F.lit("]"))
+        good = _result(ok=True, value=F.when(moved, joined).otherwise(v), changed=moved, code=F.when(moved, "LIST_ELEMENT_COERCION"))
+        return (F.when(src == "null", _result(ok=True)).when(~is_list, first)
+                .when(item.isNull(), _result(ok=src == "list", value=F.when(src == "list", v), reason=F.when(src != "list", F.concat(F.lit("a "), src, F.lit(" is no list: "), v))))
+                .when((src == "list") & F.exists(each, lambda e: ~e["r"]["ok"]), _result(ok=False, reason=F.lit("elements fail"), errors=bad)).when(src == "list", good)
+                .when(first["ok"], _result(ok=True, value=F.concat(F.lit("["), first["value"], F.lit("]")), changed=True, code="SINGLE_TO_LIST"))
+                .otherwise(_result(ok=False, reason=F.concat(F.lit("no element: "), first["reason"]))))
+
+    return let(each, judged)

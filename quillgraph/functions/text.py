@@ -56,6 +56,31 @@ def wiki_links(body: Column | str) -> Column:
     return F.regexp_extract_all(plain, F.lit(r"(?<!!)\[\[([^\]|\[]+)(?:\|[^\]]+)?\]\]"), F.lit(1))
 
 
+# Blocks of a body: paragraphs, headings, list items and table rows; a row's cells are parted by pipes outside links.
+FENCE = r"(?ms)^[ ]{0,3}```.*?(?:^[ ]{0,3}```[^\n]*|\Z)"
+BLOCK = r"\n[ \t]*(?:\n|(?=#{1,6}[ ]|[-*+][ ]|[0-9]+[.)][ ]|\|))|(?<=\n)(?=\|)"
+CELL = r"(?<!\\)\|(?![^\[\n]*\]\])"
+MARKER = r"^\s*(?:#{1,6}\s+|[-*+]\s+(?:\[[ xX]\]\s+)?|[0-9]+[.)]\s+|>\s?)"
+CODE = r"`[^`\n]*`"
+LINK = r"(?<!!)\[\[([^\]|\[]+)(?:\|[^\]\[]*)?\]\]"
+MARKS = r"`|\*\*|__"
+REACH = 200  # characters of a block that a link keeps as its context
+
+
+def links_in(body: Column | str) -> Column:
+    """array<struct(target, context)> of the links of a body outside code; the context is the text of the enclosing block."""
+    text = F.regexp_replace(F.coalesce(_col(body), F.lit("")), FENCE, "")
+    rows = F.transform(F.split(text, BLOCK), lambda b: F.when(F.ltrim(b).startswith("|"), F.split(b, CELL)).otherwise(F.array(b)))
+
+    def of(block: Column) -> Column:
+        own = F.regexp_replace(block, MARKER, "")
+        context = F.substring(F.trim(F.regexp_replace(own, MARKS, "")), 1, REACH)
+        found = F.regexp_extract_all(F.regexp_replace(block, CODE, " "), F.lit(LINK), F.lit(1))
+        return F.transform(found, lambda t: F.struct(F.trim(t).alias("target"), context.alias("context")))
+
+    return F.flatten(F.transform(F.flatten(rows), of))
+
+
 def closest_of(value: Column | str, candidates: Column, most: int = 3) -> Column:
     """``closest`` over an array column of candidates."""
     low = F.lower(_col(value))

@@ -9,21 +9,32 @@ from ..functions.text import basename, nfc
 from ..tables import Graph
 
 
+def tiers(rows: DataFrame, names: list[str], texts: list) -> DataFrame:
+    """``names``, ``tier`` and ``key`` for each of five texts of a row: three as they are, one in lower case, one in lower
+    case and normal form C. Only rows with a letter beyond ASCII go through Python for that form."""
+
+    def keyed(part: DataFrame, form) -> DataFrame:
+        keys = [*texts[:3], F.lower(texts[3]), F.lower(form(texts[4]))]
+        return part.select(*names, F.explode(F.array(*(F.struct(F.lit(i).alias("tier"), k.alias("key")) for i, k in enumerate(keys, 1)))).alias("k"))
+
+    ascii_ = ~F.coalesce(texts[4], F.lit("")).rlike(r"[^\x00-\x7F]")
+    both = keyed(rows.filter(ascii_), lambda t: t).unionByName(keyed(rows.filter(~ascii_), nfc))
+    return both.select(*names, "k.tier", "k.key").filter("key is not null")
+
+
 def resolve(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     """``target, id`` of every distinct raw target that some node answers to.
 
     Tiers: path, title, file name, file name in lower case, the same in normal form C; the first tier with a node wins,
-    within it the shortest path, then the smaller path and id. Keys are joined, so no node list is scanned per target.
+    within it the shortest path, then the smaller path and id. Of each key the best node is found first, by partial sums, so
+    that a key of many nodes meets a target once.
     """
     base = basename("file_path")
-    keys = F.array(*(F.struct(F.lit(i).alias("tier"), k.alias("key")) for i, k in enumerate((F.col("file_path"), F.col("title"), base, F.lower(base), F.lower(nfc(base))), 1)))
-    by_key = nodes.select("id", "file_path", F.explode(keys).alias("k")).select("id", "file_path", "k.tier", "k.key").filter("key is not null")
-    t = targets.select("target").filter("target is not null").distinct()
     bare = F.regexp_replace("target", r"\.md$", "")
-    asked = F.array(*(F.struct(F.lit(i).alias("tier"), k.alias("key")) for i, k in enumerate((F.col("target"), F.col("target"), bare, F.lower(bare), F.lower(nfc(bare))), 1)))
-    asked = t.select("target", F.explode(asked).alias("k")).select("target", "k.tier", "k.key")
-    best = asked.join(by_key, ["tier", "key"]).groupBy("target").agg(F.min(F.struct("tier", F.length("file_path").alias("n"), "file_path", "id")).alias("m"))
-    return best.select("target", F.col("m.id").alias("id"))
+    asked = tiers(targets.select("target").filter("target is not null").distinct(), ["target"], [F.col("target"), F.col("target"), bare, bare, bare])
+    by_key = tiers(nodes, ["id", "file_path"], [F.col("file_path"), F.col("title"), base, base, base])
+    best = by_key.groupBy("tier", "key").agg(F.min(F.struct(F.length("file_path").alias("n"), "file_path", "id")).alias("m"))
+    return asked.join(best, ["tier", "key"]).groupBy("target").agg(F.min_by("m.id", "tier").alias("id"))
 
 
 def backfill(g: Graph) -> DataFrame:
@@ -52,9 +63,11 @@ def expand(g: Graph, roots: DataFrame, types: list[str] | None = None, direction
         kept = g.node_types.filter(F.col("schema_type").isin(types)).select(F.col("node_id").alias("id"))
         hops = hops.join(kept, "id", "left_semi")
     hops = hops.join(g.nodes.select("id", "file_mtime"), "id")
+    # a count by partial sums, and a rank that Spark limits before it shuffles: a hub's neighbours never meet in one task
+    count = hops.groupBy("root").agg(F.count("*").alias("considered"))
     order = Window.partitionBy("root").orderBy(F.desc_nulls_last("file_mtime"), "id")
-    ranked = hops.withColumns({"rank": F.row_number().over(order), "considered": F.count("*").over(Window.partitionBy("root"))})
-    return ranked.filter(F.col("rank") <= most).select("root", "id", "rank", "considered", (F.col("considered") > most).alias("truncated"))
+    ranked = hops.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+    return ranked.join(count, "root").select("root", "id", "rank", "considered", (F.col("considered") > most).alias("truncated"))
 
 
 def derive_edges(fields: DataFrame, body_links: DataFrame) -> DataFrame:
@@ -62,8 +75,3 @@ def derive_edges(fields: DataFrame, body_links: DataFrame) -> DataFrame:
     a = fields.select(F.col("node_id").alias("source_id"), "target", F.col("field_name").alias("rel_type"), F.lit(None).cast("string").alias("context"), F.lit(0).alias("o"))
     b = body_links.select(F.col("node_id").alias("source_id"), "target", F.lit("wiki-link").alias("rel_type"), "context", F.lit(1).alias("o"))
     return a.unionByName(b).groupBy("source_id", "target", "rel_type").agg(F.min_by("context", "o").alias("context"))
-
-
-def rename_references(g: Graph, old: str, new: str) -> DataFrame:
-    """Field rows and edges' raw targets that name a node by its old title now name the new one."""
-    return g.relationships.withColumn("target", F.when(F.col("target") == old, F.lit(new)).otherwise(F.col("target")))

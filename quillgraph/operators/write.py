@@ -7,16 +7,16 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import basename, nfc, rewrite_links
-from ..functions.values import classified, rebuilt
+from ..functions.text import basename, rewrite_links
+from ..functions.values import rebuilt
 from ..plans.filters import InvalidParams
 from ..tables import Graph, cut
-from . import claims as C
+from . import coerced as S
 from . import mutate as M
-from .graph import resolve
+from .graph import resolve, tiers
 
-#: Sources that may store a node without its required fields; a tool may not.
-TOLERANT = {"normalizer", "propagation", "undo", "watcher"}
+#: Sources whose nodes take the defaults of required fields; the others write again what is there.
+DEFAULTING = {"tool", "watcher"}
 
 
 def unknown_types(types: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -29,61 +29,72 @@ def log(rows: DataFrame, event: str, at_ms: int, details: Column | None = None)
     return rows.select("node_id", F.lit(at_ms).cast("long").alias("timestamp"), F.lit(event).alias("event_type"), (F.lit(None) if details is None else details).cast("string").alias("details"))
 
 
-def fields_of(proposed: DataFrame) -> DataFrame:
-    """Field rows of ``proposed(id, fields map<string, string>)``, whose values are JSON texts."""
-    f = proposed.select(F.col("id").alias("node_id"), F.explode("fields").alias("field_name", "_v")).filter("_v is not null and _v <> 'null'")
-    return f.select("node_id", "field_name", *classified(F.col("_v")))
-
-
-def defaults(g: Graph, ids: DataFrame, claims: DataFrame, fields: DataFrame) -> DataFrame:
-    """``node_id, field_name`` and value columns of required fields that the nodes lack and that have a default."""
-    lists = C.type_lists(g).join(ids.select(F.col("id").alias("node_id")), "node_id", "left_semi")
-    e = C.merge_claims(lists.select("key", "types").distinct(), claims, fields).filter("required and default_value is not null")
-    want = lists.select("node_id", "key").join(e, "key").select("node_id", F.col("field").alias("field_name"), "default_value")
-    missing = want.join(g.node_fields.select("node_id", "field_name"), ["node_id", "field_name"], "left_anti")
-    return missing.select("node_id", "field_name", *classified(F.col("default_value")))
+#: Columns of ``nodes`` that a change keeps or sets besides what is proposed.
+TIMES = ("content_hash", "file_mtime", "indexed_at", "created_at")
 
 
 def apply(g: Graph, proposed: DataFrame, claims: DataFrame, fields: DataFrame, schemas: DataFrame, source: str = "tool", at_ms: int = 0) -> tuple[Graph, DataFrame, DataFrame]:
-    """The snapshot after whole nodes ``proposed(id, file_path, title, body, types array, fields map)``, its log rows, and
-    the issues that remain.
-
-    A node that is as proposed already is left alone: no new version, no log row. Required fields take their defaults.
-    From a tool, a node with an unknown type or an issue is refused; other sources store it, and a watcher's bad value
-    gives way to the stored one.
+    """The snapshot after whole nodes ``proposed(id, file_path, title, body, types array, fields map<string, JSON>)``, its log
+    rows, and the issues found.
+
+    Values are converted to their fields' types; null is the wish to delete, which a required field doesn't grant. Required
+    fields that aren't given take their defaults (from a tool or a watcher). A tool's node with an unknown type or any issue
+    is refused; other sources may leave required fields out; of a watcher, a bad value gives way to the stored one. A node
+    that is as proposed already is left alone: no new version, no log row. Edges of changed nodes are derived again and
+    resolved against the nodes after the change; edges of others that point to a new or renamed node follow it.
+    Times: ``created_at`` stays, ``file_mtime`` and ``content_hash`` are the proposal's if it has them, else the write's.
     """
-    p = cut(proposed.select("id", "file_path", "title", "body", "types", "fields"))
+    wanted = ["id", "file_path", "title", "body", "types", "fields"]
+    brought = [c for c in ("content_hash", "file_mtime") if c in proposed.columns and c in g.nodes.columns]
+    times = [c for c in TIMES if c in g.nodes.columns]
+    old = g.nodes.select("id", *(F.col(c).alias(f"_{c}") for c in ("version", "file_path", "title", *times)))
+    p = cut(proposed.select(*wanted, *brought).join(old, "id", "left"))
+    had = lambda c: F.col(f"_{c}") if c in times else F.lit(None).cast("long")
+    st = cut(S.coerced_state(p.withColumns({"created_ms": had("created_at"), "modified_ms": had("file_mtime")}), claims, fields, source in DEFAULTING, at_ms))
+    bad = S.issue_rows(st)
     types = p.select(F.col("id").alias("node_id"), F.posexplode("types").alias("sort_order", "schema_type"))
-    refused = types.join(unknown_types(types, schemas), "schema_type", "left_semi").select(F.col("node_id").alias("id")).distinct() if source == "tool" else None
-    if refused is not None:
-        p = cut(p.join(refused, "id", "left_anti"))
-    mine_now = p.select("id")
-    child = mine_now.withColumnRenamed("id", "node_id")
-    now = state(Graph(g.nodes.join(mine_now, "id", "left_semi"), g.node_types.join(child, "node_id", "left_semi"), g.node_fields.join(child, "node_id", "left_semi"), g.relationships)).select("id", F.col("s").alias("_was"))
-    new_fields = fields_of(p)
-    mine = Graph(p.withColumn("version", F.lit(0)), types.join(p.select(F.col("id").alias("node_id")), "node_id", "left_semi"), new_fields, g.relationships)
-    mine = mine.replace(node_types=cut(mine.node_types), node_fields=cut(new_fields))
-    given = cut(defaults(mine, p, claims, fields))
-    mine = mine.replace(node_fields=mine.node_fields.unionByName(given))
-    bad = cut(C.issues(mine, claims, fields))
-    logs = log(given, "field-defaulted", at_ms, F.col("field_name"))
-    if source == "tool":
-        p = p.join(bad.select(F.col("node_id").alias("id")).distinct(), "id", "left_anti")
-    elif source == "watcher":
-        wrong = bad.filter("code <> 'REQUIRED_MISSING'").select("node_id", F.col("field").alias("field_name"))
-        kept = g.node_fields.join(wrong, ["node_id", "field_name"], "left_semi").select(*mine.node_fields.columns)
-        mine = mine.replace(node_fields=cut(mine.node_fields.join(wrong, ["node_id", "field_name"], "left_anti").unionByName(kept)))
-        logs = logs.unionByName(log(wrong, "value-rejected", at_ms, F.col("field_name")))
-    only = p.select("id")
-    after = state(mine).join(only, "id", "left_semi")
-    changed = cut(after.join(now, "id", "left").filter(~F.col("s").eqNullSafe(F.col("_was"))).select("id"))
-    key = changed.withColumnRenamed("id", "node_id")
-    old = g.nodes.select("id", F.col("version").alias("_v"))
-    fresh = mine.nodes.drop("version", "types", "fields").join(changed, "id", "left_semi").join(old, "id", "left").withColumn("version", F.coalesce(F.col("_v") + 1, F.lit(1))).drop("_v")
-    swap = lambda a, b: a.join(key, "node_id", "left_anti").unionByName(b.join(key, "node_id", "left_semi"), allowMissingColumns=True)
-    nodes = g.nodes.join(changed, "id", "left_anti").unionByName(fresh, allowMissingColumns=True)
-    out = Graph(nodes.select(*g.nodes.columns), swap(g.node_types, mine.node_types).select(*g.node_types.columns), swap(g.node_fields, mine.node_fields).select(*g.node_fields.columns), g.relationships)
-    return out, logs.join(key, "node_id", "left_semi"), bad
+    if source != "watcher":
+        refused = (bad if source == "tool" else bad.filter("code <> 'REQUIRED_MISSING'")).select(F.col("node_id").alias("id"))
+        if source == "tool":
+            refused = refused.unionByName(types.join(unknown_types(types, schemas), "schema_type", "left_semi").select(F.col("node_id").alias("id")))
+        p = p.join(refused.distinct(), "id", "left_anti")
+    ids = cut(p.select("id"))
+    child = ids.withColumnRenamed("id", "node_id")
+    rows = S.field_rows(st)
+    retained = None
+    if source == "watcher":
+        wrong = bad.select("node_id", F.col("field").alias("field_name"))
+        stays = g.node_fields.join(wrong, ["node_id", "field_name"], "left_semi")
+        rows = rows.unionByName(stays.select(*rows.columns))
+        retained = stays.select("node_id", F.col("field_name").alias("field"), rebuilt().alias("kept"))
+    rows = cut(rows.join(child, "node_id", "left_semi"))
+    types = types.join(child, "node_id", "left_semi")
+    was = state(Graph(g.nodes.join(ids, "id", "left_semi"), g.node_types.join(child, "node_id", "left_semi"), g.node_fields.join(child, "node_id", "left_semi"), g.relationships))
+    after = state(Graph(p, types, rows, g.relationships))
+    changed = cut(after.join(was.select("id", F.col("s").alias("_s")), "id", "left").filter(~F.col("s").eqNullSafe(F.col("_s"))).select("id", F.col("s").alias("_hash")))
+    key = changed.select(F.col("id").alias("node_id"))
+    now = F.lit(at_ms).cast("long")
+    given = lambda c, other: F.coalesce(F.col(c), other) if c in brought else other
+    sets = {"version": F.coalesce(F.col("_version") + 1, F.lit(1)), "content_hash": given("content_hash", F.col("_hash")), "file_mtime": given("file_mtime", now), "indexed_at": now, "created_at": F.coalesce(had("created_at"), now)}
+    fresh = cut(p.join(changed, "id").withColumns({c: v for c, v in sets.items() if c in g.nodes.columns}).withColumn("_moved", F.col("_version").isNull() | ~F.col("title").eqNullSafe(F.col("_title")) | ~F.col("file_path").eqNullSafe(F.col("_file_path"))))
+    nodes = g.nodes.join(changed, "id", "left_anti").unionByName(fresh.select(*(F.col(c) if c in fresh.columns else F.lit(None).cast(t).alias(c) for c, t in g.nodes.dtypes)))
+    swap = lambda a, b: a.join(key, "node_id", "left_anti").unionByName(b.join(key, "node_id", "left_semi"), allowMissingColumns=True).select(*a.columns)
+    edges = relink(g.relationships, nodes, rows.join(key, "node_id", "left_semi"), fresh, fields)
+    logs = S.log_rows(st, source, at_ms, retained).join(key, "node_id", "left_semi")
+    return Graph(nodes.select(*g.nodes.columns), swap(g.node_types, types), swap(g.node_fields, rows), edges), logs, bad
+
+
+def relink(relationships: DataFrame, nodes: DataFrame, rows: DataFrame, fresh: DataFrame, fields: DataFrame) -> DataFrame:
+    """Edges after nodes changed: those of ``fresh(id, body, _moved)`` derived from their field ``rows`` and bodies, all
+    others as they were but for what points to a moved node."""
+    mine = cut(S.edges_of(rows, fresh, fields))
+    found = resolve(nodes, mine.select("target")).withColumnRenamed("id", "resolved_target_id")
+    mine = mine.join(found, "target", "left")
+    rest = relationships.join(fresh.select(F.col("id").alias("source_id")), "source_id", "left_anti")
+    moved = fresh.filter("_moved").select("id")
+    if not moved.isEmpty():
+        rest = refresh(rest, nodes, moved)
+    return rest.unionByName(mine, allowMissingColumns=True).select(*relationships.columns)
 
 
 def state(g: Graph) -> DataFrame:
@@ -97,17 +108,14 @@ def state(g: Graph) -> DataFrame:
 def keys_of(nodes: DataFrame) -> DataFrame:
     """``id, tier, key``: the five keys under which an edge's raw text finds a node."""
     base = basename("file_path")
-    keys = (F.col("file_path"), F.col("title"), base, F.lower(base), F.lower(nfc(base)))
-    return nodes.select("id", F.explode(F.array(*(F.struct(F.lit(i).alias("tier"), k.alias("key")) for i, k in enumerate(keys, 1)))).alias("k")).select("id", "k.tier", "k.key").filter("key is not null")
+    return tiers(nodes, ["id"], [F.col("file_path"), F.col("title"), base, base, base])
 
 
 def claim_edges(relationships: DataFrame, nodes: DataFrame) -> DataFrame:
     """Unresolved edges whose raw text is a key of one of the new or renamed ``nodes`` point to it; the text keeps its
     ``.md`` here. The first tier wins, then the smaller id. Resolved edges stay as they are."""
     open_ = relationships.filter("resolved_target_id is null").select("target").distinct()
-    t = F.col("target")
-    asked = F.explode(F.array(*(F.struct(F.lit(i).alias("tier"), k.alias("key")) for i, k in enumerate((t, t, t, F.lower(t), F.lower(nfc(t))), 1))))
-    asked = open_.select("target", asked.alias("k")).select("target", "k.tier", "k.key")
+    asked = tiers(open_, ["target"], [F.col("target")] * 5)
     found = asked.join(keys_of(nodes), ["tier", "key"]).groupBy("target").agg(F.min_by("id", F.struct("tier", "id")).alias("_found"))
     return relationships.join(found, "target", "left").withColumn("resolved_target_id", F.coalesce("resolved_target_id", "_found")).select(*relationships.columns)
 
@@ -146,13 +154,19 @@ def _sql(s: str) -> str:
     return "'" + (s or "").replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def refresh_on_rename(relationships: DataFrame, nodes: DataFrame, node_id: str) -> DataFrame:
-    """Edges to the node are resolved anew by their text; those still open are claimed by its present keys."""
-    lost = F.col("resolved_target_id") == node_id
-    edges = relationships.withColumn("_lost", F.coalesce(lost, F.lit(False))).withColumn("resolved_target_id", F.when(~F.col("_lost"), F.col("resolved_target_id")))
-    found = cut(resolve(nodes, edges.filter("_lost").select("target")).withColumnRenamed("id", "_found"))
+def refresh(relationships: DataFrame, nodes: DataFrame, moved: DataFrame) -> DataFrame:
+    """Edges to nodes ``moved(id)`` (new, renamed or back again) are resolved anew by their text; what is open then is
+    claimed by their present keys."""
+    lost = moved.select(F.col("id").alias("resolved_target_id"), F.lit(True).alias("_lost"))
+    edges = cut(relationships.join(lost, "resolved_target_id", "left").withColumn("resolved_target_id", F.when(F.col("_lost").isNull(), F.col("resolved_target_id"))).select(*relationships.columns, "_lost"))
+    found = resolve(nodes, edges.filter("_lost").select("target")).withColumnRenamed("id", "_found")
     edges = edges.join(found, "target", "left").withColumn("resolved_target_id", F.coalesce("resolved_target_id", "_found")).select(*relationships.columns)
-    return claim_edges(edges, nodes.filter(F.col("id") == node_id))
+    return claim_edges(edges, nodes.join(moved, "id", "left_semi"))
+
+
+def refresh_on_rename(relationships: DataFrame, nodes: DataFrame, node_id: str) -> DataFrame:
+    """``refresh`` for one node."""
+    return refresh(relationships, nodes, nodes.sparkSession.createDataFrame([(node_id,)], "id string"))
 
 
 def batch(g: Graph, ops: list[dict], expected: dict[str, int] | None = None) -> tuple[Graph, list[str], dict[str, int]]:

@@ -421,18 +421,10 @@ def _windowed(s, d):
     return E.windowed(s.read.parquet(f"{d}/events.parquet")).withColumn("total", F.round("total", 6))
 
 
-@query("m09_conflicts", "SELECT * FROM (VALUES ('n1', 'superseded_by_later_op'), ('n2', 'modified_after_operation'), ('n3', 'path_occupied')) v(node_id, reason)")
-def _conflicts(s, d):
-    ops = table(s, "undo_operations", [("a", 1, "t", "", 3, "active"), ("b", 2, "t", "", 1, "active")])
-    snaps = table(s, "undo_snapshots", [("a", "n1", "1.md", "1", "", [], "{}", False, None), ("a", "n2", "2.md", "2", "", [], "{}", False, "h"), ("a", "n3", "3.md", "3", "", [], "{}", True, None), ("b", "n1", "1.md", "1", "", [], "{}", False, None)])
-    nodes = s.createDataFrame([("n1", "1.md", "x"), ("n2", "2.md", "other"), ("n9", "3.md", "y")], "id string, file_path string, content_hash string")
-    return M.conflicts(ops, snaps, nodes, "a")
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open orders of customers in one market segment: a filter across an edge, sorted, paged and enriched."""
     g = graph(spark, sf_dir)
     return P.enrich(g, P.page(g, _FLAGSHIP)).select("id", "file_path", "title", "version", F.array_join("types", ",").alias("types"), "field_count")
 
 
-from . import queries_more  # noqa: E402, F401
+from . import queries_more, queries_write  # noqa: E402, F401

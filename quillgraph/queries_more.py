@@ -221,15 +221,6 @@ def _claim_edges(s, d):
     return out.groupBy("rel_type", "resolved_target_id").agg(F.count("*").alias("n"))
 
 
-@query("m05_rename_node", _PRE + "SELECT count(*) FILTER (target = 'Renamed') AS renamed, count(*) FILTER (target = 'Customer#000000007') AS old, count(*) FILTER (resolved_target_id = 'customer:7') AS resolved FROM (SELECT resolved_target_id, target FROM relationships WHERE rel_type = 'customer') x")
-def _rename_node(s, d):
-    out = W.rename(graph(s, d), "customer:7", "Renamed").relationships.filter("rel_type = 'customer'")
-    # no field or body of an order names its customer, so the edges keep their text and lose the name
-    back = out.join(graph(s, d).relationships.filter("resolved_target_id = 'customer:7'").select("source_id", "target"), ["source_id", "target"], "left_semi")
-    lost = back.filter("resolved_target_id is null").count()
-    return out.agg(F.count_if(F.col("target") == "Renamed").alias("renamed"), F.count_if(F.col("target") == "Customer#000000007").alias("old"), (F.count_if(F.col("resolved_target_id") == "customer:7") + F.lit(lost)).alias("resolved"))
-
-
 @query("m01_apply", _PRE + f"SELECT n.id AS id, CASE WHEN n.id IN ('part:1', 'part:2') THEN n.version + 1 ELSE n.version END AS version FROM nodes n WHERE {_type('part')}")
 def _apply(s, d):
     g = graph(s, d)

@@ -13,7 +13,8 @@ TABLES = {
     "edits_log": "node_id string, timestamp long, event_type string, details string",
     "sync_log": "id long, timestamp long, file_path string, event string, source string, details string",
     "undo_operations": "operation_id string, timestamp long, source_tool string, description string, node_count int, status string",
-    "undo_snapshots": "operation_id string, node_id string, file_path string, title string, body string, types array<string>, fields string, was_deleted boolean, post_mutation_hash string",
+    "undo_snapshots": "operation_id string, node_id string, file_path string, title string, body string, file_mtime long, created_at long, version int, types array<struct<sort_order:int,schema_type:string>>, "
+    "fields array<struct<field_name:string,value_text:string,value_number:double,value_date:string,value_json:string>>, edges array<struct<target:string,rel_type:string,context:string,resolved_target_id:string>>, was_deleted boolean, post_mutation_hash string",
 }
 EDIT_EVENTS = {"file-indexed", "index-error", "file-deleted", "parse-error", "value-coerced", "value-rejected", "merge-conflict", "field-defaulted", "fields-orphaned", "value-removed", "bulk-mutate", "reconciler-error", "reconciler-sweep", "normalizer-sweep"}
 SYNC_EVENTS = {"watcher-event", "parse-retry", "file-written", "noop"}
