@@ -24,7 +24,7 @@ POSITIVES = 5
 NEGATIVES = 3
 LOW, HIGH = 50, 95  # per cent of the positive's score between which a hard negative lies
 BLOCK = 8 << 20  # bytes of anchors that a task holds
-TILE = 1 << 21  # anchors times rows looked at together
+TILE = 1 << 19  # anchors times rows looked at together
 STEPS = (1 / 4, 1 / 2)  # shares of the components after which pairs are judged
 
 
