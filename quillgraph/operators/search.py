@@ -10,13 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import snippet
+from ..tables import commit, manifest, versions
+from . import textquery as Q
 
 K1, B = 1.2, 0.75
 RRF = 60
 NEAREST = 400
 CELLS = 64  # folders of an index; a term's rows lie in one
-# Latin-1 letters with marks and the letters they fold to; fixed values.
-ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+ACCENTS = Q.ACCENTS
 
 
 def tokens(c: Column) -> Column:
@@ -32,18 +33,34 @@ class Index:
     size: DataFrame
 
 
-def build_index(docs: DataFrame) -> Index:
-    """Postings over title and body together; one pass over the texts, whatever is asked later."""
-    words = docs.select("id", tokens(F.concat_ws(" ", "title", "body")).alias("w")).withColumn("len", F.size("w"))
-    rows = words.select("id", "len", F.posexplode("w").alias("place", "term"))
+def postings_of(docs: DataFrame) -> DataFrame:
+    """``id, len, term, places, cell`` of ``docs(id, title, body)``; places of the body begin at ``BODY``."""
+    at = lambda c, base: F.transform(tokens(F.coalesce(c, F.lit(""))), lambda w, i: F.struct((i + base).alias("place"), w.alias("term")))
+    words = docs.select("id", F.concat(at("title", 0), at("body", Q.BODY)).alias("w")).withColumn("len", F.size("w"))
+    rows = words.select("id", "len", F.explode("w").alias("w")).select("id", "len", "w.place", "w.term")
     postings = rows.groupBy("id", "len", "term").agg(F.sort_array(F.collect_list("place")).alias("places"))  # of one document
-    return Index(postings.withColumn("cell", F.pmod(F.xxhash64("term"), F.lit(CELLS)).cast("int")), words.agg(F.count("*").alias("n"), F.avg("len").alias("avg")))
+    return postings.withColumn("cell", F.pmod(F.xxhash64("term"), F.lit(CELLS)).cast("int"))
 
 
-def save_index(index: Index, path: str) -> None:
+def lengths(docs: DataFrame) -> DataFrame:
+    """``id, len`` of every document, also of those without a word."""
+    count = lambda c: F.size(tokens(F.coalesce(c, F.lit(""))))
+    return docs.select("id", (count("title") + count("body")).alias("len"))
+
+
+def build_index(docs: DataFrame) -> Index:
+    """Postings over title and body; one pass over the texts, whatever is asked later."""
+    return Index(postings_of(docs), lengths(docs).agg(F.count("*").alias("n"), F.avg("len").alias("avg")))
+
+
+def save_postings(postings: DataFrame, path: str) -> None:
     """Postings lie by term, so that a query reads the files and row groups of its terms."""
-    rows = index.postings.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(4)))  # a common term is no task of its own
-    rows.repartition("cell", "salt").drop("salt").sortWithinPartitions("cell", "term").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/postings")
+    rows = postings.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(4)))  # a common term is no task of its own
+    rows.repartition("cell", "salt").drop("salt").sortWithinPartitions("cell", "term").write.mode("overwrite").partitionBy("cell").parquet(path)
+
+
+def save_index(index: Index, path: str) -> None:
+    save_postings(index.postings, f"{path}/postings")
     index.size.write.mode("overwrite").parquet(f"{path}/size")
 
 
@@ -51,86 +68,120 @@ def load_index(spark: SparkSession, path: str) -> Index:
     return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/size"))
 
 
+# An index that follows its documents: segments of postings, each with the documents it holds. A document's rows count in the
+# last segment that names it; ``docs`` of a segment has a null length for one that is gone. The running totals lie in the manifest.
+
+
+def segments(spark: SparkSession, path: str) -> list[int]:
+    return manifest(spark, path).get("segments", [])
+
+
+def create_segments(docs: DataFrame, path: str) -> None:
+    """The first segment, of all documents."""
+    spark = docs.sparkSession
+    n, total = _write_segment(docs, None, path, 0)
+    commit(spark, path, 0, {"segments": [0], "next": 1, "n": n, "total": total})
+
+
+def _write_segment(docs: DataFrame, gone: DataFrame | None, path: str, number: int) -> tuple[int, int]:
+    folder = f"{path}/{number}"
+    save_postings(postings_of(docs), f"{folder}/postings")
+    have = lengths(docs)
+    (have if gone is None else have.unionByName(gone.select("id", F.lit(None).cast("int").alias("len")))).write.mode("overwrite").parquet(f"{folder}/docs")
+    r = docs.sparkSession.read.parquet(f"{folder}/docs").agg(F.count("len").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("t")).first()
+    return r.n, r.t
+
+
+def _docs_of(spark: SparkSession, path: str, numbers: list[int]) -> DataFrame:
+    out = None
+    for k in numbers:
+        part = spark.read.parquet(f"{path}/{k}/docs").select("id", "len", F.lit(k).alias("segment"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def update_segments(spark: SparkSession, path: str, changed: DataFrame | None, deleted: DataFrame | None) -> None:
+    """A further segment with documents ``changed(id, title, body)``, new or changed, and the ids ``deleted``: only these are
+    read and written. Totals move by what the documents had and have. A concurrent update raises ``Conflict``."""
+    was = manifest(spark, path)
+    number = was["next"]
+    like = changed if changed is not None else deleted.select("id", F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("body")).limit(0)
+    gone = None if deleted is None else deleted.select("id").distinct().join(like.select("id"), "id", "left_anti")
+    n, total = _write_segment(like, gone, path, number)
+    touched = spark.read.parquet(f"{path}/{number}/docs").select("id")
+    old = _docs_of(spark, path, was["segments"]).join(touched, "id", "left_semi").groupBy("id").agg(F.max_by("len", "segment").alias("len"))
+    r = old.agg(F.count("len").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("t")).first()
+    commit(spark, path, versions(spark, path)[-1] + 1, {"segments": [*was["segments"], number], "next": number + 1, "n": was["n"] + n - r.n, "total": was["total"] + total - r.t})
+
+
+def load_segments(spark: SparkSession, path: str) -> Index:
+    """The index as of the last commit. Postings of a document that a later segment names are left out by an anti join of the
+    rows a query asked for; a filter on terms reaches every segment's scan."""
+    m = manifest(spark, path)
+    numbers, out = m["segments"], None
+    for k in numbers:
+        part = spark.read.parquet(f"{path}/{k}/postings")
+        later = [x for x in numbers if x > k]
+        if later:
+            part = part.join(_docs_of(spark, path, later).select("id").distinct(), "id", "left_anti")
+        out = part if out is None else out.unionByName(part)
+    size = spark.range(1).select(F.lit(m["n"]).cast("long").alias("n"), F.lit(m["total"] / m["n"] if m["n"] else None).cast("double").alias("avg"))
+    return Index(out, size)
+
+
+def compact(spark: SparkSession, path: str) -> None:
+    """All segments as one; readers of earlier commits keep theirs."""
+    was = manifest(spark, path)
+    number = was["next"]
+    save_postings(load_segments(spark, path).postings, f"{path}/{number}/postings")
+    live = _docs_of(spark, path, was["segments"]).groupBy("id").agg(F.max_by("len", "segment").alias("len")).filter("len is not null")
+    live.write.mode("overwrite").parquet(f"{path}/{number}/docs")
+    commit(spark, path, versions(spark, path)[-1] + 1, {**was, "segments": [number], "next": number + 1})
+
+
 def match(index: Index, query: str) -> DataFrame:
-    """``id, score`` by BM25 of what the query language asks for: words (all), ``OR``, ``NOT``, quoted phrases, ``prefix*``.
-    A query that can't be read gives no rows. Only the terms' postings are read."""
-    parsed = parse(query)
-    if parsed is None:
+    """``id, score`` by BM25 of what the query language (``textquery``) asks for. A query that can't be read, or has no word,
+    gives no rows. Only the postings of its terms are read; a document's lists meet in one row."""
+    try:
+        tree = Q.parse(query)
+    except Q.Unreadable:
+        tree = None
+    if tree is None:
         return index.postings.select("id", F.lit(0.0).alias("score")).limit(0)
-    atoms = list(dict.fromkeys(a for alt in parsed for a, _ in alt))
-    terms = list(dict.fromkeys(t for a in atoms for t in a))
+    groups = Q.atoms(tree)
+    every = list(dict.fromkeys((p, a if isinstance(a, Q.Near) else None) for a in groups for p in (a.phrases if isinstance(a, Q.Near) else [a])))
+    terms = list(dict.fromkeys(w for p, _ in every for w in p.words))
     whole = [t for t in terms if not t.endswith("*")]
-    heads = [t[:-1] for t in terms if t.endswith("*")]
     wanted = F.lit(False)
     if whole:
         cells = index.postings.sparkSession.range(1).select(*(F.pmod(F.xxhash64(F.lit(t)), F.lit(CELLS)).cast("int") for t in whole)).first()
         wanted = F.col("term").isin(whole) & (F.col("cell").isin(sorted(set(cells))))
-    for p in heads:
-        wanted |= F.col("term").startswith(p)
+    for t in terms:
+        if t.endswith("*"):
+            wanted |= F.col("term").startswith(t[:-1])
     is_term = lambda t: F.col("term").startswith(t[:-1]) if t.endswith("*") else F.col("term") == t
     rows = index.postings.filter(wanted).groupBy("id").agg(F.first("len").alias("len"), *(F.flatten(F.collect_list(F.when(is_term(t), F.col("places")))).alias(f"p{i}") for i, t in enumerate(terms)))
-    place = {t: F.col(f"p{i}") for i, t in enumerate(terms)}
-
-    def tf(atom: tuple[str, ...]) -> Column:
-        if len(atom) == 1:
-            return F.size(place[atom[0]])
-
-        def follows(p: Column) -> Column:
-            out = F.lit(True)
-            for j, t in enumerate(atom[1:], 1):
-                out &= F.array_contains(place[t], p + j)
-            return out
-
-        return F.size(F.filter(place[atom[0]], follows))
-
-    counted = rows.select("id", "len", *(tf(a).alias(f"tf{i}") for i, a in enumerate(atoms)))
-    df = counted.agg(*(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(atoms))))
-    ok = F.lit(False)
-    for alt in parsed:
-        here = F.lit(True)
-        for a, positive in alt:
-            c = F.col(f"tf{atoms.index(a)}") > 0
-            here &= c if positive else ~c
-        ok |= here
-    scored = {a for alt in parsed for a, positive in alt if positive}
-    score = F.lit(0.0)
-    for i, a in enumerate(atoms):
-        if a in scored:
-            t, d, n = F.col(f"tf{i}"), F.col(f"df{i}"), F.col("n")
-            score += F.greatest(F.log((n - d + 0.5) / (d + 0.5)), F.lit(1e-6)) * t * (K1 + 1) / (t + K1 * (1 - B + B * F.col("len") / F.col("avg")))
+    plain = list(dict.fromkeys(p for p, _ in every))
+    rows = rows.select("id", "len", *(Q.starts(p, lambda t: F.col(f"p{terms.index(t)}")).alias(f"s{i}") for i, p in enumerate(plain)))
+    near = [a for a in groups if isinstance(a, Q.Near)]
+    rows = rows.select("*", *(F.array(*Q.clumps(a, [F.col(f"s{plain.index(p)}") for p in a.phrases])).alias(f"n{k}") for k, a in enumerate(near)))
+    places = lambda p, a: F.col(f"s{plain.index(p)}") if a is None else F.get(f"n{near.index(a)}", a.phrases.index(p))
+    counted = rows.select("id", "len", *(F.size(places(p, a)).alias(f"tf{i}") for i, (p, a) in enumerate(every)), *((F.size(f"s{i}") > 0).alias(f"h{i}") for i in range(len(plain))))
+    df = counted.agg(*(F.count_if(f"h{i}").alias(f"df{i}") for i in range(len(plain))))  # of the phrase alone, wherever it is near
+    at = lambda a: [every.index((p, a)) for p in a.phrases] if isinstance(a, Q.Near) else [every.index((a, None))]
+    here = lambda a: F.col(f"tf{at(a)[0]}") > 0
+
+    def worth(a) -> Column:
+        out = F.lit(0.0)
+        for i in at(a):
+            t, d, n = F.col(f"tf{i}"), F.col(f"df{plain.index(every[i][0])}"), F.col("n")
+            out += F.greatest(F.log((n - d + 0.5) / (d + 0.5)), F.lit(1e-6)) * t * (K1 + 1) / (t + K1 * (1 - B + B * F.col("len") / F.col("avg")))
+        return out
+
+    ok, score = Q.truth(tree, here), Q.score(tree, here, worth)
     return counted.filter(ok).crossJoin(F.broadcast(index.size.crossJoin(df))).select("id", score.alias("score"))  # one row each
 
 
-def parse(query: str) -> list[list[tuple[tuple[str, ...], bool]]] | None:
-    """Alternatives of (phrase, wanted) pairs; None for a syntax error."""
-    parts = re.findall(r'"[^"]*"|\S+', query)
-    out: list[list] = [[]]
-    positive = True
-    for p in parts:
-        if p == "OR":
-            if not out[-1]:
-                return None
-            out.append([])
-        elif p == "AND":
-            if not out[-1]:
-                return None
-        elif p == "NOT":
-            if not out[-1]:
-                return None
-            positive = False
-        else:
-            quoted = p.startswith('"')
-            raw = p.strip('"')
-            if not quoted and re.search(r"[^\w*]", raw):
-                return None
-            words = [w for w in re.split(r"[\W_]+", raw.lower().translate(str.maketrans(*ACCENTS))) if w]
-            if words:
-                words[-1] += "*" if p.endswith("*") and not quoted else ""
-                out[-1].append((tuple(words), positive))
-            positive = True
-    return None if not out[-1] or not positive else out
-
-
 def distance(query: list[float], col: str = "vector") -> Column:
     return F.sqrt(F.aggregate(F.zip_with(F.col(col), F.array(*(F.lit(float(x)) for x in query)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
 

@@ -427,4 +427,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.enrich(g, P.page(g, _FLAGSHIP)).select("id", "file_path", "title", "version", F.array_join("types", ",").alias("types"), "field_count")
 
 
-from . import queries_more, queries_write  # noqa: E402, F401
+from . import queries_more, queries_search, queries_write  # noqa: E402, F401

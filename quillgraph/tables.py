@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import json
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -67,24 +69,103 @@ def stored(spark: SparkSession, name: str, sources: list[str], make: Callable[[s
         marks += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files.listStatus(where)]
     key = (spark.sparkContext.applicationId, name, tuple(sorted(marks)))
     if key not in _STORED:
-        folder = f"{shared_dir(spark)}/quillgraph-{name}-{uuid.uuid4().hex}"
+        folder = own_folder(spark, name)
         make(folder)
         _STORED[key] = folder
     return _STORED[key]
 
 
+_KEPT: list[tuple[SparkSession, str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where that is unset, as in tests, a temporary folder."""
+    """``spark.checkpoint.dir``; a temporary folder where the setting is absent and all tasks run on this machine (tests). On a
+    cluster its absence is an error: executors can't read the driver's folders."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quillgraph-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, removed when the session ends."""
+    path = f"{shared_dir(spark)}/quillgraph-{name}-{uuid.uuid4().hex}"
+    if not _KEPT:
+        atexit.register(_clean)
+    _KEPT.append((spark, path))
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _clean() -> None:
+    for spark, path in _KEPT:
+        try:
+            remove(spark, path)
+        except Exception:  # the JVM may have gone first
+            return
+
+
+class Conflict(RuntimeError):
+    """Another writer committed the same version first."""
+
+
+def versions(spark: SparkSession, root: str) -> list[int]:
+    """The committed versions of what lies below ``root``."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_versions")
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(int(f.getPath().getName()) for f in files.listStatus(where)) if files.exists(where) else []
+
+
+def manifest(spark: SparkSession, root: str, version: int | None = None) -> dict:
+    """What the given, or the last, committed version says; empty before the first."""
+    known = versions(spark, root)
+    if not known:
+        return {}
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_versions/{known[-1] if version is None else version}")
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
+    try:
+        return json.loads(bytes(stream.readAllBytes()).decode())
+    finally:
+        stream.close()
+
+
+def commit(spark: SparkSession, root: str, version: int, content: dict) -> None:
+    """Several tables become visible at once: a small file is made under the version's number, which fails where it is there
+    already. What a writer wrote before it failed is in folders that no manifest names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_versions/{version}")
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    part = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_versions/.{version}-{uuid.uuid4().hex}")
+    stream = files.create(part, False)
+    stream.write(bytearray(json.dumps(content).encode()))
+    stream.close()
+    if files.exists(where) or not files.rename(part, where):
+        files.delete(part, False)
+        raise Conflict(f"version {version} of {root} is there already")
+
+
+def save_version(graph: Graph, root: str, base: int) -> int:
+    """The graph as the version after ``base``: all four tables are written, then committed by one manifest."""
+    spark = graph.nodes.sparkSession
+    folder = f"v{base + 1}-{uuid.uuid4().hex}"
+    save(graph, f"{root}/{folder}")
+    commit(spark, root, base + 1, {"folder": folder})
+    return base + 1
+
+
+def load_version(spark: SparkSession, root: str, version: int | None = None) -> Graph:
+    return load(spark, f"{root}/{manifest(spark, root, version)['folder']}")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of ``df`` from a table of their own, so that what follows neither plans nor computes it again."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillgraph-cut-{uuid.uuid4().hex}"
+    path = own_folder(spark, "cut")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

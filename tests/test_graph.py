@@ -22,12 +22,14 @@ from quillgraph.tables import Graph, load, save, table
 
 @pytest.fixture(scope="module")
 def g(spark):
-    nodes = [("n1", "meetings/meeting.md", "Team Meeting", "Meeting body text", 1000), ("n2", "notes/note.md", "Quick Note", "Note body text", 2000), ("n3", "tasks/task.md", "Fix Bug", "Task body text", 3000)]
-    types = [("n1", "meeting", 0), ("n1", "note", 1), ("n2", "note", 0), ("n3", "task", 0)]
+    nodes = [("kestrel", "birds/raptors/kestrel.md", "Common Kestrel", "hovers over verges", 500), ("siskin", "birds/siskin.md", "Siskin", "in alders", 1500),
+             ("box7", "boxes/box-7.md", "Box Seven", "faces east", 2500), ("walk", "walks/2023 spring.md", "Spring Walk", "along the weir", 3500)]
+    types = [("kestrel", "bird", 0), ("kestrel", "ringed", 1), ("siskin", "ringed", 0), ("box7", "box", 0), ("walk", "outing", 0)]
     f = lambda n, k, t=None, x=None, d=None, j=None: (n, k, t, x, d, j)
-    fields = [f("n1", "project", "Apollo"), f("n3", "priority", x=1.0), f("n2", "old_field", "leftover"), f("n1", "context", j='["work"]'), f("n3", "context", j='["personal","work"]'), f("n1", "status", "open"), f("n3", "status", "open"),
-              f("n2", "status", "done"), f("n1", "scheduled", "2026-01-15"), f("n2", "scheduled", "2026-04-01"), f("n3", "scheduled", d="2026-06-30"), f("n1", "flag", j="true")]
-    edges = [("n1", "Quick Note", "wiki-link", "n2"), ("n3", "Ghost", "project", None), ("n2", "Fix Bug", "task", "n3")]
+    fields = [f("kestrel", "wingspan", x=76.0), f("kestrel", "colours", j='["rufous","grey"]'), f("kestrel", "ring", "AX-19"), f("kestrel", "seen", "2023-03-02"), f("kestrel", "protected", j="true"), f("kestrel", "phase", "breeding"),
+              f("siskin", "colours", j='["green"]'), f("siskin", "ring", "QR-4"), f("siskin", "seen", "2023-05-20"), f("siskin", "phase", "moult"),
+              f("box7", "height", x=3.0), f("box7", "owner", "parish"), f("box7", "seen", d="2023-08-11"), f("box7", "phase", "breeding"), f("walk", "legacy_note", "muddy")]
+    edges = [("kestrel", "Box Seven", "nests_in", "box7"), ("siskin", "Old Barn", "nests_in", None), ("walk", "Siskin", "wiki-link", "siskin")]
     return Graph(spark.createDataFrame(nodes, "id string, file_path string, title string, body string, file_mtime long").withColumn("version", F.lit(1)),
                  spark.createDataFrame(types, "node_id string, schema_type string, sort_order int"),
                  spark.createDataFrame(fields, "node_id string, field_name string, value_text string, value_number double, value_date string, value_json string"),
@@ -35,17 +37,17 @@ def g(spark):
 
 
 @pytest.mark.parametrize("spec,want", [
-    ({}, "n1 n2 n3"), ({"types": ["meeting", "note"]}, "n1"), ({"without_types": ["note"]}, "n3"), ({"fields": {"project": {"exists": True}}}, "n1"),
-    ({"fields": {"project": {"exists": False, "eq": "zzz"}}}, "n2 n3"), ({"fields": {"status": {"eq": "Open"}}}, ""), ({"fields": {"status": {"ne": "done"}}}, "n1 n3"),
-    ({"fields": {"priority": {"eq": 1}}}, "n3"), ({"fields": {"priority": {"eq": "1"}}}, ""), ({"fields": {"scheduled": {"gte": "2026-04-01", "lt": "2026-07-01"}}}, "n2 n3"),
-    ({"fields": {"context": {"contains": "WORK"}}}, "n1 n3"), ({"fields": {"context": {"includes": "personal"}}}, "n3"), ({"fields": {"flag": {"includes": True}}}, "n1"),
-    ({"fields": {"status": {"one_of": ["done", "x"]}}}, "n2"), ({"fields": {"scheduled": {"one_of": ["2026-06-30"]}}}, ""), ({"without_fields": ["project", "old_field"]}, "n3"),
-    ({"fields": {"status": {"eq": "open"}, "scheduled": {"exists": True}, "context": {"includes": "work"}}}, "n1 n3"),
-    ({"references": {"target": "Quick Note"}}, "n1"), ({"references": {"target": "quick note"}}, ""), ({"references": {"target": "note.md", "direction": "incoming"}}, "n1"),
-    ({"references": {"target": "Quick Note", "direction": "both"}}, "n1"), ({"references": {"target": "nothing", "direction": "incoming"}}, ""),
-    ({"title_eq": "FIX bug"}, "n3"), ({"title_contains": "t_a"}, "n1"), ({"without_titles": ["fix bug"]}, "n1 n2"), ({"path_prefix": "NOTES"}, "n2"), ({"path_dir": ""}, ""), ({"path_dir": "notes"}, "n2"),
-    ({"modified_since": "1970-01-01T00:00:02Z"}, "n2 n3"), ({"join_filters": [{"rel_type": "project"}]}, ""), ({"join_filters": [{"target": {"types": ["note"]}}]}, "n1"),
-    ({"join_filters": [{"direction": "incoming", "rel_type": ["task", "x"]}]}, "n3"), ({"without_joins": [{"rel_type": "wiki-link"}]}, "n2 n3"), ({"node_ids": []}, "n1 n2 n3"), ({"without_node_ids": ["n1"]}, "n2 n3"),
+    ({}, "box7 kestrel siskin walk"), ({"types": ["bird", "ringed"]}, "kestrel"), ({"without_types": ["ringed"]}, "box7 walk"), ({"fields": {"wingspan": {"exists": True}}}, "kestrel"),
+    ({"fields": {"wingspan": {"exists": False, "eq": "zzz"}}}, "box7 siskin walk"), ({"fields": {"ring": {"eq": "ax-19"}}}, ""), ({"fields": {"ring": {"ne": "QR-4"}}}, "kestrel"),
+    ({"fields": {"height": {"eq": 3}}}, "box7"), ({"fields": {"height": {"eq": "3"}}}, ""), ({"fields": {"seen": {"gte": "2023-05-01", "lt": "2023-09-01"}}}, "box7 siskin"),
+    ({"fields": {"colours": {"contains": "GREEN"}}}, "siskin"), ({"fields": {"colours": {"includes": "grey"}}}, "kestrel"), ({"fields": {"protected": {"includes": True}}}, "kestrel"),
+    ({"fields": {"ring": {"one_of": ["QR-4", "x"]}}}, "siskin"), ({"fields": {"seen": {"one_of": ["2023-08-11"]}}}, ""), ({"without_fields": ["wingspan", "legacy_note"]}, "box7 siskin"),
+    ({"fields": {"ring": {"eq": "AX-19"}, "seen": {"exists": True}, "colours": {"includes": "rufous"}}}, "kestrel"),
+    ({"references": {"target": "Box Seven"}}, "kestrel"), ({"references": {"target": "box seven"}}, ""), ({"references": {"target": "box-7.md", "direction": "incoming"}}, "kestrel"),
+    ({"references": {"target": "Box Seven", "direction": "both"}}, "kestrel"), ({"references": {"target": "nothing", "direction": "incoming"}}, ""),
+    ({"title_eq": "SISKIN"}, "siskin"), ({"title_contains": "n_k"}, "kestrel"), ({"without_titles": ["siskin"]}, "box7 kestrel walk"), ({"path_prefix": "BIRDS"}, "kestrel siskin"), ({"path_dir": ""}, ""), ({"path_dir": "birds"}, "siskin"),
+    ({"modified_since": "1970-01-01T00:00:02Z"}, "box7 walk"), ({"join_filters": [{"rel_type": "nests_in"}]}, "kestrel"), ({"join_filters": [{"target": {"types": ["box"]}}]}, "kestrel"),
+    ({"join_filters": [{"direction": "incoming", "rel_type": ["wiki-link", "x"]}]}, "siskin"), ({"without_joins": [{"rel_type": "nests_in"}]}, "box7 siskin walk"), ({"node_ids": []}, "box7 kestrel siskin walk"), ({"without_node_ids": ["walk"]}, "box7 kestrel siskin"),
 ])
 def test_filters(g, spec, want):
     assert sorted(r.id for r in compile_filter(g, spec).collect()) == want.split()
@@ -60,9 +62,9 @@ def test_invalid_filters(spec):
 def test_pages(g):
     with pytest.raises(InvalidParams):
         Page(limit=201)
-    assert [r.id for r in P.page(g, {}, Page("file_mtime", "desc", 2, 1)).collect()] == ["n2", "n1"]
-    row = {r.id: r for r in P.enrich(g, P.page(g, {}), ["*"]).collect()}["n1"]
-    assert row.types == ["meeting", "note"] and row.field_count == 5 and row.fields["status"] == "open"
+    assert [r.id for r in P.page(g, {}, Page("file_mtime", "desc", 2, 1)).collect()] == ["box7", "siskin"]
+    row = {r.id: r for r in P.enrich(g, P.page(g, {}), ["*"]).collect()}["kestrel"]
+    assert row.types == ["bird", "ringed"] and row.field_count == 6 and row.fields["ring"] == "AX-19"
 
 
 def test_resolver_tiers(spark):
@@ -73,18 +75,18 @@ def test_resolver_tiers(spark):
 
 def test_expand_and_backfill(g):
     got = {(r.root, r.id) for r in G.expand(g, g.nodes).collect()}
-    assert got == {("n1", "n2"), ("n2", "n1"), ("n2", "n3"), ("n3", "n2")}
-    lost = g.replace(relationships=G.forget(g.relationships, g.nodes.filter("id = 'n2'")))
+    assert got == {("kestrel", "box7"), ("box7", "kestrel"), ("walk", "siskin"), ("siskin", "walk")}
+    lost = g.replace(relationships=G.forget(g.relationships, g.nodes.filter("id = 'box7'")))
     assert lost.relationships.filter("resolved_target_id is null").count() == 2
-    assert G.backfill(lost).filter("resolved_target_id = 'n2'").count() == 1
+    assert G.backfill(lost).filter("resolved_target_id = 'box7'").count() == 1
 
 
 def test_discovery(spark, g):
-    claims = table(spark, "claims", [("task", "status", None, None, 1, True, False, None, None)])
-    assert {r.field_name for r in D.orphan_counts(g, claims).collect()} >= {"old_field", "project"}
-    assert [(r.value, r.n) for r in D.field_values(g, "status", ["note", "meeting"]).orderBy("value").collect()] == [("done", 1), ("open", 2)]
-    assert D.infer_type(g, "priority").first().proposed_type == "number"
-    assert D.infer_type(g, "scheduled").first().proposed_type == "string"
+    claims = table(spark, "claims", [("box", "owner", None, None, 1, True, False, None, None)])
+    assert {r.field_name for r in D.orphan_counts(g, claims).collect()} >= {"legacy_note", "wingspan"}
+    assert [(r.value, r.n) for r in D.field_values(g, "ring", ["ringed", "bird"]).orderBy("value").collect()] == [("AX-19", 2), ("QR-4", 1)]
+    assert D.infer_type(g, "wingspan").first().proposed_type == "number"
+    assert D.infer_type(g, "seen").first().proposed_type == "string"
 
 
 def test_merge_claims(spark):
@@ -101,18 +103,18 @@ def test_merge_claims(spark):
 
 
 def test_enum_values_per_type(spark, g):
-    fields = table(spark, "global_fields", [("status", "enum", ["open", "done"], None, False, True, True, True, None)])
+    fields = table(spark, "global_fields", [("phase", "enum", ["breeding", "moult"], None, False, True, True, True, None)])
     found = lambda *c: {(r.node_id, r.code) for r in C.issues(g, claims(*c), fields).collect()}
-    claims = lambda *c: table(spark, "claims", [(t, "status", None, None, 1, None, False, None, v) for t, v in c])
-    assert found(("meeting", None), ("note", None), ("task", None)) == set()
-    assert found(("meeting", ["done"]), ("task", ["done"])) == {("n1", "ENUM_MISMATCH"), ("n3", "ENUM_MISMATCH")}
-    assert found(("meeting", ["done"]), ("note", None)) == set()  # the other type's list is the global one
-    assert found(("meeting", ["done"]), ("note", ["new", "open"])) == {("n2", "ENUM_MISMATCH")}
-    assert found(("task", [])) == {("n3", "ENUM_MISMATCH")}
-    lists = spark.createDataFrame([("mn", ["meeting", "note"]), ("n", ["note"])], "key string, types array<string>")
-    got = {r.key: r.enum_lists for r in C.merge_claims(lists, claims(("meeting", ["done"]), ("note", None)), fields).collect()}
-    assert got == {"mn": [["done"], ["open", "done"]], "n": None}
-    assert [tuple(r) for r in C.claim_diff(claims(("task", ["a"]), ("note", None)), claims(("task", ["b"]), ("note", None))).collect()] == [("task", "status", "changed")]
+    claims = lambda *c: table(spark, "claims", [(t, "phase", None, None, 1, None, False, None, v) for t, v in c])
+    assert found(("bird", None), ("ringed", None), ("box", None)) == set()
+    assert found(("bird", ["moult"]), ("box", ["moult"])) == {("kestrel", "ENUM_MISMATCH"), ("box7", "ENUM_MISMATCH")}
+    assert found(("bird", ["moult"]), ("ringed", None)) == set()  # the other type's list is the global one
+    assert found(("bird", ["moult"]), ("ringed", ["egg", "breeding"])) == {("siskin", "ENUM_MISMATCH")}
+    assert found(("box", [])) == {("box7", "ENUM_MISMATCH")}
+    lists = spark.createDataFrame([("br", ["bird", "ringed"]), ("r", ["ringed"])], "key string, types array<string>")
+    got = {r.key: r.enum_lists for r in C.merge_claims(lists, claims(("bird", ["moult"]), ("ringed", None)), fields).collect()}
+    assert got == {"br": [["moult"], ["breeding", "moult"]], "r": None}
+    assert [tuple(r) for r in C.claim_diff(claims(("box", ["a"]), ("ringed", None)), claims(("box", ["b"]), ("ringed", None))).collect()] == [("box", "phase", "changed")]
 
 
 @pytest.mark.parametrize("kind,value,want", [
@@ -162,18 +164,18 @@ def test_markdown_round_trip(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / ".hidden").mkdir()
     (tmp_path / ".hidden" / "x.md").write_text("no")
-    (tmp_path / "sub" / "Multi.md").write_text('---\ntypes: [meeting, "[[note]]"]\ndate: "[[2026-03-15]]"\npriority: 1\nwho:\n  - "[[Bob|B]]"\n  - Ann\n---\nText [[Alice]] `[[no]]`\n```\n[[no]]\n```\n')
+    (tmp_path / "sub" / "Multi.md").write_text('---\ntypes: [outing, "[[ringed]]"]\nday: "[[2023-05-20]]"\ncount: 1\nwho:\n  - "[[Jo|J]]"\n  - Kim\n---\nFrom [[Hide]] `[[no]]`\n```\n[[no]]\n```\n')
     (tmp_path / "bad.md").write_text('---\nkey: "unterminated\n---\nbody')
     (tmp_path / "plain.md").write_text("no front")
     files = MD.read_folder(spark, f"file://{tmp_path}")
     parsed = {r.file_path: r for r in MD.parse_files(files).collect()}
     assert set(parsed) == {"sub/Multi.md", "bad.md", "plain.md"}
     m = parsed["sub/Multi.md"]
-    assert m.title == "Multi" and m.types == ["meeting", "note"] and m.fields["priority"] == "1" and m.fields["who"] == '["Bob", "Ann"]'
-    assert {(x.target, x.field) for x in m.links} == {("2026-03-15", "date"), ("Bob", "who"), ("Alice", None)}
+    assert m.title == "Multi" and m.types == ["outing", "ringed"] and m.fields["count"] == "1" and m.fields["who"] == '["Jo", "Kim"]'
+    assert {(x.target, x.field) for x in m.links} == {("2023-05-20", "day"), ("Jo", "who"), ("Hide", None)}
     assert parsed["bad.md"].parse_error and parsed["bad.md"].body.startswith("---")
     nodes, types, fields, edges = MD.tables(MD.parse_files(files))
-    assert fields.filter("field_name = 'priority' and value_number = 1").count() == 1 and edges.count() == 3 and types.count() == 2
+    assert fields.filter("field_name = 'count' and value_number = 1").count() == 1 and edges.count() == 3 and types.count() == 2
     known = nodes.select("file_path", F.lit("old").alias("content_hash"), F.lit(0).alias("file_mtime")).filter("file_path != 'plain.md'").unionByName(spark.createDataFrame([("gone.md", "h", 1)], "file_path string, content_hash string, file_mtime long"))
     assert {r.file_path: r.action for r in MD.changes(files, known).collect()} == {"sub/Multi.md": "changed", "bad.md": "changed", "plain.md": "added", "gone.md": "deleted"}
     text = MD.render(["task"], {"b": "x", "a": "Alice", "n": 3, "z": None}, ["a"], "Body\n", frozenset({"a"}))
@@ -182,19 +184,19 @@ def test_markdown_round_trip(spark, tmp_path):
 
 
 def test_mutations(spark, g, tmp_path):
-    assert M.bulk_update(g, {}, {"status": "x"}) is g
-    after = M.bulk_update(g, {"types": ["note"]}, {"status": "x", "project": None}, dry_run=False)
-    assert after.node_fields.filter("field_name = 'status' and value_text = 'x'").count() == 2
-    assert after.node_fields.filter("field_name = 'project'").count() == 0
-    assert {r.id: r.version for r in after.nodes.collect()} == {"n1": 2, "n2": 2, "n3": 1}
-    typed = M.change_types(g, g.nodes.filter("id = 'n1'"), ["task"], ["note"])
-    assert [r.schema_type for r in typed.node_types.filter("node_id = 'n1'").orderBy("sort_order").collect()] == ["meeting", "task"]
-    rest = M.delete(g, g.nodes.filter("id = 'n2'"))
-    assert rest.nodes.count() == 2 and {r.resolved_target_id for r in rest.relationships.collect()} == {None}
+    assert M.bulk_update(g, {}, {"ring": "x"}) is g
+    after = M.bulk_update(g, {"types": ["ringed"]}, {"ring": "x", "wingspan": None}, dry_run=False)
+    assert after.node_fields.filter("field_name = 'ring' and value_text = 'x'").count() == 2
+    assert after.node_fields.filter("field_name = 'wingspan'").count() == 0
+    assert {r.id: r.version for r in after.nodes.collect()} == {"kestrel": 2, "siskin": 2, "box7": 1, "walk": 1}
+    typed = M.change_types(g, g.nodes.filter("id = 'kestrel'"), ["box"], ["ringed"])
+    assert [r.schema_type for r in typed.node_types.filter("node_id = 'kestrel'").orderBy("sort_order").collect()] == ["bird", "box"]
+    rest = M.delete(g, g.nodes.filter("id = 'siskin'"))
+    assert rest.nodes.count() == 3 and {(r.source_id, r.resolved_target_id) for r in rest.relationships.collect()} == {("kestrel", "box7"), ("walk", None)}
     save(rest, f"{tmp_path}/v1")
-    assert load(spark, f"{tmp_path}/v1").nodes.count() == 2
-    up = M.upsert(g.nodes, spark.createDataFrame([("n1", "p.md", "T", "b", 5, 1), ("n9", "q.md", "Q", "b", 5, 1)], g.nodes.schema))
-    assert {r.id: r.version for r in up.collect()} == {"n1": 2, "n2": 1, "n3": 1, "n9": 1}
+    assert load(spark, f"{tmp_path}/v1").nodes.count() == 3
+    up = M.upsert(g.nodes, spark.createDataFrame([("kestrel", "p.md", "T", "b", 5, 1), ("wren", "q.md", "Q", "b", 5, 1)], g.nodes.schema))
+    assert {r.id: r.version for r in up.collect()} == {"kestrel": 2, "siskin": 1, "box7": 1, "walk": 1, "wren": 1}
 
 
 def test_debounce(spark):
