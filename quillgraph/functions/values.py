@@ -45,6 +45,12 @@ def rebuilt(row: str | None = None) -> Column:
     return F.coalesce(at("value_json"), at("value_number").cast("string"), at("value_date"), at("value_text"))
 
 
+def as_json() -> Column:
+    """A stored value as JSON: dates and texts are quoted."""
+    listed = F.to_json(F.array(F.coalesce("value_date", "value_text")))
+    return F.coalesce("value_json", F.col("value_number").cast("string"), F.substr(listed, F.lit(2), F.length(listed) - 2))
+
+
 def literal(v: object) -> Column:
     """A struct of the four columns that hold ``v``; all null for None."""
     values = (None,) * 4 if v is None else classify(v)

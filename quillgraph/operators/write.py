@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame
@@ -12,7 +13,6 @@ from ..functions.values import rebuilt
 from ..plans.filters import InvalidParams
 from ..tables import Graph, cut
 from . import coerced as S
-from . import mutate as M
 from .graph import resolve, tiers
 
 #: Sources whose nodes take the defaults of required fields; the others write again what is there.
@@ -169,35 +169,36 @@ def refresh_on_rename(relationships: DataFrame, nodes: DataFrame, node_id: str)
     return refresh(relationships, nodes, nodes.sparkSession.createDataFrame([(node_id,)], "id string"))
 
 
+#: Kinds of a caller's operations and the columns they fill; fixed values.
+KINDS = {"set_fields": "fields", "add_types": "add_types", "remove_types": "remove_types", "set_title": "title", "delete": None}
+
+
 def batch(g: Graph, ops: list[dict], expected: dict[str, int] | None = None) -> tuple[Graph, list[str], dict[str, int]]:
-    """Operations one after another, each on what the earlier ones left; nothing is kept if one can't be read.
+    """A caller's list of operations, one after another, without a schema; nothing is kept if one can't be read.
 
     Each is ``{"op": set_fields | add_types | remove_types | delete | set_title, "id": ..., ...}``. An operation on a node
     whose version isn't the expected one is skipped and told, the rest go on. Gives snapshot, skipped ids, counts by kind.
     """
+    from . import batch as B
+    from ..tables import table
+
     spark = g.nodes.sparkSession
-    old, skipped = [], set()
-    for k, v in (expected or {}).items():
-        old.append((k, v))
-    if old:
-        skipped = {r.id for r in M.stale(g.nodes, spark.createDataFrame(old, "id string, version int")).collect()}  # as many as were named
-    for o in ops:
-        if o["id"] in skipped:
-            continue
-        ids = spark.createDataFrame([(o["id"],)], "id string")
-        if o["op"] == "set_fields":
-            g = M.set_fields(g, ids, o["fields"])
-        elif o["op"] in ("add_types", "remove_types"):
-            g = M.change_types(g, ids, o["types"] if o["op"] == "add_types" else [], o["types"] if o["op"] == "remove_types" else [])
-        elif o["op"] == "delete":
-            g = M.delete(g, ids)
-        elif o["op"] == "set_title":  # the path stays
-            me = F.col("id") == o["id"]
-            g = g.replace(nodes=g.nodes.withColumns({"title": F.when(me, o["title"]).otherwise(F.col("title")), "version": F.col("version") + F.when(me, 1).otherwise(0)}))
-        else:
+    names = [c.strip().split(" ")[0] for c in B.OPS.split(", ")]
+    rows = []
+    for i, o in enumerate(ops):
+        if o["op"] not in KINDS:
             raise InvalidParams(f"unknown operation {o['op']}")
-    done = [o for o in ops if o["id"] not in skipped]
-    return g, sorted(o["id"] for o in ops if o["id"] in skipped), dict(Counter(o["op"] for o in done))
+        row = dict.fromkeys(names) | {"seq": i, "op": "delete" if o["op"] == "delete" else "update", "id": o["id"], "expected_version": (expected or {}).get(o["id"])}
+        if column := KINDS[o["op"]]:
+            given = o["types" if column.endswith("types") else column]
+            row[column] = {k: json.dumps(v, ensure_ascii=False, separators=(",", ":")) for k, v in given.items()} if column == "fields" else given
+        rows.append(tuple(row[n] for n in names))
+    none = [table(spark, n) for n in ("claims", "global_fields", "schemas")]
+    out = B.run(g, spark.createDataFrame(rows, B.OPS), *none, source="normalizer")
+    if bad := out.errors.limit(5).collect():
+        raise InvalidParams(", ".join(f"{e.id}: {e.code}" for e in bad))
+    stale = {r.id for r in out.status.filter("status = 'stale'").collect()}  # as many as were named
+    return out.graph, sorted(o["id"] for o in ops if o["id"] in stale), dict(Counter(o["op"] for o in ops if o["id"] not in stale))
 
 
 def move(g: Graph, ids: DataFrame, folder: str) -> Graph:

@@ -216,3 +216,80 @@ def _rename_node(s, d):
     buyers = out.node_fields.filter("field_name = 'buyers'").select(F.col("node_id").alias("id"), F.col("value_json").alias("buyers"))
     edges = out.relationships.filter("rel_type = 'customer'").select(F.col("source_id").alias("id"), "target", F.col("resolved_target_id").alias("resolved"))
     return rows.join(buyers, "id", "left").join(edges, "id")
+
+
+def _ops(s, d):
+    """A batch over every order: updates in two steps, deletions, creations, stale ones."""
+    from .operators import batch as B
+
+    o = s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("k"))
+    rid = F.concat(F.lit("order:"), F.col("k").cast("string"))
+    null = {n: F.lit(None).cast(t) for n, t in (x.split(" ", 1) for x in B.OPS.split(", "))}
+    row = lambda df, **c: df.select(*((c.get(n, v) if isinstance(c.get(n, v), type(v)) else F.lit(c[n])).cast(v_t).alias(n) for (n, v), v_t in zip(null.items(), (x.split(" ", 1)[1] for x in B.OPS.split(", ")), strict=True)))
+    some = lambda r: o.filter(F.col("k") % 10 == r)
+    note = lambda t: F.create_map(F.lit("size"), F.lit(t), F.lit("due"), F.when(F.col("k") % 4 == 0, F.lit("null")).otherwise(F.lit('"2024-05-06"')))
+    parts = [
+        row(some(0), seq=F.col("k") * 3, op="update", id=rid, fields=note('"5"'), add_types=F.array(F.lit("urgent"))),
+        row(some(0), seq=F.col("k") * 3 + 1, op="update", id=rid, fields=F.create_map(F.lit("size"), F.lit("7")), title=F.concat(F.lit("T"), F.col("k").cast("string")), remove_types=F.array(F.lit("urgent")), body=F.lit("one")),
+        row(some(0), seq=F.col("k") * 3 + 2, op="update", id=rid, append=F.lit("two")),
+        row(some(1), seq=F.col("k") * 3, op="delete", id=rid, expected_version=F.when(F.col("k") % 3 == 0, 9).otherwise(1)),
+        row(some(2), seq=F.col("k") * 3, op="create", id=F.concat(F.lit("new:"), F.col("k").cast("string")), title=F.concat(F.lit("New/"), F.col("k").cast("string")), types=F.array(F.lit("order")), fields=F.create_map(F.lit("size"), F.lit("1"))),
+    ]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def _batched(s, d):
+    from .operators import batch as B
+
+    def make(path: str) -> None:
+        out = B.run(graph(s, d), _ops(s, d), *_dims(s), at_ms=AT)
+        save(out.graph, path)
+        out.status.write.parquet(f"{path}/status")
+
+    path = stored(s, "batched", [f"{d}/orders.parquet"], make)
+    return load(s, path), s.read.parquet(f"{path}/status")
+
+
+_K = "(SELECT *, o_orderkey AS k, o_orderkey % 10 AS r FROM orders)"
+
+
+@query("m07_batch_nodes", _PRE + f"""SELECT n.id AS id, n.file_path AS file_path, CASE WHEN r = 0 THEN 'T' || CAST(k AS VARCHAR) ELSE n.title END AS title, CASE WHEN r = 0 THEN 'one' || chr(10) || chr(10) || 'two' ELSE n.body END AS body, CASE WHEN r = 0 THEN 4 ELSE 1 END AS version FROM nodes n JOIN {_K} o ON n.id = 'order:' || CAST(k AS VARCHAR) WHERE NOT (r = 1 AND k % 3 <> 0)
+ UNION ALL SELECT 'new:' || CAST(k AS VARCHAR), 'orders/New-' || CAST(k AS VARCHAR) || '.md', 'New/' || CAST(k AS VARCHAR), NULL, 1 FROM {_K} o WHERE r = 2""")
+def _batch_nodes(s, d):
+    return _batched(s, d)[0].nodes.filter("id like 'order:%' or id like 'new:%'").select("id", "file_path", "title", "body", "version")
+
+
+@query("m07_batch_fields", f"""SELECT 'order:' || CAST(k AS VARCHAR) AS node_id, 'size' AS field_name, NULL AS value_text, 7.0::DOUBLE AS value_number FROM {_K} o WHERE r = 0 UNION ALL SELECT 'order:' || CAST(k AS VARCHAR), 'due', '2024-05-06', NULL FROM {_K} o WHERE r = 0 AND k % 4 <> 0
+ UNION ALL SELECT 'order:' || CAST(k AS VARCHAR), 'level', 'none', NULL FROM {_K} o WHERE r = 0 UNION ALL SELECT 'new:' || CAST(k AS VARCHAR), 'size', NULL, 1.0 FROM {_K} o WHERE r = 2 UNION ALL SELECT 'new:' || CAST(k AS VARCHAR), 'level', 'none', NULL FROM {_K} o WHERE r = 2""")
+def _batch_fields(s, d):
+    rows = _batched(s, d)[0].node_fields.filter("(node_id like 'order:%' or node_id like 'new:%') and field_name in ('size', 'due', 'level')")
+    return rows.select("node_id", "field_name", "value_text", "value_number")
+
+
+@query("m07_batch_status", f"""SELECT CASE WHEN r = 2 THEN 'new:' ELSE 'order:' END || CAST(k AS VARCHAR) AS id, CASE WHEN r = 1 AND k % 3 = 0 THEN 'stale' ELSE 'applied' END AS status, CASE WHEN r = 0 THEN 4 WHEN r = 2 THEN 1 WHEN k % 3 = 0 THEN 1 END AS version FROM {_K} o WHERE r < 3""")
+def _batch_status(s, d):
+    return _batched(s, d)[1].select("id", "status", "version")
+
+
+@query("m05_create", f"""SELECT 'c:' || CAST(k AS VARCHAR) AS id, CASE WHEN k % 3 = 0 THEN 'files/' || o_orderpriority || ' T' || CAST(k AS VARCHAR) || ' 2024-01-02.md' WHEN k % 3 = 1 THEN 'T' || CAST(k AS VARCHAR) || '.md' ELSE 'other/T' || CAST(k AS VARCHAR) || '.md' END AS file_path, NULL AS code FROM {_K} o WHERE NOT (k % 5 = 0 OR k % 7 = 0 AND k % 3 = 0)
+ UNION ALL SELECT 'c:' || CAST(k AS VARCHAR), NULL, CASE WHEN k % 5 = 0 THEN 'PATH_TAKEN' ELSE 'TEMPLATE_UNRESOLVED' END FROM {_K} o WHERE k % 5 = 0 OR k % 7 = 0 AND k % 3 = 0""")
+def _create(s, d):
+    """Names by template, by title and in a folder that is asked for; paths that are taken, templates without their field."""
+    from .operators import batch as B
+
+    o = s.read.parquet(f"{d}/orders.parquet")
+    k = F.col("o_orderkey")
+    plain_title = F.concat(F.lit("T"), k.cast("string"))
+    kind = F.when(k % 5 == 0, F.array(F.lit("order"))).when(k % 3 == 0, F.array(F.lit("filed"))).otherwise(F.array().cast("array<string>"))
+    # a path that the graph has: the folder and the name of the order itself
+    title = F.when(k % 5 == 0, F.concat(F.col("o_orderstatus"), F.lit("/order-"), k.cast("string"))).otherwise(plain_title)
+    folder = F.when(k % 5 == 0, F.concat(F.lit("orders/"), F.col("o_orderstatus"))).when(k % 3 == 2, F.lit("other/"))
+    name = F.when(k % 5 == 0, F.concat(F.lit("order-"), k.cast("string"))).otherwise(title)
+    fields = F.when((k % 7 == 0) & (k % 3 == 0), F.create_map(F.lit("level"), F.lit("3"))).otherwise(F.create_map(F.lit("level"), F.concat(F.lit('"'), F.col("o_orderpriority"), F.lit('"'))))
+    asked = o.select(F.concat(F.lit("c:"), k.cast("string")).alias("id"), name.alias("title"), kind.alias("types"), folder.alias("directory"), (k % 5 == 0).alias("override"), fields.alias("fields"), F.lit(None).cast("string").alias("body"))
+    schemas = table(s, "schemas", [("order", "Order", None, "orders"), ("filed", "Filed", "{level} {title} {date}.md", "files")])
+    good, bad = B.created(graph(s, d), asked, schemas, "2024-01-02")
+    return good.select("id", "file_path", F.lit(None).cast("string").alias("code")).unionByName(bad.select("id", F.lit(None).cast("string").alias("file_path"), "code"))
