@@ -68,10 +68,3 @@ def expand(g: Graph, roots: DataFrame, types: list[str] | None = None, direction
     order = Window.partitionBy("root").orderBy(F.desc_nulls_last("file_mtime"), "id")
     ranked = hops.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
     return ranked.join(count, "root").select("root", "id", "rank", "considered", (F.col("considered") > most).alias("truncated"))
-
-
-def derive_edges(fields: DataFrame, body_links: DataFrame) -> DataFrame:
-    """Edges of reference fields and body links, one for each (source, target, rel_type), the first kept."""
-    a = fields.select(F.col("node_id").alias("source_id"), "target", F.col("field_name").alias("rel_type"), F.lit(None).cast("string").alias("context"), F.lit(0).alias("o"))
-    b = body_links.select(F.col("node_id").alias("source_id"), "target", F.lit("wiki-link").alias("rel_type"), "context", F.lit(1).alias("o"))
-    return a.unionByName(b).groupBy("source_id", "target", "rel_type").agg(F.min_by("context", "o").alias("context"))

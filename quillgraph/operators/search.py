@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -240,15 +241,45 @@ def documents(nodes: DataFrame, node_fields: DataFrame) -> DataFrame:
     return full.select("node_id", F.array_join(parts, "\n\n").alias("content"))
 
 
-def chunks_of(docs: DataFrame, size: int = 200, overlap: int = 20) -> DataFrame:
-    """``node_id, chunk_index, content`` of every document's pieces."""
+def word_count(text: str) -> int:
+    return len(text.split())
+
+
+def chunks_of(docs: DataFrame, size: int = 200, overlap: int = 20, count: Callable[[str], int] = word_count) -> DataFrame:
+    """``node_id, chunk_index, content`` of every document's pieces; ``count`` gives a text's tokens."""
+
+    def run(batches):
+        for df in batches:
+            rows = [(n, i, c) for n, text in df.itertuples(index=False) for i, c in enumerate(chunk(text or "", size, overlap, count))]
+            yield pd.DataFrame(rows, columns=["node_id", "chunk_index", "content"])
+
+    kind = dict(docs.dtypes)["node_id"]
+    return docs.select("node_id", "content").mapInPandas(run, f"node_id {kind}, chunk_index int, content string")
+
+
+def embed(docs: DataFrame, make: Callable[[], Callable], dims: int, purpose: str = "search_document", size: int = 2048, headroom: int = 32, overlap: int = 128, count: Callable[[str], int] = word_count, batch: int = 32) -> DataFrame:
+    """``node_id, chunk_index, vector`` of ``docs(node_id, content)`` by a model that the caller brings.
+
+    ``make`` is called once a Python worker and gives a function from an array of texts to an array of vectors, of which the
+    first ``dims`` numbers are kept. The model reads ``purpose: text``. A text of more than ``size`` tokens with that is cut
+    into chunks that leave ``headroom`` for it.
+    """
+    from pyspark.ml.functions import predict_batch_udf
+    from pyspark.sql.types import ArrayType, FloatType
 
     def run(batches):
         for df in batches:
-            rows = [(n, i, c) for n, text in df.itertuples(index=False) for i, c in enumerate(chunk(text or "", size, overlap))]
+            rows = []
+            for n, text in df.itertuples(index=False):
+                text = text or ""
+                parts = [text] if count(f"{purpose}: {text}") <= size else chunk(text, size - headroom, overlap, count)
+                rows += [(n, i, f"{purpose}: {c}") for i, c in enumerate(parts)]
             yield pd.DataFrame(rows, columns=["node_id", "chunk_index", "content"])
 
-    return docs.select("node_id", "content").mapInPandas(run, "node_id string, chunk_index int, content string")
+    model = predict_batch_udf(make, return_type=ArrayType(FloatType()), batch_size=batch)
+    kind = dict(docs.dtypes)["node_id"]
+    parts = docs.select("node_id", "content").mapInPandas(run, f"node_id {kind}, chunk_index int, content string")
+    return parts.select("node_id", "chunk_index", F.slice(model("content"), 1, dims).alias("vector"))
 
 
 def hashed_vectors(texts: DataFrame, dims: int = 64, prefix: str = "") -> DataFrame:
@@ -299,22 +330,44 @@ def needs_rebuild(meta: DataFrame, version: str) -> bool:
     return meta.filter((F.col("key") == "search_version") & (F.col("value") == version)).isEmpty()
 
 
-def chunk(text: str, size: int = 200, overlap: int = 20) -> list[str]:
-    """Pieces of at most ``size`` words: by headings, then paragraphs, sentences and at last hard cuts with an overlap."""
+_HEADING = re.compile(r"(?m)^(?=#{1,6}\s)")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[A-Z\"(0-9])")
 
-    def cut(t: str, rules: list[str]) -> list[str]:
-        words = t.split()
-        if len(words) <= size:
-            return [t.strip()] if words else []
-        if not rules:
-            return [" ".join(words[i : i + size]) for i in range(0, max(1, len(words) - overlap), size - overlap)]
-        pieces = [p for p in re.split(rules[0], t) if p.strip()]
-        return [x for p in pieces for x in cut(p, rules[1:])]
 
-    out: list[str] = []
-    for p in cut(text, [r"\n(?=#{1,6} )", r"\n\s*\n", r"(?<=[.!?])\s+"]):
-        if out and len(out[-1].split()) + len(p.split()) <= size:
-            out[-1] += "\n\n" + p
+def chunk(text: str, size: int = 200, overlap: int = 20, count: Callable[[str], int] = word_count) -> list[str]:
+    """Pieces of at most ``size`` tokens: a text that fits as it is; else by headings, paragraphs, sentences (before a capital,
+    digit, quote or bracket) and at last by hard cuts with ``overlap`` tokens in common. Neighbours that fit together are
+    joined by an empty line."""
+    if not text:
+        return []
+    if count(text) <= size:
+        return [text]
+    sections = [x[:-1] if i + 1 < len(s) and x.endswith("\n") else x for s in [_HEADING.split(text)] for i, x in enumerate(s)]
+    packed: list[str] = []
+    for piece in (p for section in sections if section for p in _fitting(section, size, overlap, count) if p):
+        if packed and count(f"{packed[-1]}\n\n{piece}") <= size:
+            packed[-1] += "\n\n" + piece
         else:
-            out.append(p)
+            packed.append(piece)
+    return packed
+
+
+def _fitting(text: str, size: int, overlap: int, count: Callable[[str], int]) -> list[str]:
+    if count(text) <= size:
+        return [text]
+    for parts in (re.split(r"\n{2,}", text), [p for p in _SENTENCE.split(text) if p]):
+        if len(parts) > 1:
+            return [x for p in parts for x in _fitting(p, size, overlap, count)]
+    width = max(1, -(-len(text) // max(1, count(text))))  # characters a token
+    budget, step = size * width, max(1, size * width // 10)
+    out, start = [], 0
+    while start < len(text):
+        end = min(len(text), start + budget)
+        while end > start and count(text[start:end]) > size:
+            end -= step
+        end = min(len(text), start + 1) if end <= start else end
+        out.append(text[start:end])
+        if end >= len(text):
+            break
+        start = max(start + 1, end - overlap * width)
     return out

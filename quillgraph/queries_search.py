@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from .operators import search as S
 from .queries import _BM, _docs, _index, query
-from .tables import own_folder, stored
+from .sources import extract as X
+from .tables import Graph, own_folder, stored
 
 _TOK = "list_filter(regexp_split_to_array(translate(lower({0}), '" + S.ACCENTS[0] + "', '" + S.ACCENTS[1] + "'), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 
@@ -74,3 +75,62 @@ def _search_compacted(s, d):
 @query("k05_size", "SELECT count(*) AS n FROM documents")
 def _size(s, d):
     return S.load_segments(s, _followed(s, d)).size.select("n")
+
+
+def _notes(s, d) -> Graph:
+    """Documents as notes that embed the two below them in a heap, the first once more, and a file that may be too large."""
+    docs = s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("k"))
+    link = lambda e: F.concat(F.lit("![[note-"), (e).cast("string"), F.lit("]] "))
+    body = F.concat(link(F.col("k") * 2 + 1), link(F.col("k") * 2 + 2), F.lit("![[pic-"), (F.col("k") % 7).cast("string"), F.lit(".txt]] "), link(F.col("k") * 2 + 1))
+    nodes = docs.select(F.concat(F.lit("n"), F.col("k").cast("string")).alias("id"), F.concat(F.lit("notes/note-"), F.col("k").cast("string"), F.lit(".md")).alias("file_path"), F.concat(F.lit("note-"), F.col("k").cast("string")).alias("title"), body.alias("body"), F.lit(1).alias("version"))
+    none = lambda ddl: s.createDataFrame([], ddl)
+    return Graph(nodes, none("node_id string, schema_type string, sort_order int"), none("node_id string, field_name string, value_text string, value_number double, value_date string, value_json string"), none("source_id string, target string, rel_type string, resolved_target_id string"))
+
+
+def _assembled(s, d) -> str:
+    def make(path: str) -> None:
+        g = _notes(s, d)
+        pics = s.range(7).select(F.concat(F.lit("pics/pic-"), F.col("id").cast("string"), F.lit(".txt")).alias("file_path"), F.when(F.col("id") == 3, 5000).otherwise(10).cast("long").alias("size"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+        files = g.nodes.select("file_path", F.length("body").cast("long").alias("size"), F.col("body").alias("text")).unionByName(pics)
+        rows, errors = X.assemble(g, files, g.nodes.select("id"), max_embeds=10_000, max_bytes=1000, texts=files)
+        rows.write.parquet(f"{path}/rows")
+        errors.write.parquet(f"{path}/errors")
+
+    return stored(s, "assembled", [f"{d}/documents.parquet"], make)
+
+
+_N = "(SELECT max(doc_id) FROM documents)"
+_WALK = f"""WITH RECURSIVE e AS (SELECT d.doc_id AS k, p, CASE p WHEN 2 THEN 'pic-' || CAST(d.doc_id % 7 AS VARCHAR) || '.txt' WHEN 1 THEN 'note-' || CAST(2 * d.doc_id + 2 AS VARCHAR) ELSE 'note-' || CAST(2 * d.doc_id + 1 AS VARCHAR) END AS ref,
+  CASE p WHEN 2 THEN NULL WHEN 1 THEN 2 * d.doc_id + 2 ELSE 2 * d.doc_id + 1 END AS child, d.doc_id % 7 AS pic FROM documents d, (SELECT unnest([0, 1, 2, 3]) AS p) x),
+ good AS (SELECT *, CASE WHEN p = 2 AND pic = 3 THEN 'FILE_TOO_LARGE' WHEN p <> 2 AND child NOT IN (SELECT doc_id FROM documents) THEN 'UNRESOLVED' END AS code FROM e),
+ t AS (SELECT k AS root, 0 AS depth, [p] AS path, ref, CAST(NULL AS VARCHAR) AS source, child, p, code, pic FROM good UNION ALL SELECT t.root, t.depth + 1, list_append(t.path, g.p), g.ref, t.ref, g.child, g.p, g.code, g.pic FROM t JOIN good g ON g.k = t.child WHERE t.code IS NULL AND t.p IN (0, 1) AND t.depth < 5)"""
+
+
+@query("s18_assemble", _WALK + """ SELECT 'n' || CAST(root AS VARCHAR) AS root, CAST(row_number() OVER (PARTITION BY root ORDER BY path) AS INTEGER) AS place, depth, source, ref, CASE WHEN p = 2 THEN 'pics/' || ref ELSE 'notes/' || ref || '.md' END AS file_path, 'n' || CAST(child AS VARCHAR) AS node_id,
+ CASE WHEN p = 2 THEN 'text ' || CAST(pic AS VARCHAR) ELSE '![[note-' || CAST(2 * child + 1 AS VARCHAR) || ']] ![[note-' || CAST(2 * child + 2 AS VARCHAR) || ']] ![[pic-' || CAST(child % 7 AS VARCHAR) || '.txt]] ![[note-' || CAST(2 * child + 1 AS VARCHAR) || ']] ' END AS text FROM t WHERE code IS NULL""")
+def _assemble(s, d):
+    return s.read.parquet(f"{_assembled(s, d)}/rows").select("root", "place", "depth", "source", "ref", "file_path", "node_id", "text")
+
+
+@query("s18_errors", _WALK + " SELECT 'n' || CAST(root AS VARCHAR) AS root, ref, code FROM t WHERE code IS NOT NULL")
+def _assemble_errors(s, d):
+    return s.read.parquet(f"{_assembled(s, d)}/errors").select("root", "ref", "code")
+
+
+class _LetterModel:
+    """A stand-in for a model: letters counted by their code; so that the rows can be said in SQL."""
+
+    def __call__(self):
+        import numpy as np
+
+        def predict(texts):
+            texts = np.asarray(texts).reshape(-1)
+            return np.array([[t.count(c) for c in "abcdefgh"] for t in texts], np.float32)
+
+        return predict
+
+
+@query("r09_embed", "SELECT doc_id AS node_id, CAST(0 AS INTEGER) AS chunk_index, [" + ", ".join(f"CAST(length('search_query: ' || coalesce(text, '')) - length(replace('search_query: ' || coalesce(text, ''), '{c}', '')) AS FLOAT)" for c in "abcdef") + "] AS vector FROM documents")
+def _embed(s, d):
+    docs = s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("node_id"), F.col("text").alias("content"))
+    return S.embed(docs, _LetterModel(), 6, "search_query", size=10**9)

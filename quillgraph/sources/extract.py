@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import embeds
@@ -116,33 +116,60 @@ def read_embedded(files: DataFrame, name: str) -> DataFrame:
     return one.select(F.when(status == "OK", F.coalesce("exact", "low")).alias("file_path"), status.alias("status"))
 
 
-def assemble(g: Graph, files: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH, max_embeds: int = MAX_EMBEDS, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
-    """What nodes embed, and what those embed, level by level: ``(root, depth, place, ref, file_path, node_id)`` and the errors
-    ``(root, ref, code)``: UNRESOLVED, FILE_TOO_LARGE or TRUNCATED. A note is entered once a root; ``files`` has paths and
-    ``size``. At most ``max_depth`` joins, whatever the number of roots."""
+ASSEMBLED = "root string, kind string, place int, depth int, source string, ref string, file_path string, node_id string, code string"
+
+
+def assemble(g: Graph, files: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH, max_embeds: int = MAX_EMBEDS, max_bytes: int = MAX_BYTES, texts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """What nodes embed, and what those embed, depth first: ``(root, place, depth, source, ref, file_path, node_id[, text])``,
+    and the errors ``(root, ref, code)``: UNRESOLVED, FILE_TOO_LARGE, or TRUNCATED, once for each list that ``max_embeds`` cuts.
+
+    Every embed is listed as often as it stands; a note is entered once a root, at its first place, and to ``max_depth``
+    levels below the root's own. ``files`` has paths and ``size``; ``texts(file_path, text)`` joins what was extracted.
+    The notes within reach are found level by level, by joins; a root's order is a small walk over its own rows.
+    """
     body = g.nodes.select(F.col("id").alias("at"), F.posexplode(embeds("body")).alias("place", "ref"))
-    level = roots.select(F.col("id").alias("root"), F.col("id").alias("at"), F.array(F.lit(0)).alias("path"))
-    visited = roots.select(F.col("id").alias("root"), F.col("id").alias("node_id"))
-    every, errors = None, None
-    for depth in range(max_depth):
-        asked = level.join(body, "at").select("root", F.concat("path", F.array(F.col("place"))).alias("path"), F.trim("ref").alias("ref"))
-        asked = cut(asked)
+    level = roots.select(F.col("id").alias("root"), F.col("id").alias("at"))
+    seen, every = level, None
+    for depth in range(max_depth + 1):
+        asked = cut(level.join(body, "at").select("root", "at", "place", F.trim("ref").alias("ref")))
         if depth and asked.isEmpty():
             break
-        found = asked.join(resolve_embeds(asked, files, g.nodes), "ref", "left").join(files.select("file_path", "size"), "file_path", "left")
-        missing = found.filter("file_path is null").select("root", "ref", F.lit("UNRESOLVED").alias("code"))
-        large = found.filter(F.col("size") > max_bytes).select("root", "ref", F.lit("FILE_TOO_LARGE").alias("code"))
-        good = found.filter(F.col("file_path").isNotNull() & (F.coalesce("size", F.lit(0)) <= max_bytes))
-        once = good.filter("node_id is not null").join(visited, ["root", "node_id"], "left_anti").groupBy("root", "node_id").agg(F.min_by(F.struct("path", "ref", "file_path"), "path").alias("m")).select("root", "node_id", "m.path", "m.ref", "m.file_path")
-        new = good.filter("node_id is null").select("root", "node_id", "path", "ref", "file_path").unionByName(once).withColumn("depth", F.lit(depth))
-        new = cut(new)
-        every = new if every is None else every.unionByName(new)
-        missing = cut(missing.unionByName(large))
-        errors = missing if errors is None else errors.unionByName(missing)
-        once = new.filter("node_id is not null")
-        visited = cut(visited.unionByName(once.select("root", "node_id")))
-        level = once.select("root", F.col("node_id").alias("at"), "path")
-    rank = F.row_number().over(Window.partitionBy("root").orderBy("path"))  # embeds of one note
-    ranked = every.withColumn("place", rank)
-    beyond = ranked.filter(F.col("place") > max_embeds).select("root", "ref", F.lit("TRUNCATED").alias("code"))
-    return ranked.filter(F.col("place") <= max_embeds).select("root", "depth", "place", "ref", "file_path", "node_id"), errors.unionByName(beyond)
+        found = cut(asked.join(resolve_embeds(asked, files, g.nodes), "ref", "left").join(files.select("file_path", "size"), "file_path", "left"))
+        every = found if every is None else every.unionByName(found)
+        fresh = found.filter("node_id is not null").select("root", F.col("node_id").alias("at")).distinct()
+        level = cut(fresh.join(seen, ["root", "at"], "left_anti"))
+        seen = seen.unionByName(level)
+
+    def walk(df: pd.DataFrame) -> pd.DataFrame:
+        root = df["root"].iloc[0]
+        lists: dict[str, list] = {}
+        for r in df.sort_values(["at", "place"]).itertuples(index=False):
+            lists.setdefault(r.at, []).append(r)
+        rows, entered, count = [], {root}, 0
+        todo = [(iter(lists.get(root, [])), 0, None)]
+        while todo:
+            rest, depth, source = todo[-1]
+            r = next(rest, None)
+            if r is None or count >= max_embeds:
+                if r is not None:
+                    rows.append((root, "error", None, depth, source, r.ref, None, None, "TRUNCATED"))
+                todo.pop()
+                continue
+            large = r.size is not None and r.size == r.size and r.size > max_bytes
+            if not isinstance(r.file_path, str) or large:
+                rows.append((root, "error", None, depth, source, r.ref, None, None, "FILE_TOO_LARGE" if large else "UNRESOLVED"))
+                continue
+            count += 1
+            node = r.node_id if isinstance(r.node_id, str) else None
+            rows.append((root, "embed", count, depth, source, r.ref, r.file_path, node, None))
+            if node and node not in entered and depth < max_depth:
+                entered.add(node)
+                if lists.get(node):
+                    todo.append((iter(lists[node]), depth + 1, r.ref))
+        return pd.DataFrame(rows, columns=[c.split(" ")[0] for c in ASSEMBLED.split(", ")])
+
+    out = cut(every.select("root", "at", "place", "ref", "file_path", "node_id", "size").groupBy("root").applyInPandas(walk, ASSEMBLED))
+    rows = out.filter("kind = 'embed'").select("root", "place", "depth", "source", "ref", "file_path", "node_id")
+    if texts is not None:
+        rows = rows.join(texts.select("file_path", "text"), "file_path", "left")
+    return rows, out.filter("kind = 'error'").select("root", "ref", "code")

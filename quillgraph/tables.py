@@ -10,7 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .schema import TABLES
 
@@ -47,13 +47,36 @@ def load(spark: SparkSession, path: str) -> Graph:
 
 
 def put(df: DataFrame, path: str, by: str | None = None) -> None:
+    """The rows and, beside them, their schema: a partitioned table without rows has no file to tell it."""
     out = df.write.mode("overwrite")
     (out.partitionBy(by) if by else out).parquet(path)
+    _write(df.sparkSession, f"{path}/_schema", df.schema.json())
 
 
 def get(spark: SparkSession, path: str, by: str | None = None) -> DataFrame:
-    df = spark.read.option("mergeSchema", "false").parquet(path)
-    return df.withColumn(by, F.col(by).cast("string")) if by else df
+    schema = StructType.fromJson(json.loads(_read(spark, f"{path}/_schema")))
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
+
+
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _write(spark: SparkSession, path: str, text: str) -> None:
+    where, files = _files(spark, path)
+    stream = files.create(where, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+
+
+def _read(spark: SparkSession, path: str) -> str:
+    where, files = _files(spark, path)
+    stream = files.open(where)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
 
 
 _STORED: dict[tuple, str] = {}
@@ -64,8 +87,7 @@ def stored(spark: SparkSession, name: str, sources: list[str], make: Callable[[s
     and times). It lies below ``spark.checkpoint.dir``; where that is unset, as in tests, in a temporary folder."""
     marks = []
     for s in sources:
-        where = spark._jvm.org.apache.hadoop.fs.Path(s)
-        files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        where, files = _files(spark, s)
         marks += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files.listStatus(where)]
     key = (spark.sparkContext.applicationId, name, tuple(sorted(marks)))
     if key not in _STORED:
@@ -100,8 +122,8 @@ def own_folder(spark: SparkSession, name: str) -> str:
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    where, files = _files(spark, path)
+    files.delete(where, True)
 
 
 def _clean() -> None:
@@ -118,35 +140,25 @@ class Conflict(RuntimeError):
 
 def versions(spark: SparkSession, root: str) -> list[int]:
     """The committed versions of what lies below ``root``."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_versions")
-    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    return sorted(int(f.getPath().getName()) for f in files.listStatus(where)) if files.exists(where) else []
+    where, files = _files(spark, f"{root}/_versions")
+    names = [f.getPath().getName() for f in files.listStatus(where)] if files.exists(where) else []
+    return sorted(int(n) for n in names if n.isdigit())
 
 
 def manifest(spark: SparkSession, root: str, version: int | None = None) -> dict:
     """What the given, or the last, committed version says; empty before the first."""
     known = versions(spark, root)
-    if not known:
-        return {}
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_versions/{known[-1] if version is None else version}")
-    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
-    try:
-        return json.loads(bytes(stream.readAllBytes()).decode())
-    finally:
-        stream.close()
+    return json.loads(_read(spark, f"{root}/_versions/{known[-1] if version is None else version}")) if known else {}
 
 
 def commit(spark: SparkSession, root: str, version: int, content: dict) -> None:
     """Several tables become visible at once: a small file is made under the version's number, which fails where it is there
     already. What a writer wrote before it failed is in folders that no manifest names."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_versions/{version}")
-    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    part = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_versions/.{version}-{uuid.uuid4().hex}")
-    stream = files.create(part, False)
-    stream.write(bytearray(json.dumps(content).encode()))
-    stream.close()
-    if files.exists(where) or not files.rename(part, where):
-        files.delete(part, False)
+    where, files = _files(spark, f"{root}/_versions/{version}")
+    part = f"{root}/_versions/.{version}-{uuid.uuid4().hex}"
+    _write(spark, part, json.dumps(content))
+    if files.exists(where) or not files.rename(_files(spark, part)[0], where):
+        remove(spark, part)
         raise Conflict(f"version {version} of {root} is there already")
 
 

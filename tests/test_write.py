@@ -190,7 +190,16 @@ def test_extraction(spark, g):
     rows, errors = X.assemble(g, sized, g.nodes.filter("id = 'pond'"))
     assert [(r.depth, r.place, r.ref, r.file_path) for r in rows.orderBy("place").collect()] == [(0, 1, "map.png", "map.png"), (0, 2, "Oak", "trees/Oak.md")] and errors.count() == 0
     _, errors = X.assemble(g, sized.filter("file_path not like '%map%'"), g.nodes.filter("id = 'pond'"), max_embeds=0)
-    assert {(r.ref, r.code) for r in errors.collect()} == {("map.png", "UNRESOLVED"), ("Oak", "TRUNCATED")}
+    assert {(r.ref, r.code) for r in errors.collect()} == {("map.png", "TRUNCATED")}
+    notes = [("r", "r.md", "r", "![[a]] ![[a]] ![[r]] ![[none]]", 1), ("a", "a.md", "a", "![[b]] ![[x.bin]]", 1), ("b", "b.md", "b", "![[c]]", 1), ("c", "c.md", "c", "![[d]] ![[a]]", 1), ("d", "d.md", "d", "![[e]]", 1), ("e", "e.md", "e", "![[f]]", 1), ("f", "f.md", "f", "![[h]]", 1), ("h", "h.md", "h", "![[b]]", 1)]
+    deep = build(spark, notes)
+    paths = spark.createDataFrame([(n[1], 5) for n in notes] + [("x.bin", 99)], "file_path string, size long")
+    rows, errors = X.assemble(deep, paths, deep.nodes.filter("id = 'r'"), max_bytes=50, texts=deep.nodes.select("file_path", F.col("body").alias("text")))
+    got = [(r.ref, r.depth, r.source) for r in rows.orderBy("place").collect()]
+    assert got == [("a", 0, None), ("b", 1, "a"), ("c", 2, "b"), ("d", 3, "c"), ("e", 4, "d"), ("f", 5, "e"), ("a", 3, "c"), ("a", 0, None), ("r", 0, None)]  # six levels, each embed listed
+    assert {(r.ref, r.code) for r in errors.collect()} == {("x.bin", "FILE_TOO_LARGE"), ("none", "UNRESOLVED")} and rows.filter("ref = 'b'").first().text == "![[c]]"
+    rows, errors = X.assemble(deep, paths, deep.nodes.filter("id = 'r'"), max_embeds=3)
+    assert rows.count() == 3 and sorted((r.ref, r.code) for r in errors.collect()) == [("a", "TRUNCATED"), ("d", "TRUNCATED"), ("x.bin", "TRUNCATED")]  # one for each list that is cut
 
 
 def test_small_rules(spark):
@@ -207,6 +216,18 @@ def test_small_rules(spark):
     assert TP.size_text(512) == "512 B" and TP.size_text(3 << 20) == "3.0 MB"
 
 
+def test_chunks():
+    assert S.chunk("") == [] and S.chunk("  as it is \n", 10) == ["  as it is \n"]
+    text = "# A\none two three\n\nfour five six\n## B\nseven. Eight nine ten. (eleven) twelve. thirteen x. y z"
+    # the last sentence has six words: it is cut by characters, six a word, with one word's worth in common
+    assert S.chunk(text, 5, 1) == ["# A\none two three", "four five six", "## B\nseven.", "Eight nine ten.", "(eleven) twelve. thirteen x. y", "n x. y z"]
+    hard = "x" * 1000
+    pieces = S.chunk(hard, 100, 10, len)  # a token a character: hard cuts with an overlap
+    assert all(len(p) <= 100 for p in pieces) and pieces[0] + "".join(p[10:] for p in pieces[1:]) == hard
+    assert S.chunk("a. b c. D e", 3, 0) == ["a. b c.", "D e"]  # no sentence begins with a small letter
+    assert S.chunk("p one\n\n\np two\n\np three four five", 4, 0) == ["p one\n\np two", "p three four five"]
+
+
 def test_upgrades(spark):
     df = UP.columns(spark.createDataFrame([("a", 5)], "id string, indexed_at long"), "nodes")
     assert UP.created_at(df).first().created_at == 5 and UP.columns(df, "nodes").columns == df.columns
