@@ -46,4 +46,32 @@ SELECT d.doc_id AS doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(COALESCE(hi
 FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
 """
 
-ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": _JACCARD, "op2_substring_dedup": _SUBSTRING, "op9_warc": _PAGES, "op10_benchmark_decontamination": _LEAKS}
+_USABLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_WHOLE = "list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))"
+
+_NEGATIVES = f"""
+WITH r AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {_WHOLE} AS q FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {_USABLE}),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_dot_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS s FROM r a JOIN r b ON a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id),
+best AS (SELECT a, b AS positive_id, s AS positive_score FROM p WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5),
+n AS (SELECT best.a AS anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY best.a, positive_id ORDER BY p.s DESC, p.b) AS INTEGER) AS rank, p.b AS negative_id, positive_score, p.s AS negative_score
+  FROM best JOIN p ON p.a = best.a AND NOT p.same AND 50 * positive_score <= 100 * p.s AND 100 * p.s <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+_FAR = " + ".join(f"(x[{j}] - c[{j}]) * (x[{j}] - c[{j}])" for j in range(1, 5))
+_ASSIGN = f"SELECT i, p, any_value(x) AS x, arg_min(e, struct_pack(d := d, e := e)) AS e, min(d) AS d FROM (SELECT i, x.p AS p, x, e, {_FAR} AS d FROM x JOIN {{0}} USING (p)) y GROUP BY i, p"
+_MOVED = "[" + ", ".join(f"CAST(floor(CAST(sum(x[{j}]) AS DOUBLE) / count(*)) AS BIGINT)" for j in range(1, 5)) + "]"
+_MOVE = f"SELECT o.p AS p, o.e AS e, coalesce(n.c, o.c) AS c FROM {{0}} o LEFT JOIN (SELECT p, e, {_MOVED} AS c FROM {{1}} GROUP BY p, e) n ON n.p = o.p AND n.e = o.e"
+
+# Vectors of 64 components: parts of four.
+_CODES = f"""
+WITH k AS (SELECT row_number() OVER (ORDER BY vec_id) AS i, vec_id, label, {_WHOLE} AS q FROM embeddings WHERE {_USABLE}),
+x AS (SELECT i, p, q[4 * p + 1:4 * p + 4] AS x FROM k, (SELECT unnest(range(16)) AS p) z),
+c0 AS (SELECT p, i - 1 AS e, x AS c FROM x WHERE i <= 64), a0 AS ({_ASSIGN.format('c0')}), c1 AS ({_MOVE.format('c0', 'a0')}),
+a1 AS ({_ASSIGN.format('c1')}), c2 AS ({_MOVE.format('c1', 'a1')}), a2 AS ({_ASSIGN.format('c2')}),
+h AS (SELECT sha256(string_agg(CAST(c[j] AS VARCHAR), ',' ORDER BY p, e, j)) AS h FROM c2, (SELECT unnest(range(1, 5)) AS j) z),
+v AS (SELECT i, string_agg(format('{{:02x}}', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY i)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM k JOIN v USING (i), h
+"""
+
+ORACLES: dict[str, str] = {"op12_hard_negatives": _NEGATIVES, "op13_vector_codes": _CODES, "op1_ngram_jaccard_join": _JACCARD, "op2_substring_dedup": _SUBSTRING, "op9_warc": _PAGES, "op10_benchmark_decontamination": _LEAKS}
