@@ -25,7 +25,6 @@ REACH = 64  # code points around a candidate in which its words are looked for
 
 _MAIL = "[A-Za-z0-9._%+-]"
 _FREE = rf"(?:\G|(?<!{_MAIL}))"  # a run of such characters is tried once, from its start
-_GROUPS = r"(?:[\x20().-]{0,2}+[0-9])"
 #: The same matches as the patterns of the contract, without their backtracking.
 BASE = {
     "email": rf"{_FREE}{_MAIL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -35,7 +34,7 @@ BASE = {
 }
 _AT = r"(?:@|\x20?[\[(](?:at|AT|@)[\])]\x20?)"
 _DOT = r"(?:\.|\x20?[\[(](?:dot|DOT)[\])]\x20?)"
-NUMBER = rf"(?<![A-Za-z0-9])\+?+\(?+[0-9]{_GROUPS}{{3,18}}+(?![A-Za-z0-9])"
+NUMBER = r"(?:\+\(?|\(|(?<![A-Za-z0-9_]))[0-9](?:[\x20().-]{0,2}[0-9]){3,18}(?![A-Za-z0-9_])"
 CANDIDATE = rf"{_FREE}{_MAIL}++{_AT}[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++|{NUMBER}"
 
 

@@ -74,4 +74,37 @@ v AS (SELECT i, string_agg(format('{{:02x}}', e), '' ORDER BY p) AS code, CAST(s
 SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM k JOIN v USING (i), h
 """
 
-ORACLES: dict[str, str] = {"op12_hard_negatives": _NEGATIVES, "op13_vector_codes": _CODES, "op1_ngram_jaccard_join": _JACCARD, "op2_substring_dedup": _SUBSTRING, "op9_warc": _PAGES, "op10_benchmark_decontamination": _LEAKS}
+_KINDS = ["email", "ip", "card", "phone"]
+_BASE = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", r"[0-9](?:[\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+_ANY = r"[A-Za-z0-9._%+-]+(?:@|\x20?[\[(](?:at|AT|@)[\])]\x20?)[A-Za-z0-9-]+(?:(?:\.|\x20?[\[(](?:dot|DOT)[\])]\x20?)[A-Za-z0-9-]+)+|(?:\+\(?|\(|\b)[0-9](?:[\x20().-]{0,2}[0-9]){3,18}\b"
+_DIGITS = "regexp_replace(x, '[^0-9]', '', 'g')"
+_LUHN = "list_sum(list_transform(range(0, length(g)), lambda i: CASE WHEN i % 2 = 1 THEN CAST(g[length(g) - i] AS INTEGER) * 2 - CASE WHEN CAST(g[length(g) - i] AS INTEGER) > 4 THEN 9 ELSE 0 END ELSE CAST(g[length(g) - i] AS INTEGER) END)) % 10 = 0"
+_HOLDS = ["TRUE", "len(list_filter(string_split(x, '.'), lambda y: length(ltrim(y, '0')) > 3 OR coalesce(TRY_CAST('0' || right(y, 3) AS INTEGER), 999) > 255)) = 0", f"CASE WHEN length(g) BETWEEN 12 AND 19 THEN {_LUHN} ELSE FALSE END", "length(g) BETWEEN 9 AND 15"]
+_SHAPES = ["x ~ '.*[A-Za-z].*'", "NOT x ~ '.*[A-Za-z].*' AND regexp_full_match(x, '[0-9]{1,3}(?:[\\x20.-]{1,2}[0-9]{1,3}){3}')", "NOT x ~ '.*[A-Za-z].*' AND length(g) BETWEEN 12 AND 19", "NOT x ~ '.*[A-Za-z].*' AND length(g) BETWEEN 7 AND 15"]
+_AT = "CAST(list_sum(list_transform(p[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0) AS BIGINT)"
+_FOUND = " UNION ALL ".join(f"SELECT doc_id, {k} AS k, regexp_extract_all(t, '{q}') AS m, string_split_regex(t, '{q}') AS p FROM d" for k, q in enumerate([*_BASE, _ANY]))
+_MEMBERS = " UNION ALL ".join(f"SELECT doc_id, s, e, value, cs, {k} AS k, regexp_full_match(x, '{_BASE[k]}') AND ({_HOLDS[k]}) AS seed FROM f WHERE {_SHAPES[k]}" for k in range(4))
+
+
+def _rated(i: int) -> str:
+    """Accepted patterns of a round, and what instances are worth after it."""
+    return f"""g{i} AS (SELECT k, c, sum(coalesce(w, 0)) // count(*) AS w FROM pairs LEFT JOIN w{i} USING (k, value) GROUP BY k, c HAVING sum(coalesce(w, 0)) // count(*) >= 800000 AND count(*) FILTER (w >= 800000) >= 3),
+w{i + 1} AS (SELECT k, value, max(w) AS w FROM (SELECT * FROM w0 UNION ALL SELECT pairs.k, value, g{i}.w FROM pairs JOIN g{i} ON g{i}.k = pairs.k AND g{i}.c = pairs.c) z GROUP BY k, value)"""
+
+
+_PRIVATE = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS MATERIALIZED ({_FOUND}),
+u AS MATERIALIZED (SELECT doc_id, k, x, {_DIGITS} AS g, s, s + length(x) AS e, before, behind FROM (SELECT doc_id, k, m[i] AS x, {_AT} AS s, p[i] AS before, p[i + 1] AS behind FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM m) y) z),
+base AS ({" UNION ALL ".join(f"SELECT doc_id, k, s, e FROM u WHERE k = {k} AND ({h})" for k, h in enumerate(_HOLDS))}),
+l AS (SELECT *, list_filter(regexp_split_to_array(lower(string_split(right(before, 64), chr(10))[-1]), '[\\x20\\x09-\\x0D]+'), lambda y: y <> '') AS ws, contains(right(before, 64), chr(10)) OR length(before) < 64 AS starts FROM u WHERE k = 4),
+f AS MATERIALIZED (SELECT doc_id, s, e, x, g, CASE WHEN x ~ '.*[A-Za-z].*' THEN regexp_replace(regexp_replace(lower(x), '\\x20?[\\[(](?:at|@)[\\])]\\x20?', '@', 'g'), '\\x20?[\\[(]dot[\\])]\\x20?', '.', 'g') ELSE g END AS value,
+  ['2 ' || array_to_string(v[-2:], ' '), '1 ' || array_to_string(v[-1:], ' ') || ' | ' || regexp_extract(lower(left(behind, 64)), '^[\\x20\\x09]*([^\\x20\\x09-\\x0D]*)', 1)] AS cs FROM (SELECT *, CASE WHEN starts THEN list_concat(['^'], ws) ELSE ws END AS v FROM l) y),
+o AS MATERIALIZED (SELECT * EXCLUDE (cs), unnest(cs) AS c FROM ({_MEMBERS}) y), pairs AS MATERIALIZED (SELECT DISTINCT k, c, value FROM o), w0 AS (SELECT DISTINCT k, value, 1000000 AS w FROM o WHERE seed),
+{_rated(0)}, {_rated(1)}, {_rated(2)},
+more AS (SELECT doc_id, k, s, e FROM o JOIN g2 USING (k, c) WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = o.doc_id AND b.s < o.e AND o.s < b.e) QUALIFY row_number() OVER (PARTITION BY doc_id, s, e ORDER BY w DESC, k) = 1),
+j AS (SELECT doc_id, count(*) FILTER (b AND k = 0) AS n0, count(*) FILTER (b AND k = 1) AS n1, count(*) FILTER (b AND k = 2) AS n2, count(*) FILTER (b AND k = 3) AS n3, string_agg(name, ',' ORDER BY s, k) FILTER (b) AS own, string_agg(name, ',' ORDER BY s, k) AS every
+  FROM (SELECT *, {_KINDS}[k + 1] || ':' || s || ':' || e AS name FROM (SELECT *, TRUE AS b FROM base UNION ALL SELECT *, FALSE FROM more) y) z GROUP BY doc_id)
+SELECT d.doc_id AS doc_id, coalesce(n0, 0) AS n_email, coalesce(n1, 0) AS n_ip, coalesce(n2, 0) AS n_card, coalesce(n3, 0) AS n_phone, sha256(coalesce(own, '')) AS base_sha256, coalesce(every, '') AS spans FROM d LEFT JOIN j USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op11_private_data": _PRIVATE, "op12_hard_negatives": _NEGATIVES, "op13_vector_codes": _CODES, "op1_ngram_jaccard_join": _JACCARD, "op2_substring_dedup": _SUBSTRING, "op9_warc": _PAGES, "op10_benchmark_decontamination": _LEAKS}

@@ -122,6 +122,21 @@ def test_private_spans(spark):
     assert P.private_spans(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_sql_says_the_same():
+    """The registered SQL over texts in which patterns do discover something."""
+    import duckdb
+    import pandas as pd
+
+    from quillgraph.llm.sql import ORACLES
+
+    t = [x for x in texts() if len(x or "") < 5000]
+    documents = pd.DataFrame({"doc_id": range(len(t)), "text": t})
+    db = duckdb.connect()
+    db.register("documents", documents)
+    got = sorted(db.execute(ORACLES["op11_private_data"]).fetchall())
+    assert got == [(i, *x) for i, x in enumerate(expected(t))]
+
+
 def test_plan_has_no_python(spark):
     docs = spark.createDataFrame([(1, "mail a@b.c", 5, "x", 1, "y")], SCHEMA)
     plan = P.private_spans(docs)._jdf.queryExecution().toString()
