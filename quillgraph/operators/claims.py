@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.coerce import coerce
+from ..functions.coerce import dispatch, let
 from ..functions.text import closest_of
-from ..functions.values import declared_kind, rebuilt
+from ..functions.values import as_json, declared_kind, rebuilt
 from ..tables import Graph
 
 
@@ -52,23 +54,31 @@ def conformance(g: Graph, claims: DataFrame, fields: DataFrame) -> DataFrame:
 
 
 def issues(g: Graph, claims: DataFrame, fields: DataFrame) -> DataFrame:
-    """``node_id, field, code, value``: TYPE_MISMATCH, ENUM_MISMATCH or REQUIRED_MISSING (no value and no default). A value
-    that the list of any claiming type holds is valid."""
+    """``node_id, field, code, value`` of stored values: TYPE_MISMATCH, ENUM_MISMATCH, LIST_ITEM_COERCION_FAILED or
+    REQUIRED_MISSING (no value and no default). A value that the list of any claiming type takes is valid.
+
+    A value already of its field's type needs no conversion; only the others go through the rules of ``dispatch``.
+    """
     lists = type_lists(g)
-    effective = merge_claims(lists.select("key", "types").distinct(), claims, fields).join(fields.select(F.col("name").alias("field"), "field_type", "enum_values", "list_item_type"), "field")
+    kinds = fields.select(F.col("name").alias("field"), "field_type", "enum_values", "list_item_type")
+    effective = merge_claims(lists.select("key", "types").distinct(), claims, fields).join(kinds, "field")
     claimed = lists.select("node_id", "key").join(effective, "key")
-    have = g.node_fields.select("node_id", F.col("field_name").alias("field"), "value_text", rebuilt().alias("value"), declared_kind().alias("kind"), F.lit(1).alias("h"))
-    both = claimed.join(have, ["node_id", "field"], "left")
-    text, kind, want = F.coalesce("value_text", "value"), F.col("kind"), F.col("field_type")
-    written = kind.isin("string", "date")  # a date is read as its text
-    fits = (F.when(want == "string", kind != "list").when(want == "reference", written).when(want == "enum", kind != "list")
-            .when(want == "date", written & coerce(text, "date")["ok"]).when(want == "number", (kind == "number") | (written & coerce(text, "number")["ok"]))
-            .when(want == "boolean", (kind == "boolean") | (written & coerce(text, "boolean")["ok"])).when(want == "list", (kind == "list") | F.col("list_item_type").isNotNull()).otherwise(kind == want))
-    lists = F.coalesce("enum_lists", F.array("enum_values"))
-    valid = F.exists(lists, lambda v: F.exists(v, lambda x: F.lower(x) == F.lower(F.trim(text))))
-    code = (F.when(F.col("h").isNull() & F.col("required") & F.col("default_value").isNull(), "REQUIRED_MISSING").when(F.col("h").isNotNull() & ~fits, "TYPE_MISMATCH")
-            .when((F.col("field_type") == "enum") & F.col("h").isNotNull() & ~valid, "ENUM_MISMATCH"))
-    return both.select("node_id", "field", code.alias("code"), "value").filter("code is not null")
+    have = g.node_fields.select("node_id", F.col("field_name").alias("field"), rebuilt().alias("value"), as_json().alias("json"), declared_kind().alias("kind"), F.lit(1).alias("h"))
+    rows = claimed.join(have, ["node_id", "field"], "left").withColumn("lists", F.coalesce("enum_lists", F.array("enum_values")))
+    same = ((F.col("field_type") == F.col("kind")) & (F.col("kind") != "list")) | ((F.col("field_type") == "reference") & (F.col("kind") == "string"))
+    valid = (F.col("field_type") == "enum") & F.exists("lists", lambda v: F.array_contains(v, F.col("value")))
+    judged = F.when(same | F.coalesce(valid, F.lit(False)), None).otherwise(_judged(g.nodes.sparkSession.sparkContext.applicationId))
+    code = F.when(F.col("h").isNull(), F.when(F.col("required") & F.col("default_value").isNull(), "REQUIRED_MISSING")).otherwise(judged)
+    return rows.select("node_id", "field", code.alias("code"), "value").filter("code is not null")
+
+
+@lru_cache(maxsize=4)
+def _judged(application: str) -> Column:
+    """What is wrong with ``json`` as a value of its field; the expression is large, so each application makes it once."""
+    tries = F.transform("lists", lambda v: dispatch(F.col("json"), F.col("field_type"), F.col("list_item_type"), v))
+    picked = let(tries, lambda t: F.coalesce(F.get(F.filter(t, lambda r: r["ok"]), 0), F.element_at(t, -1)))
+    enum = F.col("enum_lists").isNotNull() | (F.col("field_type") == "enum")
+    return let(picked, lambda r: F.when(~r["ok"], F.when(enum | (F.size(r["closest"]) > 0), "ENUM_MISMATCH").when(r["errors"].isNotNull(), "LIST_ITEM_COERCION_FAILED").otherwise("TYPE_MISMATCH")))
 
 
 def issue_groups(found: DataFrame, samples: int = 5) -> DataFrame:

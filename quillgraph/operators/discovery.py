@@ -84,6 +84,17 @@ def infer_type(g: Graph, name: str) -> DataFrame:
     return top.crossJoin(distinct).select(F.when(enum, "enum").otherwise(F.col("dominant")).alias("proposed_type"), (F.col("top") / F.col("total")).alias("confidence"), "distinct_values", "total")
 
 
+def field_kinds(g: Graph, name: str) -> DataFrame:
+    """``kind, n``: how often each kind of value stands in a field."""
+    return g.node_fields.filter(F.col("field_name") == name).groupBy(declared_kind().alias("kind")).agg(F.count("*").alias("n"))
+
+
+def field_samples(g: Graph, name: str, most: int = 10) -> DataFrame:
+    """``value, kind``: the first different values of a field by their first node."""
+    rows = g.node_fields.filter(F.col("field_name") == name).groupBy(declared_kind().alias("kind"), rebuilt().alias("value")).agg(F.min("node_id").alias("_first"))
+    return rows.orderBy("_first", "value").limit(most).select("value", "kind")
+
+
 def dissenters(g: Graph, name: str, most: int = 10) -> DataFrame:
     """Rows whose kind isn't the commonest, at most ``most`` of a kind."""
     rows = g.node_fields.filter(F.col("field_name") == name).select("node_id", declared_kind().alias("kind"), rebuilt().alias("value"))

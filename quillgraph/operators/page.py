@@ -11,18 +11,20 @@ from ..plans.filters import NodeFilter, Page
 from ..tables import Graph
 
 
-def page(g: Graph, f: NodeFilter | dict, p: Page | None = None) -> DataFrame:
-    """The rows of one page; equal keys are in order of id, nulls are lowest."""
+def page(g: Graph, f: NodeFilter | dict, p: Page | None = None, body: bool = False) -> DataFrame:
+    """The rows of one page, with their bodies if asked for; equal keys are in order of id, nulls are lowest. Bodies are joined
+    to the page, so that no sort carries them."""
     p = p or Page()
     col = F.col("_sort")
     order = col.asc_nulls_first() if p.sort_order == "asc" else col.desc_nulls_last()
     rows = compile_filter(g, f).select("id", "file_path", "title", "version", F.col(p.sort_by).alias("_sort"))
-    return rows.orderBy(order, "id").offset(p.offset).limit(p.limit).drop("_sort")
+    rows = rows.orderBy(order, "id").offset(p.offset).limit(p.limit).drop("_sort")
+    return rows.join(g.nodes.select("id", "body"), "id") if body else rows
 
 
 def enrich(g: Graph, rows: DataFrame, include_fields: list[str] | None = None) -> DataFrame:
     """Types, number of fields and chosen fields (``['*']``: all) of a page's rows; joined after the limit."""
-    ids = F.broadcast(rows.select(F.col("id").alias("node_id")))  # a page: 200 rows at most
+    ids = rows.select(F.col("id").alias("node_id"))  # of a page Spark knows that it is small
     types = g.node_types.join(ids, "node_id", "left_semi").groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("sort_order", "schema_type"))).alias("t")).select(F.col("node_id").alias("id"), F.transform("t", lambda x: x["schema_type"]).alias("types"))
     fields = g.node_fields.join(ids, "node_id", "left_semi")
     counts = fields.groupBy(F.col("node_id").alias("id")).agg(F.count("*").alias("field_count"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.coerce import coerce
-from ..functions.values import as_text
+from ..functions.coerce import coerce, dispatch
+from ..functions.values import as_json, as_text
 from ..plans.filters import InvalidParams
 from ..tables import Graph
 from . import claims as C
@@ -98,24 +98,29 @@ def propagate(g: Graph, before: DataFrame, after: DataFrame, fields: DataFrame,
     return add, log(add, "field-defaulted", at_ms, F.col("field_name")).unionByName(log(lost, "fields-orphaned", at_ms, F.col("field_name")))
 
 
-def retype_preview(g: Graph, name: str, kind: str, enum_values: list[str] | None = None) -> DataFrame:
-    """``node_id, old, ok, value, code, reason`` of every row of a field if its type became ``kind``."""
+def retype_preview(g: Graph, name: str, kind: str, enum_values: list[str] | None = None, item: str | None = None) -> DataFrame:
+    """``node_id, old, ok, value, code, reason`` of every row of a field if its type became ``kind``, a list with elements of
+    type ``item`` among them (its values are JSON)."""
+    if kind == "list":
+        values = F.array(*map(F.lit, enum_values)) if enum_values else F.lit(None).cast("array<string>")
+        rows = g.node_fields.filter(F.col("field_name") == name).select("node_id", as_text().alias("old"), dispatch(as_json(), F.lit("list"), F.lit(item).cast("string"), values).alias("_r"))
+        return rows.select("node_id", "old", "_r.ok", "_r.value", "_r.code", "_r.reason")
     rows = g.node_fields.filter(F.col("field_name") == name).select("node_id", as_text().alias("old"))
     return rows.withColumn("_r", coerce(F.col("old"), kind, enum_values)).select("node_id", "old", "_r.ok", "_r.value", "_r.code", "_r.reason")
 
 
-def retype(g: Graph, name: str, kind: str, enum_values: list[str] | None = None, discard: bool = False, at_ms: int = 0) -> tuple[Graph, DataFrame]:
+def retype(g: Graph, name: str, kind: str, enum_values: list[str] | None = None, discard: bool = False, at_ms: int = 0, item: str | None = None) -> tuple[Graph, DataFrame]:
     """The field with its new type, and the log rows of values that couldn't be converted; those go if ``discard`` is
     given, else the change is refused."""
-    seen = retype_preview(g, name, kind, enum_values)
+    seen = retype_preview(g, name, kind, enum_values, item)
     bad = seen.filter("not ok")
     if not discard and not bad.isEmpty():
         raise InvalidParams(f"values of {name} can't become {kind}; discard is needed")
     good = seen.filter("ok")
     none = F.lit(None)
-    number = kind == "number"
-    new = good.select("node_id", F.lit(name).alias("field_name"), (none if number or kind == "boolean" else F.col("value")).cast("string").alias("value_text"), (F.col("value") if number else none).cast("double").alias("value_number"),
-                      none.cast("string").alias("value_date"), (F.col("value") if kind == "boolean" else none).cast("string").alias("value_json"))
+    number, in_json = kind == "number", kind in ("boolean", "list")
+    new = good.select("node_id", F.lit(name).alias("field_name"), (none if number or in_json else F.col("value")).cast("string").alias("value_text"), (F.col("value") if number else none).cast("double").alias("value_number"),
+                      none.cast("string").alias("value_date"), (F.col("value") if in_json else none).cast("string").alias("value_json"))
     rest = g.node_fields.filter(F.col("field_name") != name)
     return g.replace(node_fields=rest.unionByName(new, allowMissingColumns=True)), log(bad, "value-removed", at_ms, F.col("old"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import snippet
-from ..tables import commit, manifest, versions
+from ..tables import commit, cut, manifest, versions
 from . import textquery as Q
 
 K1, B = 1.2, 0.75
@@ -196,7 +196,7 @@ def nearest(chunks: DataFrame, query: list[float], k: int = NEAREST) -> DataFram
 def ranked(rows: DataFrame, *order: Column) -> DataFrame:
     """``rank`` from 1 in one order over all rows, without a task that holds all: rows are sorted by range, each range is
     counted, and a row's rank is its place in its range behind the ranges before."""
-    rows = rows.orderBy(*order).withColumns({"_part": F.spark_partition_id(), "_seq": F.monotonically_increasing_id()})
+    rows = cut(rows.orderBy(*order).withColumns({"_part": F.spark_partition_id(), "_seq": F.monotonically_increasing_id()}))  # sorted once: both uses see the same ranges
     # the id's low 33 bits count a partition's rows
     rows = rows.withColumn("_at", F.col("_seq") - F.shiftleft(F.col("_part").cast("long"), 33))
     sizes = rows.groupBy("_part").agg(F.max("_at").alias("last"))  # one row a range

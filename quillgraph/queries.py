@@ -194,6 +194,16 @@ def _infer(s, d):
     return D.infer_type(graph(s, d), "ref_text")
 
 
+@query("a09_kinds", _PRE + "SELECT CASE WHEN value_number IS NOT NULL THEN 'number' ELSE 'string' END AS kind, count(*) AS n FROM node_fields WHERE field_name = 'ref_text' GROUP BY 1")
+def _kinds(s, d):
+    return D.field_kinds(graph(s, d), "ref_text")
+
+
+@query("a09_samples", _PRE + """SELECT value, kind FROM (SELECT coalesce(CAST(value_number AS VARCHAR), value_text) AS value, CASE WHEN value_number IS NOT NULL THEN 'number' ELSE 'string' END AS kind, min(node_id) AS low FROM node_fields WHERE field_name = 'ref_text' GROUP BY 1, 2) x ORDER BY low, value LIMIT 10""")
+def _samples(s, d):
+    return D.field_samples(graph(s, d), "ref_text")
+
+
 @query("w07_dissenters", _PRE + "SELECT node_id, 'number' AS kind, CAST(value_number AS VARCHAR) AS value FROM node_fields WHERE field_name = 'ref_text' AND value_number IS NOT NULL ORDER BY node_id LIMIT 10")
 def _dissenters(s, d):
     return D.dissenters(graph(s, d), "ref_text")
@@ -266,15 +276,16 @@ def _claim_diff(s, d):
 
 _MERGE = """, tl AS (SELECT DISTINCT types FROM (SELECT node_id, string_agg(schema_type, chr(1) ORDER BY sort_order) AS types FROM node_types GROUP BY 1) z),
  e AS (SELECT types AS key, unnest(string_split(types, chr(1))) AS schema_name, unnest(range(len(string_split(types, chr(1))))) AS o FROM tl),
- m AS (SELECT e.key, e.o, c.*, g.required, g.default_value, CASE WHEN c.default_overridden THEN coalesce(c.default_override, 'null') END AS d FROM e JOIN claims c ON c.schema_name = e.schema_name JOIN global_fields g ON g.name = c.field)"""
+ m AS (SELECT e.key, e.o, c.*, g.required, g.default_value, g.enum_values, CASE WHEN c.default_overridden THEN coalesce(c.default_override, 'null') END AS d FROM e JOIN claims c ON c.schema_name = e.schema_name JOIN global_fields g ON g.name = c.field)"""
 
 
 @query("v01_merge", _DIMS + _MERGE + """SELECT key, field, arg_min(label, o) FILTER (label IS NOT NULL) AS label, arg_min(description, o) FILTER (description IS NOT NULL) AS description, CAST(coalesce(arg_min(sort_order, o) FILTER (sort_order <> 1000), 1000) AS INTEGER) AS sort_order,
  CASE WHEN count(DISTINCT required_override) = 1 THEN bool_or(required_override) ELSE bool_or(required) END AS required, CASE WHEN count(DISTINCT d) = 1 THEN nullif(max(d), 'null') ELSE max(default_value) END AS default_value,
- CASE WHEN count(DISTINCT d) = 1 THEN 'claim' ELSE 'global' END AS default_source, string_agg(schema_name, ',' ORDER BY o) AS claiming_types FROM m GROUP BY 1, 2""")
+ CASE WHEN count(DISTINCT d) = 1 THEN 'claim' ELSE 'global' END AS default_source, string_agg(schema_name, ',' ORDER BY o) AS claiming_types,
+ CASE WHEN bool_or(enum_override IS NOT NULL) THEN string_agg(array_to_string(coalesce(enum_override, enum_values, []), '|'), ';' ORDER BY o) END AS enum_lists FROM m GROUP BY 1, 2""")
 def _merge(s, d):
     lists = C.type_lists(graph(s, d)).select("key", "types").distinct()
-    return C.merge_claims(lists, table(s, "claims", CLAIMS), table(s, "global_fields", FIELDS)).drop("enum_lists")
+    return C.merge_claims(lists, table(s, "claims", CLAIMS), table(s, "global_fields", FIELDS)).withColumn("enum_lists", F.array_join(F.transform("enum_lists", lambda v: F.array_join(v, "|")), ";"))
 
 
 @query("v05_conformance", _DIMS + """, w AS (SELECT t.node_id, c.field, count(DISTINCT c.required_override) AS k, bool_or(c.required_override) AS r, bool_or(g.required) AS gr FROM node_types t JOIN claims c ON c.schema_name = t.schema_type JOIN global_fields g ON g.name = c.field GROUP BY 1, 2),

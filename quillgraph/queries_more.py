@@ -188,6 +188,17 @@ def _retype(s, d):
     return a.crossJoin(log.agg(F.count("*").alias("removed")))  # one row each
 
 
+@query("v08_retype_list", _PRE + """SELECT node_id, CASE WHEN value_number IS NOT NULL THEN '[' || CAST(CAST(value_number AS BIGINT) AS VARCHAR) || '.0]' END AS value_json FROM node_fields WHERE field_name = 'ref_text' AND value_number IS NOT NULL""")
+def _retype_list(s, d):
+    g, _ = SC.retype(graph(s, d), "ref_text", "list", discard=True, item="number")
+    return g.node_fields.filter("field_name = 'ref_text'").select("node_id", "value_json")
+
+
+@query("v08_retype_date", _PRE + "SELECT node_id, value_date AS value_text, 'STRING_TO_DATE' AS code FROM node_fields WHERE field_name = 'orderdate'")
+def _retype_date(s, d):
+    return SC.retype_preview(graph(s, d), "orderdate", "date").select("node_id", F.col("value").alias("value_text"), "code")
+
+
 @query("v10_orphaned_by", _DIMS + f""", {_AFTER} SELECT f.field_name AS field_name, CAST(count(*) AS BIGINT) AS n FROM node_fields f WHERE EXISTS (SELECT 1 FROM node_types t JOIN claims c ON c.schema_name = t.schema_type WHERE t.node_id = f.node_id AND c.field = f.field_name)
  AND NOT EXISTS (SELECT 1 FROM node_types t JOIN later c ON c.schema_name = t.schema_type WHERE t.node_id = f.node_id AND c.field = f.field_name) GROUP BY 1""")
 def _orphaned(s, d):

@@ -134,3 +134,17 @@ class _LetterModel:
 def _embed(s, d):
     docs = s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("node_id"), F.col("text").alias("content"))
     return S.embed(docs, _LetterModel(), 6, "search_query", size=10**9)
+
+
+@query("t01_events", """SELECT 'docs/' || doc_id || '.md' AS path, CASE WHEN doc_id % 5 = 0 THEN 'add' ELSE 'change' END AS event, doc_id AS ms FROM documents WHERE doc_id % 5 < 2 UNION ALL SELECT 'docs/-' || doc_id || '.md', 'unlink', 77 FROM documents WHERE doc_id % 3 = 0""")
+def _listing_events(s, d):
+    """Two listings of the documents: some added, some changed in time or size, some gone."""
+    from .streaming import listing as L
+
+    docs = s.read.parquet(f"{d}/documents.parquet")
+    k = F.col("doc_id")
+    name = lambda e: F.concat(F.lit("docs/"), e.cast("string"), F.lit(".md")).alias("path")
+    after = docs.select(name(k), k.alias("ms"), F.col("n_chars").cast("long").alias("size"))
+    old = docs.filter(k % 5 != 0).select(name(k), F.when((k % 5 == 1) & (k % 2 == 0), k - 1).otherwise(k).alias("ms"), (F.col("n_chars") + F.when((k % 5 == 1) & (k % 2 == 1), 1).otherwise(0)).cast("long").alias("size"))
+    gone = docs.filter(k % 3 == 0).select(F.concat(F.lit("docs/-"), k.cast("string"), F.lit(".md")).alias("path"), k.alias("ms"), F.lit(1).cast("long").alias("size"))
+    return L.difference(old.unionByName(gone), after, 77)

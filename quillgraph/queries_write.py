@@ -293,3 +293,37 @@ def _create(s, d):
     schemas = table(s, "schemas", [("order", "Order", None, "orders"), ("filed", "Filed", "{level} {title} {date}.md", "files")])
     good, bad = B.created(graph(s, d), asked, schemas, "2024-01-02")
     return good.select("id", "file_path", F.lit(None).cast("string").alias("code")).unionByName(bad.select("id", F.lit(None).cast("string").alias("file_path"), "code"))
+
+
+_TEXT = """'---' || chr(10) || 'types:' || chr(10) || '  - order' || CASE WHEN o_orderpriority = '1-URGENT' THEN chr(10) || '  - urgent' ELSE '' END || chr(10) || 'totalprice: ' || CASE WHEN o_totalprice = floor(o_totalprice) THEN CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR) ELSE CAST(o_totalprice AS VARCHAR) END
+ || chr(10) || 'orderpriority: ' || o_orderpriority || chr(10) || 'buyer:' || chr(10) || '  - "[[Customer#' || CAST(o_custkey AS VARCHAR) || ']]"' || chr(10) || '  - "[[x]]"' || chr(10) || 'orderdate: ' || strftime(o_orderdate, '%Y-%m-%d') || chr(10) || 'orderstatus: ' || o_orderstatus
+ || chr(10) || 'ref_text: ' || CASE WHEN o_orderkey % 5 <> 0 THEN 'ref-' || CAST(o_orderkey % 7 AS VARCHAR) ELSE CAST(o_orderkey % 7 AS VARCHAR) END || chr(10) || 'said: "a: b"' || chr(10) || '---' || chr(10)"""
+
+
+def _rendering(s, d):
+    from .operators import render as R
+
+    g = graph(s, d)
+    o = s.read.parquet(f"{d}/orders.parquet").select(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("node_id"), "o_custkey")
+    none = F.lit(None).cast("string")
+    row = lambda name, text, json: o.select("node_id", F.lit(name).alias("field_name"), text.alias("value_text"), F.lit(None).cast("double").alias("value_number"), none.alias("value_date"), json.alias("value_json"))
+    more = row("buyer", none, F.concat(F.lit('["Customer#'), F.col("o_custkey").cast("string"), F.lit('","x"]'))).unionByName(row("said", F.lit("a: b"), none))
+    mine = g.node_fields.filter("node_id like 'order:%'").select(*more.columns).unionByName(more)
+    g = g.replace(nodes=g.nodes.filter("id like 'order:%'"), node_types=g.node_types.filter("node_id like 'order:%'"), node_fields=mine)
+    fields = [(*f[:1], "list", *f[2:8], "reference") if f[0] == "buyer" else f for f in W_FIELDS]
+    return R, g, table(s, "claims", W_CLAIMS), table(s, "global_fields", fields)
+
+
+@query("k01_render", f"SELECT 'order:' || CAST(o_orderkey AS VARCHAR) AS id, sha256({_TEXT}) AS hash FROM orders")
+def _render(s, d):
+    R, g, claims, fields = _rendering(s, d)
+    return R.rendered(g, claims, fields).select("id", F.sha2("text", 256).alias("hash"))
+
+
+@query("t06_sweep", f"SELECT 'order:' || CAST(o_orderkey AS VARCHAR) AS id, sha256({_TEXT}) AS hash FROM orders WHERE o_orderkey % 3 <> 0 AND epoch_ms(o_orderdate) < 852076800000 - 3600000")
+def _sweep(s, d):
+    """A third of the files is as rendered already; of the others those that have been quiet are to be written."""
+    R, g, claims, fields = _rendering(s, d)
+    text = R.rendered(g, claims, fields).select("id", F.sha2("text", 256).alias("_h"))
+    g = g.replace(nodes=g.nodes.join(text, "id").withColumn("content_hash", F.when(F.expr(f"{_KEY} % 3 = 0"), F.col("_h")).otherwise("old")).drop("_h"))
+    return R.to_rewrite(g, claims, fields, 852_076_800_000).select("id", F.sha2("text", 256).alias("hash"))

@@ -43,11 +43,17 @@ def debounce(events: DataFrame) -> DataFrame:
     short = runs.filter(F.col("last_ms") - F.col("first_ms") < CAP_MS).select("path", "event", "first_ms", "last_ms", "n")
     long = runs.filter(F.col("last_ms") - F.col("first_ms") >= CAP_MS).select("path", "_s")
     e = rows.join(long, ["path", "_s"]).groupBy("path", "_s").agg(F.array_sort(F.collect_list(F.struct("ms", "event"))).alias("e"))
-    # each event with the first time of its burst
-    kind = "array<struct<ms:bigint,event:string,first:bigint>>"
-    first = lambda acc, x: F.when((F.size(acc) == 0) | (x["ms"] - F.element_at(acc, -1)["first"] >= CAP_MS), x["ms"]).otherwise(F.element_at(acc, -1)["first"])
-    walk = F.aggregate("e", F.array().cast(kind), lambda acc, x: F.concat(acc, F.array(F.struct(x["ms"].alias("ms"), x["event"].alias("event"), F.when(F.size(acc) > 0, first(acc, x)).otherwise(x["ms"]).alias("first")))))
-    cuts = e.select("path", F.explode(walk).alias("x")).groupBy("path", F.col("x.first").alias("first_ms")).agg(F.max_by("x.event", F.struct("x.ms", "x.event")).alias("event"), F.max("x.ms").alias("last_ms"), F.count("*").alias("n"))
+    # where bursts begin in the array: it grows once a burst, and bursts are slices of it
+    start = F.struct(F.lit(0).alias("i"), F.lit(None).cast("bigint").alias("first"), F.array().cast("array<int>").alias("at"))
+
+    def step(acc, x):
+        new = acc["first"].isNull() | (x["ms"] - acc["first"] >= CAP_MS)
+        return F.struct((acc["i"] + 1).alias("i"), F.when(new, x["ms"]).otherwise(acc["first"]).alias("first"), F.when(new, F.concat(acc["at"], F.array(acc["i"]))).otherwise(acc["at"]).alias("at"))
+
+    at = e.withColumn("at", F.aggregate("e", start, step, lambda acc: acc["at"]))
+    parts = F.transform("at", lambda x, i: F.slice("e", x + 1, F.coalesce(F.get("at", i + 1), F.size("e")) - x))
+    last = lambda c: F.element_at("b", -1)[c]
+    cuts = at.select("path", F.explode(parts).alias("b")).select("path", last("event").alias("event"), F.get("b", 0)["ms"].alias("first_ms"), last("ms").alias("last_ms"), F.size("b").cast("long").alias("n"))
     return short.unionByName(cuts)
 
 
