@@ -57,7 +57,8 @@ def issues(g: Graph, claims: DataFrame, fields: DataFrame) -> DataFrame:
     """``node_id, field, code, value`` of stored values: TYPE_MISMATCH, ENUM_MISMATCH, LIST_ITEM_COERCION_FAILED or
     REQUIRED_MISSING (no value and no default). A value that the list of any claiming type takes is valid.
 
-    A value already of its field's type needs no conversion; only the others go through the rules of ``dispatch``.
+    A value of its field's type needs no conversion, and an enum's only a look at the lists; all others go through the rules of
+    ``dispatch``.
     """
     lists = type_lists(g)
     kinds = fields.select(F.col("name").alias("field"), "field_type", "enum_values", "list_item_type")
@@ -66,8 +67,8 @@ def issues(g: Graph, claims: DataFrame, fields: DataFrame) -> DataFrame:
     have = g.node_fields.select("node_id", F.col("field_name").alias("field"), rebuilt().alias("value"), as_json().alias("json"), declared_kind().alias("kind"), F.lit(1).alias("h"))
     rows = claimed.join(have, ["node_id", "field"], "left").withColumn("lists", F.coalesce("enum_lists", F.array("enum_values")))
     same = ((F.col("field_type") == F.col("kind")) & (F.col("kind") != "list")) | ((F.col("field_type") == "reference") & (F.col("kind") == "string"))
-    valid = (F.col("field_type") == "enum") & F.exists("lists", lambda v: F.array_contains(v, F.col("value")))
-    judged = F.when(same | F.coalesce(valid, F.lit(False)), None).otherwise(_judged(g.nodes.sparkSession.sparkContext.applicationId))
+    listed = F.coalesce(F.exists("lists", lambda v: F.exists(v, lambda x: F.lower(x) == F.lower(F.trim("value")))), F.lit(False))
+    judged = F.when(same, None).when(F.col("field_type") == "enum", F.when(~listed, "ENUM_MISMATCH")).otherwise(_judged(g.nodes.sparkSession.sparkContext.applicationId))
     code = F.when(F.col("h").isNull(), F.when(F.col("required") & F.col("default_value").isNull(), "REQUIRED_MISSING")).otherwise(judged)
     return rows.select("node_id", "field", code.alias("code"), "value").filter("code is not null")
 

@@ -33,6 +33,7 @@ def resolve(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     bare = F.regexp_replace("target", r"\.md$", "")
     asked = tiers(targets.select("target").filter("target is not null").distinct(), ["target"], [F.col("target"), F.col("target"), bare, bare, bare])
     by_key = tiers(nodes, ["id", "file_path"], [F.col("file_path"), F.col("title"), base, base, base])
+    by_key = by_key.join(asked.select("tier", "key").distinct(), ["tier", "key"], "left_semi")  # few keys are asked for: only theirs are shuffled
     best = by_key.groupBy("tier", "key").agg(F.min(F.struct(F.length("file_path").alias("n"), "file_path", "id")).alias("m"))
     return asked.join(best, ["tier", "key"]).groupBy("target").agg(F.min_by("m.id", "tier").alias("id"))
 
