@@ -6,6 +6,7 @@ union with a literal type or field name, so a filter on those prunes all other b
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -84,8 +85,6 @@ def _selects() -> dict[str, list[tuple[str, str]]]:
 
 
 def _spark_sql(text: str) -> str:
-    import re
-
     return re.sub(r"\{ms:(\w+)\}", r"timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01', CAST(\1 AS TIMESTAMP_NTZ))", text)
 
 
@@ -103,8 +102,9 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
             where = tail.removeprefix(" WHERE ") if tail else ""
             if where and where != "TRUE":
                 source = source.filter(where)
+            if distinct:  # of the keys, which the ids spell out: numbers are shuffled, not texts
+                source = source.select(*(c for c in source.columns if re.search(rf"\b{c}\b", head))).distinct()
             df = source.selectExpr(*_split(head.removeprefix("DISTINCT ")))
-            df = df.distinct() if distinct else df
             union = df if union is None else union.unionByName(df)
         parts[name] = union
     return Graph(**parts)
@@ -133,8 +133,6 @@ def _split(head: str) -> list[str]:
 
 def prelude() -> str:
     """WITH clauses that define the same tables in DuckDB."""
-    import re
-
     ctes = []
     for name, selects in _selects().items():
         body = " UNION ALL ".join(re.sub(r"\{ms:(\w+)\}", r"epoch_ms(\1)", t) for _, t in selects)

@@ -6,7 +6,8 @@ import atexit
 import json
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,11 +49,27 @@ def load(spark: SparkSession, path: str) -> Graph:
 
 def put(df: DataFrame, path: str, by: str | None = None) -> None:
     """The rows and, beside them, their schema: a partitioned table without rows has no file to tell it."""
-    out = df.write.mode("overwrite")
-    (out.partitionBy(by) if by else out).parquet(path)
+    with _open_files(df.sparkSession, WRITERS):
+        out = df.write.mode("overwrite")
+        (out.partitionBy(by) if by else out).parquet(path)
     _write(df.sparkSession, f"{path}/_schema", df.schema.json())
 
 
+#: Types, fields or relations that a task writes side by side; beyond that Spark sorts its rows by them first, which spills.
+WRITERS = 64
+
+
+@contextmanager
+def _open_files(spark: SparkSession, most: int) -> Iterator[None]:
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    was = spark.conf.get(name)
+    spark.conf.set(name, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def get(spark: SparkSession, path: str, by: str | None = None) -> DataFrame:
     schema = StructType.fromJson(json.loads(_read(spark, f"{path}/_schema")))
     return spark.read.schema(schema).parquet(path).select(*schema.names)

@@ -221,3 +221,20 @@ def test_debounce_stream(spark, tmp_path):
         assert {(r.path, r.n) for r in spark.sql("select * from bursts").collect()} >= {("p", 2), ("p", 1)}
     finally:
         q.stop()
+
+
+def test_the_store_shuffles_keys_and_sorts_nothing(spark, tmp_path):
+    from quillgraph.sources.adapter import graph
+    from quillgraph.tables import _open_files, get, put
+
+    edges = graph(spark, "/root/testdata/sf0.001").relationships
+    shuffles = [x for x in edges._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+    assert shuffles and all("l_orderkey" in x and "supplier:" not in x and "Part-" not in x for x in shuffles)
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    was = spark.conf.get(name)
+    with _open_files(spark, 9):
+        assert spark.conf.get(name) == "9"
+    assert spark.conf.get(name) == was
+    rows = spark.range(300).selectExpr("id", "cast(id % 70 as string) as kind")  # more kinds than files side by side
+    put(rows, f"file://{tmp_path}/t", "kind")
+    assert sorted(get(spark, f"file://{tmp_path}/t", "kind").collect()) == sorted(rows.collect()) and spark.conf.get(name) == was
