@@ -76,10 +76,14 @@ def edit_claims(claims: DataFrame, schema: str, add: DataFrame | None = None, up
 def orphaned_by(g: Graph, before: DataFrame, after: DataFrame) -> DataFrame:
     """``field_name, n``: field rows that a claim covers before and none after; an edit that has any needs a confirmation.
     The most frequent first."""
-    have = g.node_fields.select("node_id", "field_name")
-    covered = lambda c: g.node_types.join(c.select(F.col("schema_name").alias("schema_type"), F.col("field").alias("field_name")), "schema_type").select("node_id", "field_name").distinct()
-    lost = have.join(covered(before), ["node_id", "field_name"], "left_semi").join(covered(after), ["node_id", "field_name"], "left_anti")
-    return lost.groupBy("field_name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "field_name")
+    # a field whose claims all stay loses no row; of the others, rows and claims meet in one aggregate by node and field
+    dropped = before.join(after, ["schema_name", "field"], "left_anti").select(F.col("field").alias("field_name")).distinct()
+    claim = lambda c, **by: c.select(F.col("schema_name").alias("schema_type"), F.col("field").alias("field_name"), *(F.lit(v).alias(k) for k, v in by.items()))
+    claims = claim(before, was=True, now=False).unionByName(claim(after, was=False, now=True)).join(dropped, "field_name", "left_semi").groupBy("schema_type", "field_name").agg(F.bool_or("was").alias("was"), F.bool_or("now").alias("now"))
+    covers = g.node_types.join(F.broadcast(claims), "schema_type").filter("node_id is not null").select("node_id", "field_name", F.lit(0).alias("n"), "was", "now")
+    have = g.node_fields.join(F.broadcast(dropped), "field_name", "left_semi").select("node_id", "field_name", F.lit(1).alias("n"), F.lit(False).alias("was"), F.lit(False).alias("now"))
+    met = have.unionByName(covers).groupBy("node_id", "field_name").agg(F.sum("n").alias("n"), F.bool_or("was").alias("was"), F.bool_or("now").alias("now"))
+    return met.filter("n > 0 and was and not now").groupBy("field_name").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "field_name")
 
 
 def propagate(g: Graph, before: DataFrame, after: DataFrame, fields: DataFrame, at_ms: int = 0) -> tuple[DataFrame, DataFrame]:

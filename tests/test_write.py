@@ -290,3 +290,14 @@ def test_a_small_operation_writes_few_rows(spark, monkeypatch):
     back, _ = U.undo(after, ops, U.committed(after, snaps, "one"), ["one"])
     assert {(r.target, r.resolved_target_id) for r in after.relationships.filter("source_id = 'n6'").collect()} == {("Seven", "n7")}
     assert sorted(back.relationships.collect()) == sorted(big.relationships.collect()) and max(written) < 20
+
+
+def test_orphans_and_order_shuffle_once(spark, g):
+    by_node = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(node_id")
+    claims = table(spark, "claims", [("tree", "place", None, None, 3, None, False, None, None), ("tree", "near", None, None, 1, None, False, None, None), ("place", "place", None, None, 2, None, False, None, None)])
+    two = g.replace(node_types=g.node_types.unionByName(spark.createDataFrame([("oak", "place", 1)], g.node_types.schema)))
+    less = claims.filter("not (schema_name = 'tree' and field = 'place') and field <> 'near'")
+    lost = SC.orphaned_by(two, claims, less)  # another type still claims the place
+    assert by_node(lost) == 1 and [(r.field_name, r.n) for r in lost.collect()] == [("near", 1)]
+    names = W.field_order(two.node_fields, two.node_types, claims)
+    assert by_node(names) == 1 and {r.node_id: r.names for r in names.collect()} == {"oak": ["near", "place"], "elm": ["height"]}
