@@ -277,10 +277,8 @@ def _cleanup(s, d):
  SELECT f.node_id AS node_id, string_agg(f.field_name, ',' ORDER BY c.o NULLS LAST, f.field_name) AS names FROM node_fields f LEFT JOIN c ON c.node_id = f.node_id AND c.field = f.field_name WHERE f.node_id LIKE 'order:%' GROUP BY 1""")
 def _order(s, d):
     g = graph(s, d)
-    claims = table(s, "claims", CLAIMS).groupBy(F.col("schema_name").alias("schema_type"), F.col("field").alias("field_name")).agg(F.min("sort_order").alias("sort_order"))
-    c = g.node_types.select("node_id", "schema_type").join(claims, "schema_type").groupBy("node_id", "field_name").agg(F.min("sort_order").alias("sort_order"))
-    rows = g.node_fields.filter(F.col("node_id").startswith("order:")).select("node_id", "field_name").join(c, ["node_id", "field_name"], "left")
-    return W.in_order(rows).select("node_id", F.array_join("names", ",").alias("names"))
+    mine = lambda df: df.filter(F.col("node_id").startswith("order:"))
+    return W.field_order(mine(g.node_fields), mine(g.node_types), table(s, "claims", CLAIMS)).select("node_id", F.array_join("names", ",").alias("names"))
 
 
 @query("o10_preview_cap", _PRE + f"SELECT n.id AS id, 'brand' AS field FROM nodes n WHERE {_type('part')} ORDER BY n.id LIMIT 20")
