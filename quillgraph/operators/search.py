@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.coerce import let
 from ..functions.text import snippet
 from ..tables import commit, cut, manifest, versions
 from . import textquery as Q
@@ -36,10 +37,13 @@ class Index:
 
 def postings_of(docs: DataFrame) -> DataFrame:
     """``id, len, term, places, cell`` of ``docs(id, title, body)``; places of the body begin at ``BODY``."""
-    at = lambda c, base: F.transform(tokens(F.coalesce(c, F.lit(""))), lambda w, i: F.struct((i + base).alias("place"), w.alias("term")))
+    at = lambda c, base: F.transform(tokens(F.coalesce(c, F.lit(""))), lambda w, i: F.struct(w.alias("term"), (i + base).alias("place")))
     words = docs.select("id", F.concat(at("title", 0), at("body", Q.BODY)).alias("w")).withColumn("len", F.size("w"))
-    rows = words.select("id", "len", F.explode("w").alias("w")).select("id", "len", "w.place", "w.term")
-    postings = rows.groupBy("id", "len", "term").agg(F.sort_array(F.collect_list("place")).alias("places"))  # of one document
+    # the words in order, cut where they change: a document's places are gathered in its row, without a shuffle
+    cuts = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["term"] != F.get(s, i - 1)["term"]))
+    run = lambda s, b: F.transform(b, lambda x, j: F.struct(F.get(s, x)["term"].alias("term"), F.transform(F.sequence(x, F.coalesce(F.get(b, j + 1), F.size(s)) - 1), lambda k: F.get(s, k)["place"]).alias("places")))
+    runs = let(F.sort_array("w"), lambda s: let(cuts(s), lambda b: run(s, b)))
+    postings = words.filter("len > 0").select("id", "len", F.explode(runs).alias("r")).select("id", "len", "r.term", "r.places")
     return postings.withColumn("cell", F.pmod(F.xxhash64("term"), F.lit(CELLS)).cast("int"))
 
 

@@ -81,3 +81,14 @@ def test_index_follows_changes(spark, tmp_path):
     assert len(S.segments(spark, path)) == 1
     S.update_segments(spark, path, frame([(5000, "alpha", "late")]), None)
     assert 5000 in {r.id for r in S.match(S.load_segments(spark, path), "alpha").collect()} and len(S.segments(spark, path)) == 2
+
+
+def test_postings_are_made_in_the_row(spark):
+    from quillgraph.operators import search as S
+    from quillgraph.operators import textquery as Q
+
+    docs = spark.createDataFrame([(1, "A b", "b a b"), (2, None, None), (3, "", "x")], "id long, title string, body string")
+    made = S.postings_of(docs)
+    rows = {(r.id, r.len, r.term): r.places for r in made.collect()}
+    assert rows == {(1, 5, "a"): [0, Q.BODY + 1], (1, 5, "b"): [1, Q.BODY, Q.BODY + 2], (3, 1, "x"): [Q.BODY]}
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
