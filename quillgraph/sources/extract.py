@@ -6,9 +6,11 @@ import io
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from itertools import groupby
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -117,6 +119,13 @@ def read_embedded(files: DataFrame, name: str) -> DataFrame:
 
 
 ASSEMBLED = "root string, kind string, place int, depth int, source string, ref string, file_path string, node_id string, code string"
+FLUSH = 10_000  # rows of a batch that leaves a worker
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of ``ASSEMBLED``."""
+    names, kinds = zip(*(c.split(" ") for c in ASSEMBLED.split(", ")))
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int32() if k == "int" else pa.string()) for i, k in enumerate(kinds)], list(names))
 
 
 def assemble(g: Graph, files: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH, max_embeds: int = MAX_EMBEDS, max_bytes: int = MAX_BYTES, texts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -125,50 +134,65 @@ def assemble(g: Graph, files: DataFrame, roots: DataFrame, max_depth: int = MAX_
 
     Every embed is listed as often as it stands; a note is entered once a root, at its first place, and to ``max_depth``
     levels below the root's own. ``files`` has paths and ``size``; ``texts(file_path, text)`` joins what was extracted.
-    The notes within reach are found level by level, by joins; a root's order is a small walk over its own rows.
+    Each note's list is resolved once, whatever its roots; a root's notes are found level by level, by joins of ids; its order
+    is a small walk over its own rows, which come sorted, root behind root.
     """
     body = g.nodes.select(F.col("id").alias("at"), F.posexplode(embeds("body")).alias("place", "ref"))
     level = roots.select(F.col("id").alias("root"), F.col("id").alias("at"))
-    seen, every = level, None
-    for depth in range(max_depth + 1):
-        asked = cut(level.join(body, "at").select("root", "at", "place", F.trim("ref").alias("ref")))
-        if depth and asked.isEmpty():
+    todo, known, linked = cut(level.select("at").distinct()), None, None
+    for _ in range(max_depth + 1):
+        asked = cut(todo.join(body, "at").select("at", "place", F.trim("ref").alias("ref")))
+        found = cut(asked.join(cut(resolve_embeds(asked, files, g.nodes)), "ref", "left").join(files.select("file_path", "size"), "file_path", "left").select("at", "place", "ref", "file_path", "node_id", "size"))
+        linked = found if linked is None else linked.unionByName(found)
+        known = todo if known is None else known.unionByName(todo)
+        todo = cut(found.filter("node_id is not null").select(F.col("node_id").alias("at")).distinct().join(known, "at", "left_anti"))
+        if todo.isEmpty():
             break
-        found = cut(asked.join(resolve_embeds(asked, files, g.nodes), "ref", "left").join(files.select("file_path", "size"), "file_path", "left"))
-        every = found if every is None else every.unionByName(found)
-        fresh = found.filter("node_id is not null").select("root", F.col("node_id").alias("at")).distinct()
+    hops = cut(linked.filter("node_id is not null").select("at", "node_id").distinct())
+    seen = level
+    for _ in range(max_depth):
+        fresh = level.join(hops, "at").select("root", F.col("node_id").alias("at")).distinct()
         level = cut(fresh.join(seen, ["root", "at"], "left_anti"))
+        if level.isEmpty():
+            break
         seen = seen.unionByName(level)
+    every = seen.join(linked, "at").select("root", "at", "place", "ref", "file_path", "node_id", "size")
 
-    def walk(df: pd.DataFrame) -> pd.DataFrame:
-        root = df["root"].iloc[0]
-        lists: dict[str, list] = {}
-        for r in df.sort_values(["at", "place"]).itertuples(index=False):
-            lists.setdefault(r.at, []).append(r)
-        rows, entered, count = [], {root}, 0
-        todo = [(iter(lists.get(root, [])), 0, None)]
+    def walk(root: str, own: Iterator[tuple]) -> Iterator[tuple]:
+        lists = {at: list(rest) for at, rest in groupby(own, key=lambda r: r[1])}
+        entered, count = {root}, 0
+        todo = [(iter(lists.get(root, ())), 0, None)]
         while todo:
             rest, depth, source = todo[-1]
             r = next(rest, None)
             if r is None or count >= max_embeds:
                 if r is not None:
-                    rows.append((root, "error", None, depth, source, r.ref, None, None, "TRUNCATED"))
+                    yield root, "error", None, depth, source, r[3], None, None, "TRUNCATED"
                 todo.pop()
                 continue
-            large = r.size is not None and r.size == r.size and r.size > max_bytes
-            if not isinstance(r.file_path, str) or large:
-                rows.append((root, "error", None, depth, source, r.ref, None, None, "FILE_TOO_LARGE" if large else "UNRESOLVED"))
+            ref, path, node, size = r[3:]
+            large = size is not None and size > max_bytes
+            if path is None or large:
+                yield root, "error", None, depth, source, ref, None, None, "FILE_TOO_LARGE" if large else "UNRESOLVED"
                 continue
             count += 1
-            node = r.node_id if isinstance(r.node_id, str) else None
-            rows.append((root, "embed", count, depth, source, r.ref, r.file_path, node, None))
-            if node and node not in entered and depth < max_depth:
+            yield root, "embed", count, depth, source, ref, path, node, None
+            if node is not None and node not in entered and depth < max_depth:
                 entered.add(node)
-                if lists.get(node):
-                    todo.append((iter(lists[node]), depth + 1, r.ref))
-        return pd.DataFrame(rows, columns=[c.split(" ")[0] for c in ASSEMBLED.split(", ")])
-
-    out = cut(every.select("root", "at", "place", "ref", "file_path", "node_id", "size").groupBy("root").applyInPandas(walk, ASSEMBLED))
+                if node in lists:
+                    todo.append((iter(lists[node]), depth + 1, ref))
+
+    def walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
+        out: list[tuple] = []
+        for root, own in groupby(rows, key=lambda r: r[0]):
+            out.extend(walk(root, own))
+            if len(out) >= FLUSH:
+                yield _batch(out)
+                out = []
+        yield _batch(out)
+
+    out = cut(every.repartition("root").sortWithinPartitions("root", "at", "place").mapInArrow(walks, ASSEMBLED))
     rows = out.filter("kind = 'embed'").select("root", "place", "depth", "source", "ref", "file_path", "node_id")
     if texts is not None:
         rows = rows.join(texts.select("file_path", "text"), "file_path", "left")

@@ -301,3 +301,13 @@ def test_orphans_and_order_shuffle_once(spark, g):
     assert by_node(lost) == 1 and [(r.field_name, r.n) for r in lost.collect()] == [("near", 1)]
     names = W.field_order(two.node_fields, two.node_types, claims)
     assert by_node(names) == 1 and {r.node_id: r.names for r in names.collect()} == {"oak": ["near", "place"], "elm": ["height"]}
+
+
+def test_lists_are_resolved_once_for_all_roots(spark, monkeypatch):
+    calls = []
+    once = X.resolve_embeds
+    monkeypatch.setattr(X, "resolve_embeds", lambda *a: calls.append(1) or once(*a))
+    chain = build(spark, [(f"n{i}", f"n{i}.md", f"n{i}", f"![[n{i + 1}]]" if i < 4 else "", 1) for i in range(5)])
+    rows, errors = X.assemble(chain, spark.createDataFrame([(f"n{i}.md", 5) for i in range(5)], "file_path string, size long"), chain.nodes.select("id"), max_depth=2)
+    assert len(calls) == 1 and errors.count() == 0
+    assert {(r.root, r.depth, r.ref) for r in rows.collect()} == {(f"n{i}", d, f"n{i + d + 1}") for i in range(4) for d in range(3) if i + d + 1 < 5}
