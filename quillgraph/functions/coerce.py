@@ -30,8 +30,8 @@ def to_number(c: Column) -> Column:
     n = F.when(hexa, F.conv(F.substring(t, 3, 64), 16, 10).try_cast("double")).when(plain, t.try_cast("double"))
     for letter, base in (("b", 2), ("o", 8)):
         n = F.when(t.rlike(f"^0[{letter}{letter.upper()}][0-{base - 1}]+$"), F.conv(F.substring(t, 3, 64), base, 10).try_cast("double")).otherwise(n)
-    ok = n.isNotNull() & (F.abs(n) < float("inf"))
-    return F.when(ok, _good(n, "STRING_TO_NUMBER")).otherwise(_fail(c, "number"))
+    n = F.when(plain, t.try_cast("double")).otherwise(n)  # most are plain
+    return let(n, lambda x: F.when(x.isNotNull() & (F.abs(x) < float("inf")), _good(x, "STRING_TO_NUMBER")).otherwise(_fail(c, "number")))
 
 
 def to_date(c: Column) -> Column:
@@ -96,9 +96,9 @@ def to_date_fuzzy(c: Column) -> Column:
     day = F.trim(F.regexp_replace(t, r"(?:\s+at)?\s+\d{1,2}:\d{2}$", ""))
     found = F.coalesce(*(F.try_to_timestamp(day, F.lit(f)) for f in WRITTEN))
     hour = F.lpad(clock, 5, "0")
-    value = F.concat(F.date_format(found, "yyyy-MM-dd"), F.when(clock != "", F.concat(F.lit("T"), hour)).otherwise(""))
-    iso = to_date(c)
-    return F.when(iso["ok"], iso).when(found.isNotNull(), _good(value, "STRING_TO_DATE_FUZZY")).otherwise(_fail(c, "date"))
+    value = lambda x: F.concat(F.date_format(x, "yyyy-MM-dd"), F.when(clock != "", F.concat(F.lit("T"), hour)).otherwise(""))
+    written = let(found, lambda x: F.when(x.isNotNull(), _good(value(x), "STRING_TO_DATE_FUZZY")).otherwise(_fail(c, "date")))
+    return let(to_date(c), lambda iso: F.when(iso["ok"], iso).otherwise(written))
 
 
 def to_string(c: Column, source: str) -> Column:

@@ -140,12 +140,12 @@ def run(g: Graph, ops: DataFrame, claims: DataFrame, fields: DataFrame, schemas:
     late = rows.filter(stale).select("id", F.lit("stale").alias("status"), "version")
     if not errors.isEmpty():
         return Result(g, late, errors, log.limit(0))
-    counts = p.select("id", "n")
-    was = rows.select("id", F.col("version").alias("_was"))
-    grown = out.nodes.join(counts, "id", "left").join(was, "id", "left").withColumn("version", F.when(F.col("n").isNotNull() & ~F.col("version").eqNullSafe(F.col("_was")), F.col("version") + F.col("n") - 1).otherwise(F.col("version")))
-    nodes = cut(grown.select(*g.nodes.columns))
-    out = M.delete(out.replace(nodes=nodes), live.filter("gone and version is not null").select("id"))
-    status = counts.join(nodes.select("id", "version"), "id").join(was, "id", "left").select("id", F.when(F.col("version").eqNullSafe(F.col("_was")), "unchanged").otherwise("applied").alias("status"), "version")
+    # the snapshot stays a plan over the given graph and what the operations wrote: nodes that none names are only read
+    counts = cut(p.select("id", "n").join(rows.select("id", F.col("version").alias("_was")), "id", "left"))
+    grown = F.when(F.col("n").isNotNull() & ~F.col("version").eqNullSafe(F.col("_was")), F.col("version") + F.col("n") - 1).otherwise(F.col("version"))
+    nodes = out.nodes.join(counts, "id", "left").withColumn("version", grown).select(*g.nodes.columns)
+    status = cut(out.nodes.select("id", "version").join(counts, "id").select("id", F.when(F.col("version").eqNullSafe(F.col("_was")), "unchanged").otherwise("applied").alias("status"), grown.alias("version")))
+    out = M.delete(out.replace(nodes=nodes), cut(live.filter("gone and version is not null").select("id")))
     deleted = live.filter("gone").select("id", F.lit("applied").alias("status"), F.lit(None).cast("int").alias("version"))
     return Result(out, status.unionByName(deleted).unionByName(late), errors, log)
 

@@ -11,6 +11,7 @@ from ..functions.coerce import dispatch, let, plain, quoted
 from ..functions.templates import default_value
 from ..functions.text import closest_of, links_in
 from ..functions.values import classified
+from ..tables import cut
 from .claims import merge_claims
 
 #: What a proposal without a value may still say: nothing (the key is absent) or null, which is the wish to delete.
@@ -64,13 +65,14 @@ def _state(n: Column, given: Column, eff: Column, defaults: bool, times: tuple[C
 def coerced_state(proposed: DataFrame, claims: DataFrame, fields: DataFrame, defaults: bool = True, now_ms: int = 0) -> DataFrame:
     """``STATE`` of every field that ``proposed(id, types, fields map<string, JSON>)`` gives or its types claim.
 
-    Claims are merged once per distinct type list and joined by it; all else happens within a node's row, without a shuffle.
+    Claims are merged once per distinct type list and joined by it, as a table of a known size: the few lists go to the nodes,
+    who would meet in a task for each list else. All else happens within a node's row, without a shuffle.
     ``origin``: provided, defaulted, orphan (no type claims it), null (given as null) or absent. ``issue``: what is wrong,
     null where the value holds. ``created_ms`` and ``modified_ms`` of ``proposed``, if there, serve the date tokens of defaults.
     """
     has = lambda c: F.col(c) if c in proposed.columns else F.lit(None).cast("long")
     p = proposed.select("id", "types", F.coalesce("fields", F.create_map().cast("map<string,string>")).alias("given"), F.array_join("types", "\u0001").alias("key"), has("created_ms").alias("created_ms"), has("modified_ms").alias("modified_ms"))
-    p = p.join(effective(p.select("key", "types").distinct(), claims, fields), "key", "left").withColumn("now_ms", F.lit(now_ms).cast("long"))
+    p = p.join(cut(effective(p.select("key", "types").distinct(), claims, fields)), "key", "left").withColumn("now_ms", F.lit(now_ms).cast("long"))
     rows = p.select(F.col("id").alias("node_id"), "types", F.explode(_states(p.sparkSession.sparkContext.applicationId, defaults)).alias("s"))
     return rows.select("node_id", "s.*", "types").filter("origin <> 'absent' or issue is not null")
 

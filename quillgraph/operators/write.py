@@ -93,7 +93,7 @@ def relink(relationships: DataFrame, nodes: DataFrame, rows: DataFrame, fresh: D
     mine = mine.join(found, "target", "left")
     mine = cut(mine)
     changed = fresh.select(F.col("id").alias("source_id"))
-    moved = fresh.filter("_moved").select("id")
+    moved = fresh.filter("_moved").select("id", "title", "file_path")
     if moved.isEmpty():
         rest = relationships.join(changed, "source_id", "left_anti")
     else:
@@ -173,18 +173,25 @@ def _sql(s: str) -> str:
 
 def refresh(relationships: DataFrame, nodes: DataFrame, moved: DataFrame, but: DataFrame | None = None) -> DataFrame:
     """Edges to nodes ``moved(id)`` (new, renamed or back again) are resolved anew by their text; what is open then is
-    claimed by their present keys. Edges of the sources ``but(source_id)`` are left out.
+    claimed by their present keys, those of ``moved`` if it has title and path. Edges of the sources ``but(source_id)`` are
+    left out.
 
-    Answers are found once a text and joined: the edges themselves are only read."""
-    moved = cut(moved.select("id").distinct())
+    Answers are found once a text and joined: the edges themselves are only read, and where no edge is lost or claimed, no more
+    than the left-out sources are looked up."""
+    moved = cut(moved.distinct())
+    renewed = moved if "file_path" in moved.columns else nodes.join(moved.select("id"), "id", "left_semi")
     lost = moved.select(F.col("id").alias("resolved_target_id"), F.lit(True).alias("_lost"))
     marked = relationships.join(lost, "resolved_target_id", "left")
     open_ = marked.filter("_lost or resolved_target_id is null")
     open_ = open_ if but is None else open_.join(but, "source_id", "left_anti")
     texts = cut(open_.groupBy("target").agg(F.bool_or(F.coalesce("_lost", F.lit(False))).alias("_asked")))
-    found = resolve(nodes, texts.filter("_asked")).withColumnRenamed("id", "_found")
-    claimed = claims_of(texts.select("target"), nodes.join(moved, "id", "left_semi")).withColumnRenamed("_found", "_claimed")
+    claimed = claims_of(texts.select("target"), renewed).withColumnRenamed("_found", "_claimed")
+    asked = texts.filter("_asked")
+    loses = not asked.isEmpty()
+    found = resolve(nodes, asked).withColumnRenamed("id", "_found") if loses else claimed.select("target", F.lit(None).cast("string").alias("_found")).limit(0)
     answers = cut(texts.join(found, "target", "left").join(claimed, "target", "left").select("target", F.coalesce("_found", "_claimed").alias("_found")).filter("_found is not null"))
+    if not loses and answers.isEmpty():
+        return relationships if but is None else relationships.join(but, "source_id", "left_anti").select(*relationships.columns)
     rest = marked if but is None else marked.join(but, "source_id", "left_anti")
     kept = F.when(F.col("_lost").isNull(), F.col("resolved_target_id"))
     return rest.join(answers, "target", "left").withColumn("resolved_target_id", F.coalesce(kept, "_found")).select(*relationships.columns)

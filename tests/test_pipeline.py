@@ -159,3 +159,21 @@ def test_versions_are_committed_at_once(spark, g, tmp_path):
     with pytest.raises(Conflict):  # made from the first version, like the one that won
         save_version(g, root, 0)
     assert versions(spark, root) == [0, 1] and load_version(spark, root).nodes.count() == 2
+
+
+def test_nodes_do_not_meet_by_their_types(spark, dims):
+    from quillgraph.operators import coerced as S
+
+    p = cut(proposal(spark, *((f"x{i}", f"x{i}.md", f"x{i}", "", ["thing"], {"size": '"5"', "kind": '"elm"'}) for i in range(20))))
+    state = S.coerced_state(p, *dims[:2])
+    assert {r.value for r in state.filter("field = 'size'").collect()} == {"5"} and state.filter("origin = 'provided' and issue is null").count() == 40
+    assert "Exchange hashpartitioning" not in state._jdf.queryExecution().executedPlan().toString()
+
+
+def test_an_edge_nobody_moves_is_not_looked_up(spark, g, monkeypatch):
+    asked = []
+    once = W.resolve
+    monkeypatch.setattr(W, "resolve", lambda nodes, targets: asked.append(1) or once(nodes, targets))
+    moved = spark.createDataFrame([("c", "Gamma", "sub/Gamma.md")], "id string, title string, file_path string")
+    out = W.refresh(g.relationships, g.nodes, moved)
+    assert not asked and sorted(map(str, out.collect())) == sorted(map(str, g.relationships.collect()))
