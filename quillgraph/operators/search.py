@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.coerce import let
 from ..functions.text import snippet
 from ..tables import commit, cut, manifest, versions
 from . import textquery as Q
@@ -18,6 +19,7 @@ from . import textquery as Q
 K1, B = 1.2, 0.75
 RRF = 60
 NEAREST = 400
+SLICE = 256  # documents whose words are gathered at once
 CELLS = 64  # folders of an index; a term's rows lie in one
 ACCENTS = Q.ACCENTS
 
@@ -37,16 +39,33 @@ class Index:
 
 def postings_of(docs: DataFrame) -> DataFrame:
     """``id, len, term, places, cell`` of ``docs(id, title, body)``; places of the body begin at ``BODY``."""
-    at = lambda c, base: F.transform(tokens(F.coalesce(c, F.lit(""))), lambda w, i: F.struct(w.alias("term"), (i + base).alias("place")))
-    words = docs.select("id", F.concat(at("title", 0), at("body", Q.BODY)).alias("w")).withColumn("len", F.size("w"))
-    # the words in order, cut where they change: a document's places are gathered in its row, without a shuffle
-    cuts = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["term"] != F.get(s, i - 1)["term"]))
-    run = lambda s, b: F.transform(b, lambda x, j: F.struct(F.get(s, x)["term"].alias("term"), F.transform(F.sequence(x, F.coalesce(F.get(b, j + 1), F.size(s)) - 1), lambda k: F.get(s, k)["place"]).alias("places")))
-    runs = let(F.sort_array("w"), lambda s: let(cuts(s), lambda b: run(s, b)))
-    postings = words.filter("len > 0").select("id", "len", F.explode(runs).alias("r")).select("id", "len", "r.term", "r.places")
+    words = lambda c: tokens(F.coalesce(c, F.lit("")))
+    kind = dict(docs.dtypes)["id"]
+    # a document's places are gathered in its row, without a shuffle
+    postings = docs.select("id", words("title").alias("t"), words("body").alias("b")).mapInArrow(_gather, f"id {kind}, len int, term string, places array<int>")
     return postings.withColumn("cell", F.pmod(F.xxhash64("term"), F.lit(CELLS)).cast("int"))
 
 
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``id, len, term, places`` of ``id`` and the words of title and body: (document, term) pairs sorted as numbers."""
+    names = ["id", "len", "term", "places"]
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE):
+            ids, *texts = batch.slice(start, SLICE).columns
+            sizes = [np.asarray(c.value_lengths()) for c in texts]
+            row = np.concatenate([np.repeat(np.arange(len(ids)), n) for n in sizes])
+            if not len(row):
+                continue
+            place = np.concatenate([np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + base for n, base in zip(sizes, (0, Q.BODY))])
+            coded = pa.concat_arrays([c.flatten() for c in texts]).dictionary_encode()
+            key = row * len(coded.dictionary) + np.asarray(coded.indices)
+            order = np.argsort(key, kind="stable")  # a title's places come before the body's
+            first = np.flatnonzero(np.diff(key[order], prepend=-1))
+            at = order[first]
+            places = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pa.array(place[order], pa.int32()))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[at])), pa.array(sum(sizes)[row[at]], pa.int32()), coded.dictionary.take(coded.indices.take(pa.array(at))), places], names)
+
+
 def lengths(docs: DataFrame) -> DataFrame:
     """``id, len`` of every document, also of those without a word."""
     count = lambda c: F.size(tokens(F.coalesce(c, F.lit(""))))
